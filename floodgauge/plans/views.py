@@ -245,7 +245,7 @@ threats AS (
   SELECT flow_id, ts, concat('203.0.113.', user_id % 5) AS ip, least(1.0e0, value / 250) AS score,
     CASE k % 5 WHEN 0 THEN 'known_ddos' WHEN 1 THEN 'zero_day' WHEN 2 THEN 'volumetric'
       WHEN 3 THEN 'application_layer' ELSE 'amplification' END AS attack_type,
-    CASE WHEN k % 5 = 0 THEN 'supervised' ELSE 'unsupervised' END AS detection_method, 3600 AS ttl
+    CASE WHEN k % 5 = 0 THEN 'supervised' ELSE 'unsupervised' END AS detection_method, CAST(3600 AS BIGINT) AS ttl
   FROM flows WHERE value / 250 > 0.2e0)""",
     "labelled": """
 labelled AS (
