@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from floodgauge.functions.expressions import epoch_micros
 from floodgauge.session import broadcast_if_small, checkpointed
 
-# Up to this many values of one bracket are ranked by a single exact aggregate.
-EXACT_LIMIT = 1_000_000
+# Up to this many values of one bracket are listed and ranked directly.
+EXACT_LIMIT = 100_000
 SKETCH_ACCURACY = 10_000
 CHUNK_SECONDS = 60
 
@@ -65,68 +65,65 @@ def exact_percentiles(
 
 
 def _resolve_ranks(df, wanted, sizes, exact_limit, accuracy) -> None:
-    # Per open rank: exclusive value bounds, how many values are at or below the lower bound,
-    # and how many values lie strictly between the bounds.
-    bracket = {k: (-math.inf, math.inf, 0, sizes[k[0]]) for k in wanted}
-    lowest = {k: True for k in wanted}
+    # Per open rank: exclusive value bounds (None is open), values at or below the lower bound,
+    # and values strictly between the bounds.
+    bracket = {k: (None, None, 0, sizes[k[0]]) for k in wanted}
     while bracket:
-        keys = list(bracket)
+        groups: dict[tuple, list] = {}
+        for k, b in bracket.items():
+            groups.setdefault((k[0], *b), []).append(k)
         probes = []
-        for i, k in enumerate(keys):
-            low, high, below, inside = bracket[k]
-            value = _number(k[0])
-            held = value if lowest[k] else F.when((value > low) & (value < high), value)
-            rank = k[1] - below
+        for i, ((c, low, high, below, inside), ranks) in enumerate(groups.items()):
+            test = F.lit(True)
+            if low is not None:
+                test = test & (_number(c) > low)
+            if high is not None:
+                test = test & (_number(c) < high)
+            held = F.when(test, _number(c))
             if inside <= exact_limit:
-                share = (rank + 0.5) / inside
-                text = f"percentile_disc({share!r}D) WITHIN GROUP (ORDER BY _v{i})"
-                probes.append((i, held, text))
+                listed = F.sort_array(F.collect_list(held))
+                found = F.array(*[F.element_at(listed, int(k[1] - below + 1)) for k in ranks])
             else:
                 step = 2.0 / accuracy
-                around = [max(0.0, rank / inside - step), min(1.0, rank / inside + step)]
-                text = f"percentile_approx(_v{i}, array({around[0]!r}D, {around[1]!r}D), {accuracy})"
-                probes.append((i, held, text))
-        narrowed = df.select(*[held.alias(f"_v{i}") for i, held, _ in probes])
-        row = narrowed.agg(*[F.expr(text).alias(f"p{i}") for i, _, text in probes]).first()
-        open_now = []
-        for i, k in enumerate(keys):
-            if bracket[k][3] <= exact_limit:
-                wanted[k] = float(row[f"p{i}"])
-                del bracket[k]
-            else:
-                open_now.append((k, row[f"p{i}"][0], row[f"p{i}"][1]))
-        if not open_now:
+                places = []
+                for k in ranks:
+                    share = (k[1] - below) / inside
+                    places += [max(0.0, share - step), min(1.0, share + step)]
+                found = F.percentile_approx(held, places, accuracy)
+            probes.append(found.alias(f"p{i}"))
+        row = df.agg(*probes).first()
+        around: list[tuple] = []
+        for i, ((c, low, high, below, inside), ranks) in enumerate(groups.items()):
+            for j, k in enumerate(ranks):
+                if inside <= exact_limit:
+                    wanted[k] = float(row[f"p{i}"][j])
+                    del bracket[k]
+                else:
+                    around.append((k, row[f"p{i}"][2 * j], row[f"p{i}"][2 * j + 1]))
+        if not around:
             continue
+        limits = sorted({(k[0], v) for k, a, b in around for v in (a, b)})
         counted = []
-        for i, (k, a, b) in enumerate(open_now):
-            low, high, _, _ = bracket[k]
-            value = _number(k[0])
-            for name, test in (
-                ("lt", value < a),
-                ("le", value <= a),
-                ("lt2", value < b),
-                ("le2", value <= b),
-            ):
-                counted.append(F.count(F.when(test, 1)).alias(f"{name}{i}"))
+        for i, (c, v) in enumerate(limits):
+            counted.append(F.count(F.when(_number(c) < v, 1)).alias(f"lt{i}"))
+            counted.append(F.count(F.when(_number(c) <= v, 1)).alias(f"le{i}"))
         row = df.agg(*counted).first()
-        for i, (k, a, b) in enumerate(open_now):
+        under = {key: (row[f"lt{i}"], row[f"le{i}"]) for i, key in enumerate(limits)}
+        for k, a, b in around:
             low, high, below, inside = bracket[k]
-            lt, le, lt2, le2 = (row[f"{n}{i}"] for n in ("lt", "le", "lt2", "le2"))
-            if lt <= k[1] < le:
+            (lt_a, le_a), (lt_b, le_b) = under[(k[0], a)], under[(k[0], b)]
+            if lt_a <= k[1] < le_a:
                 wanted[k] = float(a)
                 del bracket[k]
-            elif lt2 <= k[1] < le2:
+            elif lt_b <= k[1] < le_b:
                 wanted[k] = float(b)
                 del bracket[k]
-            elif le <= k[1] < lt2:
-                bracket[k] = (a, b, le, lt2 - le)
-                lowest[k] = False
-            elif k[1] < lt:
-                bracket[k] = (low, a, below, lt - below)
-                lowest[k] = False
+            elif le_a <= k[1] < lt_b:
+                bracket[k] = (a, b, le_a, lt_b - le_a)
+            elif k[1] < lt_a:
+                bracket[k] = (low, a, below, lt_a - below)
             else:
-                bracket[k] = (b, high, le2, below + inside - le2)
-                lowest[k] = False
+                bracket[k] = (b, high, le_b, below + inside - le_b)
 
 
 def cumulate_by_value(
