@@ -46,12 +46,13 @@ def write_report(metrics: DataFrame, path: str, kind: str = "json") -> None:
 
 
 def read_snapshot(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame | None:
-    """Keyed state of the given version; by default of the last one that was completed."""
+    """Last completed keyed state, or the last one up to ``version``; None when there is none."""
     try:
         marks = spark.read.option("recursiveFileLookup", "true").schema("version long").json(f"{folder}/versions")
     except AnalysisException:
         return None
-    last = version if version is not None else marks.agg(F.max("version")).first()[0]
+    wanted = marks.filter(F.col("version") <= version) if version is not None else marks
+    last = wanted.agg(F.max("version")).first()[0]
     return None if last is None else spark.read.parquet(f"{folder}/state/version={last}")
 
 
