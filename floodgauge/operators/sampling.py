@@ -134,7 +134,7 @@ def _deal_copies(rows: DataFrame, columns: list[str], classes: list[str], parts:
     block = 100_000
     blocks = dealt.withColumn(
         "_b", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("_s.n") - 1) / block).cast("long")))
-    ).repartition()
+    ).repartition("_h", "_b")
     count = F.least(F.lit(block).cast("long"), F.col("_s.n") - F.col("_b") * block)
     return blocks.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), count))).select(
         *columns, F.col("_s.part").alias(name)

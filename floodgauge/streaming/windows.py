@@ -63,4 +63,6 @@ def stream_latencies(
         & (F.col("end_ts") <= F.col("start_ts") + F.expr(f"INTERVAL {wait_seconds} SECONDS"))
     )
     seconds = (F.unix_micros("end_ts") - F.unix_micros("start_ts")) / 1_000_000
-    return s.join(c, near).select(key, "start_ts", "end_ts", seconds.alias("latency")).dropDuplicatesWithinWatermark([key])
+    # Rebuilt, so that only the start remains an event-time column for the step after the join.
+    end = F.timestamp_micros(F.unix_micros("end_ts")).alias("end_ts")
+    return s.join(c, near).select(key, "start_ts", end, seconds.alias("latency")).dropDuplicatesWithinWatermark([key])
