@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from floodgauge.functions.expressions import interval_code
 from floodgauge.operators.ordered import exact_percentiles
 
 
@@ -46,9 +47,8 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins:
     cells = []
     for i, c in enumerate(features):
         limits = sorted({v for v in cuts[c].values() if v is not None})
-        bin_no = F.lit(0)
-        for v in limits:
-            bin_no = bin_no + (F.col(f"`{c}`") > F.lit(v)).cast("int")
+        # A bin is an interval together with its upper limit.
+        bin_no = F.floor(interval_code(F.col(f"`{c}`").cast("double"), limits) / 2)
         cells.append(F.struct(F.lit(c).alias("feature"), F.lit(i).alias("position"), bin_no.alias("bin")))
     counts = (
         df.select(F.col(label).alias("_y"), F.inline(F.array(*cells)))

@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from floodgauge.functions.expressions import epoch_micros
+from floodgauge.functions.expressions import epoch_micros, interval_code
 from floodgauge.session import broadcast_if_small, checkpointed
 
 # Up to this many values of one bracket are listed and ranked directly.
 EXACT_LIMIT = 100_000
 SKETCH_ACCURACY = 10_000
+# Points of the sketches of single intervals.
+GRID = 1_000
 CHUNK_SECONDS = 60
 
 
@@ -36,94 +38,116 @@ def exact_percentiles(
 ) -> dict[str, dict[float, float | None]]:
     """Percentiles with linear interpolation, missing values ignored.
 
-    Every pass is one aggregate over the table, with constant memory per task: a quantile sketch
-    gives two values that surely enclose the wanted rank, the next pass counts what lies below,
-    on and between them, and so on until the enclosed part is small enough to be ranked exactly.
+    Every pass is one aggregate over the table that needs bounded memory per task: quantile
+    sketches give values that enclose the wanted ranks, the next pass counts what lies between and
+    on them, and so on until the values left in an interval are few enough to be listed.
     """
-    wanted: dict[tuple[str, int], float | None] = {}
     names = list(requests)
-    counts = df.agg(*[F.count(_number(c)).alias(f"n{i}") for i, c in enumerate(names)]).first()
-    sizes = {c: counts[f"n{i}"] for i, c in enumerate(names)}
-    for c in names:
-        for p in requests[c]:
-            if sizes[c]:
-                position = (sizes[c] - 1) * p
-                wanted[(c, math.floor(position))] = None
-                wanted[(c, math.ceil(position))] = None
-    _resolve_ranks(df, wanted, sizes, exact_limit, accuracy)
-    result: dict[str, dict[float, float | None]] = {}
-    for c in names:
-        result[c] = {}
-        for p in requests[c]:
-            if not sizes[c]:
-                result[c][p] = None
-                continue
-            position = (sizes[c] - 1) * p
-            low, high = wanted[(c, math.floor(position))], wanted[(c, math.ceil(position))]
-            result[c][p] = low + (high - low) * (position - math.floor(position))
+    step = 2.0 / accuracy
+    first = []
+    for i, c in enumerate(names):
+        around = [min(1.0, max(0.0, p + d)) for p in requests[c] for d in (-step, step)]
+        first += [F.count(_number(c)).alias(f"n{i}"), F.percentile_approx(_number(c), around, accuracy).alias(f"q{i}")]
+    row = df.agg(*first).first()
+    sizes = {c: row[f"n{i}"] for i, c in enumerate(names)}
+    position = {(c, p): (sizes[c] - 1) * p for c in names for p in requests[c] if sizes[c]}
+    ranks: dict[str, set[int]] = {c: set() for c in names}
+    for (c, _), place in position.items():
+        ranks[c] |= {math.floor(place), math.ceil(place)}
+    limits = {
+        c: sorted(set(row[f"q{i}"])) if sizes[c] > exact_limit else [] for i, c in enumerate(names) if sizes[c]
+    }
+    values = _values_at(df, {c: r for c, r in ranks.items() if r}, limits, sizes, exact_limit, accuracy)
+    result: dict[str, dict[float, float | None]] = {c: dict.fromkeys(requests[c]) for c in names}
+    for (c, p), place in position.items():
+        low, high = values[(c, math.floor(place))], values[(c, math.ceil(place))]
+        result[c][p] = low + (high - low) * (place - math.floor(place))
     return result
 
 
-def _resolve_ranks(df, wanted, sizes, exact_limit, accuracy) -> None:
-    # Per open rank: exclusive value bounds (None is open), values at or below the lower bound,
-    # and values strictly between the bounds.
-    bracket = {k: (None, None, 0, sizes[k[0]]) for k in wanted}
-    while bracket:
-        groups: dict[tuple, list] = {}
-        for k, b in bracket.items():
-            groups.setdefault((k[0], *b), []).append(k)
-        probes = []
-        for i, ((c, low, high, below, inside), ranks) in enumerate(groups.items()):
-            test = F.lit(True)
-            if low is not None:
-                test = test & (_number(c) > low)
-            if high is not None:
-                test = test & (_number(c) < high)
-            held = F.when(test, _number(c))
-            if inside <= exact_limit:
-                listed = F.sort_array(F.collect_list(held))
-                found = F.array(*[F.element_at(listed, int(k[1] - below + 1)) for k in ranks])
-            else:
-                step = 2.0 / accuracy
-                places = []
-                for k in ranks:
-                    share = (k[1] - below) / inside
-                    places += [max(0.0, share - step), min(1.0, share + step)]
-                found = F.percentile_approx(held, places, accuracy)
-            probes.append(found.alias(f"p{i}"))
-        row = df.agg(*probes).first()
-        around: list[tuple] = []
-        for i, ((c, low, high, below, inside), ranks) in enumerate(groups.items()):
-            for j, k in enumerate(ranks):
-                if inside <= exact_limit:
-                    wanted[k] = float(row[f"p{i}"][j])
-                    del bracket[k]
-                else:
-                    around.append((k, row[f"p{i}"][2 * j], row[f"p{i}"][2 * j + 1]))
-        if not around:
-            continue
-        limits = sorted({(k[0], v) for k, a, b in around for v in (a, b)})
-        counted = []
-        for i, (c, v) in enumerate(limits):
-            counted.append(F.count(F.when(_number(c) < v, 1)).alias(f"lt{i}"))
-            counted.append(F.count(F.when(_number(c) <= v, 1)).alias(f"le{i}"))
-        row = df.agg(*counted).first()
-        under = {key: (row[f"lt{i}"], row[f"le{i}"]) for i, key in enumerate(limits)}
-        for k, a, b in around:
-            low, high, below, inside = bracket[k]
-            (lt_a, le_a), (lt_b, le_b) = under[(k[0], a)], under[(k[0], b)]
-            if lt_a <= k[1] < le_a:
-                wanted[k] = float(a)
-                del bracket[k]
-            elif lt_b <= k[1] < le_b:
-                wanted[k] = float(b)
-                del bracket[k]
-            elif le_a <= k[1] < lt_b:
-                bracket[k] = (a, b, le_a, lt_b - le_a)
-            elif k[1] < lt_a:
-                bracket[k] = (low, a, below, lt_a - below)
-            else:
-                bracket[k] = (b, high, le_b, below + inside - le_b)
+def _placed(df: DataFrame, limits: dict[str, list[float]]) -> DataFrame:
+    """Rows (column number, interval code, value), one per row and column with a value."""
+    cells = [
+        F.struct(F.lit(i).alias("c"), interval_code(_number(c), limits[c]).alias("b"), _number(c).alias("v"))
+        for i, c in enumerate(limits)
+    ]
+    return df.select(F.inline(F.array(*cells))).filter(F.col("b").isNotNull())
+
+
+def _values_at(df, ranks, limits, sizes, exact_limit, accuracy) -> dict[tuple[str, int], float]:
+    """Value at every wanted rank (from 0) of every column."""
+    found: dict[tuple[str, int], float] = {}
+    open_ranks = {c: set(r) for c, r in ranks.items()}
+    grid = [i / GRID for i in range(GRID + 1)]
+    while open_ranks:
+        limits = {c: limits[c] for c in open_ranks}
+        order = list(limits)
+        counts = {(i, 0): sizes[c] for i, c in enumerate(order) if not limits[c]}
+        if any(limits.values()):
+            for r in _placed(df, limits).groupBy("c", "b").agg(F.count(F.lit(1)).alias("n")).collect():
+                counts[(r["c"], r["b"])] = r["n"]
+        short: dict[tuple[int, int], list[int]] = {}
+        long: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        for i, c in enumerate(order):
+            below = 0
+            for b in range(2 * len(limits[c]) + 1):
+                n = counts.get((i, b), 0)
+                for rank in [r for r in open_ranks[c] if below <= r < below + n]:
+                    if b % 2:
+                        found[(c, rank)] = float(limits[c][b // 2])
+                    elif n <= exact_limit:
+                        short.setdefault((i, b), []).append(rank - below)
+                        found[(c, rank)] = math.nan
+                    else:
+                        long.setdefault((i, b), []).append((rank, (rank - below) / n))
+                below += n
+        if short:
+            listed = _listed(df, limits, short)
+            for i, c in enumerate(order):
+                below = 0
+                for b in range(2 * len(limits[c]) + 1):
+                    for place in short.get((i, b), ()):
+                        found[(c, below + place)] = listed[(i, b, place)]
+                    below += counts.get((i, b), 0)
+        closer: dict[str, set[float]] = {}
+        if long:
+            wanted = _one_of(long)
+            sketches = (
+                _placed(df, limits).filter(wanted).groupBy("c", "b")
+                .agg(F.percentile_approx("v", grid, accuracy).alias("q")).collect()
+            )
+            for r in sketches:
+                name = order[r["c"]]
+                # The old ends of the interval stay, so that counting starts from the same place.
+                near = closer.setdefault(name, set(limits[name]))
+                for _, share in long[(r["c"], r["b"])]:
+                    spot = int(share * GRID)
+                    near |= {r["q"][max(0, spot - 1)], r["q"][min(GRID, spot + 2)]}
+        open_ranks = {}
+        for (i, _), waiting in long.items():
+            open_ranks.setdefault(order[i], set()).update(rank for rank, _ in waiting)
+        limits = {c: sorted(closer[c]) for c in open_ranks}
+    return found
+
+
+def _one_of(pairs) -> Column:
+    code = F.struct("c", "b")
+    return code.isin(*[F.struct(F.lit(i), F.lit(b)) for i, b in pairs])
+
+
+def _listed(df, limits, places: dict[tuple[int, int], list[int]]) -> dict[tuple[int, int, int], float]:
+    """Values at the given places of sorted, short intervals."""
+    wanted = F.create_map(*[
+        x for (i, b), spots in places.items()
+        for x in (F.lit(f"{i}:{b}"), F.array(*[F.lit(s) for s in spots]))
+    ])
+    key = F.concat_ws(":", "c", "b")
+    rows = (
+        _placed(df, limits).filter(_one_of(places)).groupBy("c", "b")
+        .agg(F.sort_array(F.collect_list("v")).alias("l"))
+        .select("c", "b", wanted[key].alias("s"), F.transform(wanted[key], lambda x: F.element_at("l", x + 1)).alias("v"))
+    )
+    return {(r["c"], r["b"], s): float(v) for r in rows.collect() for s, v in zip(r["s"], r["v"])}
 
 
 def cumulate_by_value(

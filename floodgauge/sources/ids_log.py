@@ -24,10 +24,10 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Typed events; blank lines are dropped, unreadable ones keep their text in ``_corrupt``."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     text = F.trim(F.col(column))
-    parsed = lines.filter(text != "").withColumn("raw_data", text)
-    return parsed.withColumn("_e", F.from_json("raw_data", IDS_EVENT, options)).select(
-        *[c for c in lines.columns if c != column], "raw_data", "_e.*"
-    )
+    kept = lines.filter(text != "").withColumn("raw_data", text)
+    # As a generator the document is parsed once, however many filters and columns follow.
+    document = F.inline(F.array(F.from_json("raw_data", IDS_EVENT, options)))
+    return kept.select(*[c for c in lines.columns if c != column], "raw_data", document)
 
 
 def valid_events(parsed: DataFrame) -> DataFrame:
