@@ -69,25 +69,6 @@ def stable_code(text: Column, buckets: int) -> Column:
     return (head % F.lit(buckets)).cast("int")
 
 
-def interval_code(c: Column, limits: list[float]) -> Column:
-    """Place of a number among sorted limits: even codes lie between limits, odd ones on a limit.
-
-    Code ``2 i`` is the open interval below ``limits[i]``, code ``2 i + 1`` the limit itself. The
-    expression is a balanced tree of comparisons, so a row costs the logarithm of the limits.
-    """
-
-    def tree(low: int, high: int) -> Column:
-        # The value is known to be at least limits[low - 1] and below limits[high].
-        if low == high:
-            if low == 0:
-                return F.lit(0)
-            return F.when(c == F.lit(limits[low - 1]), 2 * low - 1).otherwise(2 * low)
-        middle = (low + high) // 2
-        return F.when(c < F.lit(limits[middle]), tree(low, middle)).otherwise(tree(middle + 1, high))
-
-    return F.when(c.isNotNull(), tree(0, len(limits)))
-
-
 def row_hash(columns: Iterable[Column | str], seed: int) -> Column:
     """Hex digest of the given columns; orders rows at random but repeatably."""
     parts = [F.coalesce(as_column(c).cast("string"), F.lit("~")) for c in columns]
@@ -104,9 +85,5 @@ def add_seconds(ts: Column, seconds: Column) -> Column:
 
 
 def iso_time(text: Column) -> Column:
-    """ISO timestamp, with ``Z``, an offset or none; unreadable text becomes NULL."""
-    return F.coalesce(
-        F.try_to_timestamp(text),
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSxx")),
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ssxx")),
-    )
+    """ISO timestamp, with ``Z``, an offset (``+hh:mm`` or ``+hhmm``) or none; unreadable text is NULL."""
+    return F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from floodgauge.functions.expressions import row_hash
 from floodgauge.operators.ordered import exact_percentiles
-from floodgauge.session import checkpointed
+from floodgauge.session import checkpointed, spread
 
 EULER_GAMMA = 0.5772156649015329
 DEFAULT_SAMPLES = 256
@@ -79,7 +79,7 @@ class IsolationForest:
         if missing or not self.trees:
             raise ValueError(f"forest cannot score this table: no trees or missing columns {missing}")
         value = self._normality(*[F.col(f"`{c}`").cast("double") for c in self.columns])
-        return df.withColumn(decision, value - F.lit(self.offset)).withColumn(
+        return spread(df).withColumn(decision, value - F.lit(self.offset)).withColumn(
             predicted, (F.col(decision) < 0).cast("int")
         )
 
@@ -185,7 +185,7 @@ def fit_isolation_forest(
     trees = [r.asDict() for r in rows.orderBy("tree").collect()]
     forest = IsolationForest(columns, trees, samples)
     if contamination is not None:
-        normality = df.select(forest._normality(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("s"))
+        normality = spread(df.select(*[F.col(f"`{c}`") for c in columns])).select(forest._normality(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("s"))
         scores = checkpointed(normality)
         forest.offset = exact_percentiles(scores, {"s": [contamination]})["s"][contamination]
     return forest

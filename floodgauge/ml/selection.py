@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from floodgauge.functions.expressions import interval_code
-from floodgauge.operators.ordered import exact_percentiles
+from floodgauge.operators.ordered import exact_percentiles, interval_codes
 
 
 def anova_scores(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -44,14 +43,16 @@ BINS = 16
 def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins: int = BINS) -> DataFrame:
     """Mutual information (nats) between the label and each feature cut at its quantiles."""
     cuts = exact_percentiles(df, {c: [i / bins for i in range(1, bins)] for c in features})
-    cells = []
-    for i, c in enumerate(features):
-        limits = sorted({v for v in cuts[c].values() if v is not None})
-        # A bin is an interval together with its upper limit.
-        bin_no = F.floor(interval_code(F.col(f"`{c}`").cast("double"), limits) / 2)
-        cells.append(F.struct(F.lit(c).alias("feature"), F.lit(i).alias("position"), bin_no.alias("bin")))
+    limits = {c: sorted({v for v in cuts[c].values() if v is not None}) for c in features}
+    coded = interval_codes(df.select(F.col(label).alias("_y"), *[F.col(f"`{c}`") for c in features]), limits)
+    # A bin is an interval together with its upper limit.
+    cells = [
+        F.struct(F.lit(c).alias("feature"), F.lit(i).alias("position"), F.floor(F.col(f"_code_{c}") / 2).alias("bin"))
+        for i, c in enumerate(features)
+    ]
     counts = (
-        df.select(F.col(label).alias("_y"), F.inline(F.array(*cells)))
+        coded.select("_y", F.inline(F.array(*cells)))
+        .filter(F.col("bin").isNotNull())
         .groupBy("feature", "position", "bin", "_y")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -10,12 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from floodgauge.functions.expressions import epoch_micros, interval_code
-from floodgauge.session import broadcast_if_small, checkpointed
+from floodgauge.functions.expressions import epoch_micros
+from floodgauge.session import checkpointed
 
 # Up to this many values of one bracket are listed and ranked directly.
 EXACT_LIMIT = 100_000
@@ -65,13 +66,38 @@ def exact_percentiles(
     return result
 
 
+def interval_codes(df: DataFrame, limits: dict[str, list[float]], prefix: str = "_code_") -> DataFrame:
+    """Adds ``{prefix}{c}``: the place of a number among the sorted limits of its column.
+
+    Code ``2 i`` is the open interval below ``limits[i]``, code ``2 i + 1`` the limit itself. The
+    limits are searched by bisection in the JVM.
+    """
+    cut = [c for c in limits if limits[c]]
+    out = df.withColumns({f"{prefix}{c}": F.when(_number(c).isNotNull(), F.lit(0)) for c in limits if c not in cut})
+    if not cut:
+        return out
+    out = out.withColumns({f"_x_{c}": F.coalesce(_number(c), F.lit(0.0)) for c in cut})
+    search = Bucketizer(
+        splitsArray=[[-math.inf, *limits[c], math.inf] for c in cut],
+        inputCols=[f"_x_{c}" for c in cut], outputCols=[f"_i_{c}" for c in cut],
+    )
+    codes = {}
+    for c in cut:
+        place = F.col(f"_i_{c}").cast("int")
+        known = F.array(*[F.lit(v) for v in limits[c]])
+        on_limit = (place > 0) & (F.col(f"_x_{c}") == F.element_at(known, F.greatest(place, F.lit(1))))
+        codes[f"{prefix}{c}"] = F.when(_number(c).isNotNull(), 2 * place - on_limit.cast("int"))
+    return search.transform(out).withColumns(codes).drop(*[f"{t}{c}" for c in cut for t in ("_x_", "_i_")])
+
+
 def _placed(df: DataFrame, limits: dict[str, list[float]]) -> DataFrame:
     """Rows (column number, interval code, value), one per row and column with a value."""
+    coded = interval_codes(df.select(*[_number(c).alias(c) for c in limits]), limits)
     cells = [
-        F.struct(F.lit(i).alias("c"), interval_code(_number(c), limits[c]).alias("b"), _number(c).alias("v"))
+        F.struct(F.lit(i).alias("c"), F.col(f"_code_{c}").alias("b"), F.col(f"`{c}`").alias("v"))
         for i, c in enumerate(limits)
     ]
-    return df.select(F.inline(F.array(*cells))).filter(F.col("b").isNotNull())
+    return coded.select(F.inline(F.array(*cells))).filter(F.col("b").isNotNull())
 
 
 def _values_at(df, ranks, limits, sizes, exact_limit, accuracy) -> dict[tuple[str, int], float]:
@@ -260,11 +286,11 @@ def with_neighbours(
 
 
 __all__ = [
-    "broadcast_if_small",
     "cumulate_by_value",
     "dense_codes",
     "exact_percentiles",
     "grouped_percentiles",
+    "interval_codes",
     "time_chunk",
     "with_neighbours",
 ]

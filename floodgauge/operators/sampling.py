@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from floodgauge.functions.expressions import row_hash
-from floodgauge.session import broadcast_if_small, checkpointed
+from floodgauge.session import BROADCAST_ROW_LIMIT, broadcast_if_small, checkpointed
 
 # Fixed value: hex digits of the prefix the counts are kept for (4 digits: 65,536 prefixes).
 PREFIX_DIGITS = 4
@@ -47,15 +47,16 @@ def class_cuts(
     wanted = quotas(sizes).select(*by, "_part", "_quota")
     order = W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     running = counts.withColumn("_before", F.coalesce(F.sum("_c").over(order), F.lit(0)))
-    located = running.join(broadcast_if_small(wanted), by).filter(
+    located = running.join(wanted, by).filter(
         (F.col("_before") < F.col("_quota")) & (F.col("_quota") <= F.col("_before") + F.col("_c"))
     )
     located = checkpointed(located.select(*by, "_part", "_quota", "_p", "_before"))
+    # The tables below hold at most one row per row of this one, so one check serves them all.
+    hint = F.broadcast if located.count() <= BROADCAST_ROW_LIMIT else lambda t: t
     # Same for single hashes, for the rows of the located prefixes only.
-    prefixes = located.select(*by, "_p").distinct()
     near = (
         hashed.withColumn("_p", prefix)
-        .join(broadcast_if_small(prefixes), [*by, "_p"])
+        .join(hint(located.select(*by, "_p").distinct()), [*by, "_p"])
         .groupBy(*by, "_p", "_h")
         .agg(F.count(F.lit(1)).alias("_copies"))
     )
@@ -63,7 +64,7 @@ def class_cuts(
     near = near.withColumn("_sofar", F.coalesce(F.sum("_copies").over(inside), F.lit(0)))
     rank = F.col("_quota") - F.col("_before")
     return (
-        near.join(broadcast_if_small(located), [*by, "_p"])
+        near.join(hint(located), [*by, "_p"])
         .filter((F.col("_sofar") < rank) & (rank <= F.col("_sofar") + F.col("_copies")))
         .select(
             *by, "_part", F.col("_h").alias("_cut"), (rank - F.col("_sofar")).alias("_take"), "_copies"

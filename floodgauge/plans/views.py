@@ -10,7 +10,7 @@ from floodgauge.session import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def pick(selector: Column, *values: str) -> Column:
@@ -23,7 +23,7 @@ ATTACKS = ("known_ddos", "zero_day", "volumetric", "application_layer", "amplifi
 
 def flows(spark: SparkSession, folder: str) -> DataFrame:
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    e = table(spark, folder, "events").withColumn("k", k)
+    e = spread(table(spark, folder, "events")).withColumn("k", k)
     port = F.element_at(F.array(*[F.lit(p) for p in (80, 443, 53, 22, 8080)]), F.col("k") % 5 + 1)
     other = F.col("event_type").isin("signup", "error")
     return e.select(
