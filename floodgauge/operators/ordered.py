@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from floodgauge.functions.expressions import epoch_micros
-from floodgauge.session import checkpointed
+from floodgauge.session import broadcast_if_small, checkpointed
 
 # Up to this many values of one bracket are listed and ranked directly.
 EXACT_LIMIT = 100_000
@@ -220,7 +220,7 @@ def grouped_percentiles(
     )
     ranked = cumulate_by_value(per_value, keys, "_value", ["_n"])
     sizes = per_value.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    located = ranked.join(sizes, keys) if keys else ranked.withColumn("_size", sizes.scalar())
+    located = ranked.join(broadcast_if_small(sizes), keys) if keys else ranked.withColumn("_size", sizes.scalar())
     out = []
     for name, p in percents.items():
         position = (F.col("_size") - 1) * F.lit(float(p))

@@ -12,6 +12,7 @@ from floodgauge.plans.prepare_dataset import prepare_dataset
 from floodgauge.plans.registry import query, tidy
 from floodgauge.plans.train_and_select import train_and_select
 from floodgauge.plans.views import FEATURES, FLOW_KEY, labelled, table, threats, with_views
+from floodgauge.session import spread
 
 KEY = (FLOW_KEY,)
 
@@ -102,7 +103,7 @@ def _split(spark, folder):
 
 @query("isolation_forest_scores")
 def isolation_forest_scores(spark, folder):
-    rows = labelled(spark, folder).select("flow_key", *FEATURES)
+    rows = spread(labelled(spark, folder).select("flow_key", *FEATURES))
     forest = fit_isolation_forest(rows, FEATURES, n_trees=50, contamination=0.1, key=KEY)
     return tidy(forest.score(rows).select("flow_key", "decision", "predicted"))
 

@@ -49,7 +49,6 @@ def prepare_dataset(
     if cap:
         table = sampling.cap_per_class(table, label, cap, key=key)
     split = sampling.stratified_split(table, label, test, validation, key)
-    split = checkpointed(split)
     if top:
         features = select_by_anova(split.filter("split = 'train'"), features, "Malicious", top)
     scaler = FITTERS[scaling](split.filter("split = 'train'"), features)

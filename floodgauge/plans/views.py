@@ -21,9 +21,10 @@ def pick(selector: Column, *values: str) -> Column:
 ATTACKS = ("known_ddos", "zero_day", "volumetric", "application_layer", "amplification")
 
 
-def flows(spark: SparkSession, folder: str) -> DataFrame:
+def flows(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
+    """Flow view of the events table, or of the given events, which may be a stream."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    e = spread(table(spark, folder, "events")).withColumn("k", k)
+    e = (spread(table(spark, folder, "events")) if events is None else events).withColumn("k", k)
     port = F.element_at(F.array(*[F.lit(p) for p in (80, 443, 53, 22, 8080)]), F.col("k") % 5 + 1)
     other = F.col("event_type").isin("signup", "error")
     return e.select(
@@ -42,8 +43,8 @@ def flows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def threats(spark: SparkSession, folder: str) -> DataFrame:
-    f = flows(spark, folder)
+def threats(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
+    f = flows(spark, folder, events)
     score = F.least(F.lit(1.0), F.col("value") / 250)
     return f.filter(F.col("value") / 250 > 0.2).select(
         "flow_id",

@@ -58,7 +58,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spreads a table that sits in fewer scan tasks than there are cores; others stay as they are."""
+    """Spreads a scan that has fewer tasks than there are cores, for work that is heavy per row.
+
+    Meant for plain scans, whose number of tasks is known without running anything. Tables of many
+    files stay as they are.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
