@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floodgauge.functions.expressions import add_seconds, epoch_micros
-from floodgauge.operators.ordered import with_neighbours
+from floodgauge.operators.ordered import CHUNK_SECONDS, with_neighbours
 
 # Strategy per attack type, score that forces a blackhole.
 STRATEGIES = {
@@ -119,7 +119,7 @@ def active_routes(announced: DataFrame, now: Column | None = None, tie: Sequence
 
 def withdrawals(
     announced: DataFrame, now: Column | None = None, tie: Sequence[str] = (), sweep_seconds: int | None = None,
-    per_type: bool = False,
+    per_type: bool = False, chunk_seconds: float = CHUNK_SECONDS,
 ) -> DataFrame:
     """Withdraw record for every route that was not announced again within its time to live.
 
@@ -129,7 +129,7 @@ def withdrawals(
     has not expired yet.
     """
     keys = ["ip", "route_type"] if per_type else ["ip"]
-    linked = with_neighbours(announced, keys, ["timestamp", *tie], ["timestamp"])
+    linked = with_neighbours(announced, keys, ["timestamp", *tie], ["timestamp"], chunk_seconds)
     expiry = epoch_micros(F.col("timestamp")) + F.col("ttl").cast("long") * 1_000_000
     following = epoch_micros(F.col("following.timestamp"))
     ended = linked.withColumn("_end", expiry).filter(following.isNull() | (following > F.col("_end")))

@@ -24,6 +24,7 @@ SKETCH_ACCURACY = 10_000
 # Points of the sketches of single intervals.
 GRID = 1_000
 CHUNK_SECONDS = 60
+ROWS_PER_CHUNK = 1_000_000
 
 
 def _number(c: str) -> Column:
@@ -239,8 +240,21 @@ def dense_codes(df: DataFrame, column: str) -> DataFrame:
     return ranked.select(column, F.col("_one_before").cast("int").alias("code"))
 
 
-def time_chunk(ts: Column, seconds: int = CHUNK_SECONDS) -> Column:
-    return F.floor(epoch_micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
+def chunk_for(df: DataFrame, ts: str, rows: int = ROWS_PER_CHUNK) -> float:
+    """Chunk length in seconds at which even a key with all rows has about ``rows`` of them per chunk.
+
+    Reads the time column only; call it on a scan and hand the result to the operators. Sparse
+    tables get the default, dense ones shorter chunks, down to a millisecond.
+    """
+    micros = epoch_micros(F.col(ts))
+    row = df.agg(F.count(ts).alias("n"), (F.max(micros) - F.min(micros)).alias("span")).first()
+    if not row["n"] or row["span"] is None:
+        return CHUNK_SECONDS
+    return max(0.001, min(float(CHUNK_SECONDS), row["span"] / 1e6 * rows / row["n"]))
+
+
+def time_chunk(ts: Column, seconds: float = CHUNK_SECONDS) -> Column:
+    return F.floor(epoch_micros(ts) / F.lit(int(seconds * 1_000_000))).cast("long")
 
 
 def with_neighbours(
@@ -248,7 +262,7 @@ def with_neighbours(
     keys: Sequence[str],
     order: Sequence[str],
     fields: Sequence[str],
-    chunk_seconds: int = CHUNK_SECONDS,
+    chunk_seconds: float = CHUNK_SECONDS,
 ) -> DataFrame:
     """Adds structs ``previous`` and ``following`` with ``fields`` of the adjacent rows of a key.
 
@@ -286,6 +300,7 @@ def with_neighbours(
 
 
 __all__ = [
+    "chunk_for",
     "cumulate_by_value",
     "dense_codes",
     "exact_percentiles",

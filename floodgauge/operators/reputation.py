@@ -5,7 +5,7 @@ Every threat adds ``0.3 * score`` (up to 1) and one validation to its address. T
 
 Batch form. A gap below one hour never resets and a gap of two hours always does, so an address'
 timeline falls into segments with gaps of an hour or more between them. Threats are first summed
-per address and minute; the segments and the reset decisions are worked out on these sums, whose
+per address and minute (or a shorter piece, where traffic is dense); the segments and the reset decisions are worked out on these sums, whose
 number depends on the time span and not on the number of threats. The rows themselves are only
 sorted inside a minute, so an address with a third of all threats is spread over many tasks.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from floodgauge.functions.expressions import epoch_micros
-from floodgauge.operators.ordered import time_chunk
+from floodgauge.operators.ordered import CHUNK_SECONDS, time_chunk
 
 # Weight of a new score, base time to live, block limits.
 SCORE_WEIGHT = 0.3
@@ -46,15 +46,20 @@ def should_block(score: Column, validations: Column) -> Column:
 
 
 def reputation_history(
-    threats: DataFrame, tie: Sequence[str] = (), initial: DataFrame | None = None
+    threats: DataFrame, tie: Sequence[str] = (), initial: DataFrame | None = None,
+    chunk_seconds: float = CHUNK_SECONDS,
 ) -> DataFrame:
     """Adds the state after each threat: ``reputation_score``, ``validations``, ``reputation_ttl``.
 
     ``threats`` has ``ip``, ``ts`` and ``score``; ``tie`` orders threats of the same instant.
     ``initial`` is a state table to start from (``ip``, ``score``, ``validations``, ``last_seen``).
+    ``chunk_seconds`` is the length of the pieces a timeline is cut into, at most a minute (see
+    ``ordered.chunk_for``).
     """
+    if not 0 < chunk_seconds <= CHUNK_SECONDS:
+        raise ValueError("chunks last at most a minute, so that no entry can expire inside one")
     micros = epoch_micros(F.col("ts"))
-    cut = threats.withColumn("_chunk", time_chunk(F.col("ts")))
+    cut = threats.withColumn("_chunk", time_chunk(F.col("ts"), chunk_seconds))
     sums = cut.groupBy("ip", "_chunk").agg(
         F.min(micros).alias("_first"), F.max(micros).alias("_last"),
         F.sum("score").alias("_s"), F.count(F.lit(1)).alias("_n"),
@@ -62,7 +67,7 @@ def reputation_history(
     if initial is not None:
         seen = epoch_micros(F.col("last_seen"))
         known = initial.select(
-            "ip", time_chunk(F.col("last_seen")).alias("_chunk"), seen.alias("_first"), seen.alias("_last"),
+            "ip", time_chunk(F.col("last_seen"), chunk_seconds).alias("_chunk"), seen.alias("_first"), seen.alias("_last"),
             (F.col("score") / SCORE_WEIGHT).alias("_s"), F.col("validations").cast("long").alias("_n"),
             F.lit(0).alias("_kind"),
         )

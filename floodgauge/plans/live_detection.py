@@ -12,6 +12,7 @@ from floodgauge.ml.registry import ModelPackage
 from floodgauge.operators.detection import ANOMALY_THRESHOLD, ATTACK_THRESHOLD, detect
 from floodgauge.operators.features import FLOW_FEATURES, flow_features
 from floodgauge.operators.mitigation import announcements, route_updates, withdrawals
+from floodgauge.operators.ordered import chunk_for
 from floodgauge.operators.reputation import malicious_messages, reputation_history
 
 
@@ -43,9 +44,10 @@ def detect_flows(
 
 def plan_mitigation(threats: DataFrame, tie: Sequence[str] = ("flow_id",)) -> DataFrame:
     """Route updates (announce and withdraw) that follow from a table of threats."""
-    blocked = malicious_messages(reputation_history(threats, tie))
+    chunk = chunk_for(threats, "ts")
+    blocked = malicious_messages(reputation_history(threats, tie, chunk_seconds=chunk))
     announced = announcements(blocked, keep=tuple(tie))
-    return route_updates(announced, withdrawals(announced, tie=tie))
+    return route_updates(announced, withdrawals(announced, tie=tie, chunk_seconds=chunk))
 
 
 __all__ = ["FLOW_FEATURES", "detect_flows", "plan_mitigation", "score_flows"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from floodgauge.operators import alerts, detection, features, latency, metrics, mitigation, reputation, windows
+from floodgauge.operators.ordered import chunk_for
 from floodgauge.plans.registry import query, tidy
 from floodgauge.plans.views import datagrams, flows, ids_lines, samples, table, threats, with_views
 from floodgauge.schemas import THREAT
@@ -246,7 +247,8 @@ announced AS (
 
 
 def _history(spark, folder):
-    return reputation.reputation_history(threats(spark, folder), tie=("flow_id",))
+    rows = threats(spark, folder)
+    return reputation.reputation_history(rows, tie=("flow_id",), chunk_seconds=chunk_for(rows, "ts"))
 
 
 @query("reputation_history", with_views(("threats",), """

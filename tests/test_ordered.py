@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from floodgauge.operators.ordered import (
+    chunk_for,
     cumulate_by_value,
     dense_codes,
     exact_percentiles,
@@ -66,3 +67,11 @@ def test_neighbours(spark):
         ids = [i for _, _, i in sorted((kk, s, i) for kk, s, i in rows if kk == k)]
         for n, i in enumerate(ids):
             assert got[i] == (ids[n - 1] if n else None, ids[n + 1] if n + 1 < len(ids) else None)
+
+
+def test_chunk_length(spark):
+    dense = spark.range(100_000).select(F.timestamp_micros(F.col("id")).alias("ts"))
+    assert chunk_for(dense, "ts", rows=50_000) == pytest.approx(0.05, rel=0.01)
+    assert chunk_for(dense, "ts", rows=1) == 0.001
+    assert chunk_for(spark.range(2).select(F.timestamp_seconds(F.col("id") * 10**6).alias("ts")), "ts") == 60
+    assert chunk_for(dense.limit(0), "ts") == 60

@@ -37,10 +37,11 @@ def frame(spark, data):
     return spark.createDataFrame(rows, "ip string, t long, score double, flow_id long").withColumn("ts", F.timestamp_seconds("t"))
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_history_equals_fold(spark, seed):
+@pytest.mark.parametrize("seed,chunk", [(1, 60), (2, 60), (3, 0.5)])
+def test_history_equals_fold(spark, seed, chunk):
     data = timelines(seed)
-    got = {(r.ip, r.flow_id): (r.reputation_score, r.validations) for r in reputation_history(frame(spark, data), ("flow_id",)).collect()}
+    history = reputation_history(frame(spark, data), ("flow_id",), chunk_seconds=chunk)
+    got = {(r.ip, r.flow_id): (r.reputation_score, r.validations) for r in history.collect()}
     for ip, events in data.items():
         for i, (score, count) in enumerate(fold(events)):
             assert got[(ip, i)][1] == count and got[(ip, i)][0] == pytest.approx(score, abs=2e-9), (ip, i)
