@@ -49,10 +49,10 @@ class IsolationForest:
     samples: int
     offset: float = -0.5
 
-    def _normality(self, *columns: Column) -> Column:
+    def _normality(self, spark: SparkSession, *columns: Column) -> Column:
         """Negative anomaly score in [-1, 0)."""
         trees = [{k: np.asarray(t[k]) for k in ("feature", "threshold", "left", "right", "depth")} for t in self.trees]
-        forest = SparkSession.getActiveSession().sparkContext.broadcast(trees)
+        forest = spark.sparkContext.broadcast(trees)
         usual = average_path(self.samples) or 1.0
 
         def score(*values: pd.Series) -> pd.Series:
@@ -78,7 +78,7 @@ class IsolationForest:
         missing = [c for c in self.columns if c not in df.columns]
         if missing or not self.trees:
             raise ValueError(f"forest cannot score this table: no trees or missing columns {missing}")
-        value = self._normality(*[F.col(f"`{c}`").cast("double") for c in self.columns])
+        value = self._normality(df.sparkSession, *[F.col(f"`{c}`").cast("double") for c in self.columns])
         return df.withColumn(decision, value - F.lit(self.offset)).withColumn(
             predicted, (F.col(decision) < 0).cast("int")
         )
@@ -185,7 +185,7 @@ def fit_isolation_forest(
     trees = [r.asDict() for r in rows.orderBy("tree").collect()]
     forest = IsolationForest(columns, trees, samples)
     if contamination is not None:
-        normality = df.select(forest._normality(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("s"))
+        normality = df.select(forest._normality(df.sparkSession, *[F.col(f"`{c}`").cast("double") for c in columns]).alias("s"))
         scores = checkpointed(normality)
         forest.offset = exact_percentiles(scores, {"s": [contamination]})["s"][contamination]
     return forest

@@ -33,7 +33,7 @@ def anova_scores(df: DataFrame, features: Sequence[str], label: str) -> DataFram
     )
     within = F.aggregate("classes", F.lit(0.0), lambda a, s: a + s["n"] * s["var"])
     score = (between / (F.col("k") - 1)) / (within / (F.col("n") - F.col("k")))
-    return sums.select("feature", "position", F.when(within > 0, score).otherwise(F.lit(0.0)).alias("score"))
+    return sums.select("feature", "position", F.when((within > 0) & (F.col("k") > 1) & (F.col("n") > F.col("k")), score).otherwise(F.lit(0.0)).alias("score"))
 
 
 # Fixed value: bins per feature for the mutual information.

@@ -228,7 +228,10 @@ def best_by(df: DataFrame, keys: Sequence[str], metric: str, tie: str) -> DataFr
 
 
 def improvements(df: DataFrame, model: str = "model", version: str = "version", metric: str = "f1_score") -> DataFrame:
-    """Change in percent from the first to the last version (by name), for models with several."""
+    """Change in percent from the first to the last version (by name), for models with several.
+
+    NULL when the first value is zero.
+    """
     return (
         df.groupBy(model)
         .agg(
@@ -237,7 +240,7 @@ def improvements(df: DataFrame, model: str = "model", version: str = "version",
             F.max_by(metric, version).alias("last_value"),
         )
         .filter("n_versions > 1")
-        .withColumn("improvement_pct", (F.col("last_value") - F.col("first_value")) / F.col("first_value") * 100)
+        .withColumn("improvement_pct", F.try_divide(F.col("last_value") - F.col("first_value"), F.col("first_value")) * 100)
     )
 
 

@@ -118,7 +118,8 @@ def threshold_sweep(spark, folder):
 
 
 @query("best_threshold", with_views(("scored",), """
-SELECT dataset, model, threshold, round(sweep_score, 6) AS sweep_score FROM (
+SELECT dataset, model, CASE WHEN sweep_score > 0 THEN threshold ELSE 0.5e0 END AS threshold,
+  round(sweep_score, 6) AS sweep_score FROM (
   SELECT *, row_number() OVER (PARTITION BY dataset, model ORDER BY sweep_score DESC, threshold) AS r FROM valued) x
 WHERE r = 1""", _SWEEP))
 def best_threshold(spark, folder):
@@ -148,7 +149,7 @@ def best_model(spark, folder):
 
 @query("model_improvements", with_views(("scored",), """
 SELECT model, CAST(2 AS BIGINT) AS n_versions, round(f.f1_score, 6) AS first_value, round(l.f1_score, 6) AS last_value,
-  round((l.f1_score - f.f1_score) / f.f1_score * 100, 4) AS improvement_pct
+  round((l.f1_score - f.f1_score) / nullif(f.f1_score, 0) * 100, 4) AS improvement_pct
 FROM rated f JOIN rated l USING (model) WHERE f.dataset = 'F' AND l.dataset = 'O'""", _COUNTS))
 def model_improvements(spark, folder):
     rated = metrics.binary_metrics(scored(spark, folder), KEYS)

@@ -166,12 +166,37 @@ def embedding_classifier(spark, folder):
     return tidy(out.drop("training_time"))
 
 
-@query("prepared_dataset")
+_LONG = " UNION ALL ".join(
+    f"SELECT split, is_attack, '{c}' AS feature, {i} AS position, {c} AS v FROM divided" for i, c in enumerate(FEATURES))
+
+_PREPARED = """
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42|', flow_key))) AS rk
+  FROM (SELECT DISTINCT flow_key, l_quantity, l_extendedprice, l_discount, l_tax, label, is_attack FROM labelled) d),
+capped AS (SELECT *, count(*) OVER (PARTITION BY label) AS n_class FROM ranked WHERE rk <= 15000),
+divided AS (
+  SELECT *, CASE WHEN rk <= t THEN 'test' WHEN rk <= t + round_even((n_class - t) * 0.1e0, 0) THEN 'val' ELSE 'train' END
+    AS split FROM (SELECT *, round_even(n_class * 0.2e0, 0) AS t FROM capped) x),
+long AS (""" + _LONG + """),
+per_class AS (
+  SELECT feature, position, is_attack, count(*) AS n, avg(v) AS m, var_pop(v) AS var, min(v) AS lo, max(v) AS hi
+  FROM long WHERE split = 'train' GROUP BY 1, 2, 3),
+rated AS (
+  SELECT feature, position, min(lo) AS lo, max(hi) AS hi,
+    (sum(n * (m - g) * (m - g)) / (count(*) - 1)) / (sum(n * var) / (sum(n) - count(*))) AS score
+  FROM (SELECT *, sum(n * m) OVER f / sum(n) OVER f AS g FROM per_class WINDOW f AS (PARTITION BY feature)) y GROUP BY 1, 2),
+chosen AS (SELECT * FROM rated ORDER BY score DESC, position LIMIT 3)"""
+
+
+@query("prepared_dataset", with_views(("labelled",), """
+SELECT split, CAST(is_attack AS BIGINT) AS malicious, feature, count(*) AS n, round(avg((v - lo) / (hi - lo)), 4) AS mean
+FROM long JOIN chosen USING (feature) GROUP BY 1, 2, 3""", _PREPARED))
 def prepared_dataset(spark, folder):
     raw = labelled(spark, folder).select(FLOW_KEY, *FEATURES, F.col("label").alias("Label"))
-    done = prepare_dataset(raw, cap=20_000, top=3, scaling="min_max", validation=0.1, key=KEY)
-    return tidy(done.table.groupBy("split", "Malicious").agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in done.features]), 4)
+    done = prepare_dataset(raw, cap=15_000, top=3, scaling="min_max", validation=0.1, key=KEY)
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in done.features])
+    return tidy(done.table.select("split", F.col("Malicious").alias("malicious"), F.inline(cells)).groupBy(
+        "split", "malicious", "feature").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")), 4)
 
 
 @query("selected_model")
