@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from floodgauge.session import spread
 
@@ -227,8 +226,6 @@ def ids_lines(spark: SparkSession, folder: str) -> DataFrame:
     return f.select("flow_id", line.alias("value"))
 
 
-NTZ = T.TimestampNTZType()
-
 SQL = {
     "flows": """
 flows AS (
