@@ -44,7 +44,7 @@ def compare(spark, con, name, fn, sql, folder: str = SF):
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} against {sorted(names)}", spent, len(got)
     for field, kind in df.dtypes:
-        expected = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}.get(kind, kind)
+        expected = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "int": "INTEGER", "boolean": "BOOLEAN"}.get(kind, kind)
         if kinds[field] != expected:
             return f"type of {field}: {kind} against {kinds[field]}", spent, len(got)
     a, b = rows_of(df.columns, got), rows_of(names, want)
