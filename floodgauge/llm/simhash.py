@@ -25,13 +25,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floodgauge.llm.common import query, spaced_words, table
+from floodgauge.llm.common import fresh, query, spaced_words, table
 from floodgauge.llm.components import stars
 from floodgauge.session import broadcast_if_small, checkpointed
 
 SEED = 42
 #: A unit with more rows than this is replaced by units of its children, this many bits further down.
-UNIT_ROWS, STEP_BITS = 65_536, 6
+UNIT_ROWS, STEP_BITS = 131_072, 3
 #: Pairs of nodes that a task holds at a time, and pairs of rows below which they are compared at once.
 FRONT, LEAF = 400_000, 48
 
@@ -82,14 +82,14 @@ def _refined(units: DataFrame, depth: int, bits: int, budget: int) -> DataFrame:
         flips = F.array(F.lit(0).cast("long"))
     else:
         flips = F.filter(F.array(*(F.lit(m).cast("long") for m in _masks(bits, budget))), lambda m: F.bit_count(m) + F.col("spent") <= budget)
-    grown = units.select("turn", "code", *(c for c in units.columns if c == "more"), own.alias("own"), other.alias("other"), spent.alias("spent"), next_bits.alias("next"))
+    grown = units.select("turn", "code", own.alias("own"), other.alias("other"), spent.alias("spent"), next_bits.alias("next"))
     each = grown.withColumn("flip", F.explode(flips)).withColumns({
         "own": F.shiftleft("own", bits).bitwiseOR(F.col("next")),
         "other": F.shiftleft("other", bits).bitwiseOR(F.col("next").bitwiseXOR(F.col("flip"))),
     })
     return each.select(
         "turn", F.lit(depth + bits).alias("depth"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "code", *(c for c in units.columns if c == "more"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"), "code",
     )
 
 
@@ -98,11 +98,7 @@ def _rotated(code: Column, by: int) -> Column:
 
 
 def units(nodes: DataFrame, budget: int, blocks: int, unit_rows: int = UNIT_ROWS, start_bits: int | None = None) -> DataFrame:
-    """Units of at most ``unit_rows`` rows that together hold every pair within the budget.
-
-    ``nodes``: distinct fingerprints ``f0``, and ``more`` if rows carry a second word.
-    """
-    extra = [c for c in nodes.columns if c == "more"]
+    """Units of at most ``unit_rows`` rows that together hold every pair within the budget; ``nodes``: distinct fingerprints ``f0``."""
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     first_budget = budget // blocks
     parts = []
@@ -110,7 +106,7 @@ def units(nodes: DataFrame, budget: int, blocks: int, unit_rows: int = UNIT_ROWS
         width = cuts[turn + 1] - cuts[turn]
         root = nodes.select(
             F.lit(turn).alias("turn"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.lit(0).alias("side"),
-            _rotated(F.col("f0"), cuts[turn]).alias("code"), *extra,
+            _rotated(F.col("f0"), cuts[turn]).alias("code"),
         )
         parts.append(_refined(root, 0, min(width, start_bits or width), first_budget))
     ready = []
@@ -126,36 +122,39 @@ def units(nodes: DataFrame, budget: int, blocks: int, unit_rows: int = UNIT_ROWS
             warm = _refined(warm.join(hot, ["p", "q"], "left_semi"), depth, bits, first_budget if depth < width else budget)
             depth += bits
         ready.append(warm)
-    columns = ["turn", "depth", "p", "q", "side", "code", *extra]
+    columns = ["turn", "depth", "p", "q", "side", "code"]
     all_units = ready[0].select(columns)
     for more in ready[1:]:
         all_units = all_units.union(more.select(columns))
     return all_units
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n rows the smallest row it is linked with."""
-    parent = np.arange(n)
-    while True:
-        x, y = parent[a], parent[b]
-        open_ = x != y
-        if not open_.any():
-            return parent
-        np.minimum.at(parent, np.maximum(x, y)[open_], np.minimum(x, y)[open_])
+def _forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of the links that make a spanning forest of n rows, those of fewer differing bits first."""
+    parent, chosen = np.arange(n), []
+    for level in np.unique(d):
+        left = np.flatnonzero(d == level)
         while True:
-            up = parent[parent]
-            if (up == parent).all():
+            x, y = parent[a[left]], parent[b[left]]
+            left, x, y = (v[x != y] for v in (left, x, y))
+            if not len(left):
                 break
-            parent = up
+            high, low = np.maximum(x, y), np.minimum(x, y)
+            order = np.lexsort((low, high))
+            first = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])]
+            parent[high[first]] = low[first]
+            chosen.append(left[first])
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+    return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
 
 
 class _Walk:
     """Joint traversal of the pairs of nodes in one task; rows are sorted by unit, side and code."""
 
-    def __init__(self, code: np.ndarray, more: np.ndarray | None, budget: int, total: int):
-        self.code, self.more, self.budget, self.total, self.set_bits = code, more, budget, total, {}
-        self.parent = np.arange(len(code))
-        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, code: np.ndarray, budget: int):
+        self.code, self.budget, self.set_bits = code, budget, {}
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.pending = 0
 
     def ones_before(self, depth: int) -> np.ndarray:
@@ -174,24 +173,20 @@ class _Walk:
             pair = np.repeat(np.arange(len(n)), n)
             k = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
             x, y = a[s][pair] + k // bn[s][pair], b[s][pair] + k % bn[s][pair]
-            ok = x != y
-            differ = np.bitwise_count(self.code[x] ^ self.code[y]).astype(np.int16)
-            ok &= differ <= self.budget
-            if self.more is not None:
-                ok &= differ + np.bitwise_count(self.more[x] ^ self.more[y]) <= self.total
-            self.found.append((x[ok], y[ok]))
+            differ = np.bitwise_count(self.code[x] ^ self.code[y])
+            ok = (x != y) & (differ <= self.budget)
+            self.found.append((x[ok], y[ok], differ[ok]))
             self.pending += int(ok.sum())
             if self.pending > FRONT:
                 self.reduce()
 
     def reduce(self) -> None:
         """Links so far, cut down to a forest."""
-        own = np.flatnonzero(self.parent != np.arange(len(self.parent)))
-        a = np.concatenate([own, *(x for x, _ in self.found)])
-        b = np.concatenate([self.parent[own], *(y for _, y in self.found)])
-        self.parent, self.found, self.pending = _forest(len(self.parent), a, b), [], 0
+        a, b, d = (np.concatenate(x) for x in zip(*self.found)) if self.found else (np.zeros(0, np.int64),) * 3
+        kept = _forest(len(self.code), a, b, d)
+        self.found, self.pending = [(a[kept], b[kept], d[kept])], 0
 
-    def run(self, lo_a, hi_a, lo_b, hi_b, depth, spent) -> np.ndarray:
+    def run(self, lo_a, hi_a, lo_b, hi_b, depth, spent) -> tuple[np.ndarray, np.ndarray]:
         stack = [(d, *(x[depth == d] for x in (lo_a, hi_a, lo_b, hi_b, spent))) for d in np.unique(depth)]
         while stack:
             d, la, ha, lb, hb, err = stack.pop()
@@ -219,11 +214,13 @@ class _Walk:
             alive = (joined[1] > joined[0]) & (joined[3] > joined[2]) & (joined[4] <= self.budget)
             stack.append((d + 1, *(x[alive] for x in joined)))
         self.reduce()
-        return self.parent
+        return self.found[0][:2]
+
 
+def _task_links(budget: int, blocks: int):
+    by = np.array([64 * i // blocks for i in range(blocks)], np.uint64)
 
-def _task_links(budget: int, total: int):
-    def of(code, unit_columns, side, more):
+    def of(code, unit_columns, side):
         """Links inside whole units, as pairs of rows."""
         change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in unit_columns], axis=0)) + 1
         lo = np.concatenate([[0], change])
@@ -235,10 +232,7 @@ def _task_links(budget: int, total: int):
         a_lo, a_hi, b_lo, b_hi = lo, np.where(same, hi, mid), np.where(same, lo, mid), hi
         alive = (a_hi > a_lo) & (b_hi > b_lo) & ~(same & (hi - lo < 2))
         spent = np.bitwise_count(p ^ q).astype(np.int64)
-        walk = _Walk(code, more, budget, total)
-        root = walk.run(*(x[alive] for x in (a_lo, a_hi, b_lo, b_hi, depth, spent)))
-        own = np.flatnonzero(root != np.arange(len(root)))
-        return own, root[own]
+        return _Walk(code, budget).run(*(x[alive] for x in (a_lo, a_hi, b_lo, b_hi, depth, spent)))
 
     def run(batches: Iterator[pa.RecordBatch]):
         kept: pa.Table | None = None
@@ -246,9 +240,10 @@ def _task_links(budget: int, total: int):
         def links(rows: pa.Table):
             names = ("turn", "depth", "p", "q")
             get = lambda n: rows.column(n).to_numpy().astype(np.int64, copy=False)
-            more = get("more").view(np.uint64) if "more" in rows.column_names else None
-            a, b = of(get("code").view(np.uint64), [get(n) for n in names], get("side"), more)
-            f0 = get("f0")
+            code = get("code").view(np.uint64)
+            a, b = of(code, [get(n) for n in names], get("side"))
+            back = by[get("turn")]
+            f0 = ((code >> back) | (code << ((np.uint64(64) - back) % np.uint64(64)))).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(f0[a]), pa.array(f0[b])], ["a", "b"])
 
         for batch in batches:
@@ -266,18 +261,11 @@ def _task_links(budget: int, total: int):
     return run
 
 
-def links(nodes: DataFrame, budget: int = 2, blocks: int = 3, total: int | None = None, unit_rows: int = UNIT_ROWS, start_bits: int | None = None) -> DataFrame:
-    """``a, b``: links that connect all fingerprints within ``budget`` differing bits of each other.
-
-    ``nodes`` has distinct ``f0``; with a column ``more``, a link must also have at most ``total`` differing bits in both words.
-    """
+def links(nodes: DataFrame, budget: int = 2, blocks: int = 3, unit_rows: int = UNIT_ROWS, start_bits: int | None = None) -> DataFrame:
+    """``a, b``: links that connect all fingerprints within ``budget`` differing bits of each other. ``nodes`` has distinct ``f0``."""
     found = units(nodes, budget, blocks, unit_rows, start_bits)
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    back = F.col("code")
-    for turn in range(1, blocks):
-        back = F.when(F.col("turn") == turn, _rotated(F.col("code"), 64 - cuts[turn])).otherwise(back)
-    sorted_units = found.withColumn("f0", back).repartition("turn", "p", "q").sortWithinPartitions("turn", "depth", "p", "q", "side", "code")
-    return sorted_units.mapInArrow(_task_links(budget, budget if total is None else total), "a bigint, b bigint")
+    sorted_units = found.repartition("turn", "p", "q").sortWithinPartitions("turn", "depth", "p", "q", "side", "code")
+    return sorted_units.mapInArrow(_task_links(budget, blocks), "a bigint, b bigint")
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 3, budget: int = 2, id_column: str = "doc_id", text_column: str = "text", blocks: int = 3) -> DataFrame:
@@ -290,6 +278,78 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, budget: int = 2, id_
     return rows.join(placed.join(named, "root").select("f0", "component"), "f0")
 
 
+def _numbers(words: list[bytes], shingle: int) -> np.ndarray:
+    """Distinct hashes of the shingles."""
+    parts = {b" ".join(p) for p in zip(*(words[i:] for i in range(shingle)))} or {b" ".join(words)}
+    return np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64, len(parts)).view(np.int64)
+
+
+def _word_hash(words: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(words), SEED) - (1 << 63)
+
+
+def _mapped(rows: DataFrame, of, schema: str) -> DataFrame:
+    """Columns of the schema from each text; ``of`` takes the words of a text. The key column goes through."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            found = [of(spaced_words(t.as_py())) for t in batch.column("text")]
+            columns = [pa.array(c) for c in zip(*found)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], names)
+
+    names = ["key", *(c.split()[0] for c in schema.split(", "))]
+    return rows.mapInArrow(run, f"key bigint, {schema}")
+
+
+def copies(documents: DataFrame, key: str, text_column: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: int = 6, budget: int = 8) -> DataFrame:
+    """``key, group``: groups of texts that are joined by links of at least this Jaccard similarity of word shingles.
+
+    Candidates are pairs whose fingerprints differ in few bits under at least one of several hashes; each is checked exactly.
+    Texts with the same words are one node. ``key`` is a long column without repeats. With six hashes and eight bits a pair of
+    similarity 0.8 is a candidate with probability of about 0.92, one of 0.85 of about 0.99.
+    """
+    used = tuple(range(SEED, SEED + seeds))
+    texts = documents.select(F.col(key).alias("key"), F.col(text_column).cast("string").alias("text"))
+    kinds = "h bigint, " + ", ".join(f"f{i} bigint" for i in range(seeds))
+    rows = checkpointed(_mapped(texts, lambda words: (_word_hash(words), *fingerprint(words, shingle, used)), kinds))
+    nodes = checkpointed(rows.groupBy("h").agg(F.min("key").alias("key"), *(F.first(f"f{i}").alias(f"f{i}") for i in range(seeds))))
+    found = None
+    for i in range(seeds):
+        named = nodes.select("h", F.col(f"f{i}").alias("f0"))
+        heads = named.groupBy("f0").agg(F.min("h").alias("head"))
+        equal = named.join(heads, "f0").where("h <> head").select(F.col("h").alias("a"), F.col("head").alias("b"))
+        near = links(heads.select("f0"), budget, start_bits=4)
+        near = near.join(heads.select(F.col("f0").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("f0").alias("b"), F.col("head").alias("y")), "b")
+        pairs = equal.union(near.select("x", "y"))
+        found = pairs if found is None else found.union(pairs)
+    pairs = checkpointed(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    linked = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+    wanted = nodes.join(linked, "h", "left_semi").select("key")
+    sets = _mapped(texts.join(broadcast_if_small(wanted), "key", "left_semi"), lambda words: (_word_hash(words), _numbers(words, shingle)), "h bigint, parts array<bigint>")
+    sets = checkpointed(sets.select("h", "parts"))
+    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("parts").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("parts").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    roots = stars(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    group = rows.select("key", "h").join(roots.select(F.col("a").alias("h"), "b"), "h", "left")
+    return group.select("key", F.coalesce("b", "h").alias("group"))
+
+
+def one_of_each(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
+    """The documents without copies: of each group the row with the smallest id stays (without an id: last), columns as they were.
+
+    The rows are written once with a number, so that the decision is about the same rows whatever is computed anew.
+    """
+    key = fresh(documents, "key")
+    rows = checkpointed(documents.withColumn(key, F.monotonically_increasing_id()))
+    order = F.struct(F.col(id_column).isNull().alias("n"), F.col(id_column).alias("i"), F.col(key).alias("k"))
+    placed = copies(rows, key, text_column, **how)
+    shared = placed.groupBy("group").count().where("count > 1").select("group")
+    members = placed.join(shared, "group", "left_semi").join(rows.select(F.col(key).alias("key"), order.alias("o")), "key")
+    first = members.groupBy("group").agg(F.min("o").alias("o")).select("group", F.col("o.k").alias("first"))
+    gone = members.join(first, "group").where("key <> first").select(F.col("key").alias(key))
+    return rows.join(broadcast_if_small(gone), key, "left_anti").select(*(F.col(f"`{c}`") for c in documents.columns))
+
+
 @query("op3_simhash")
 def op3_simhash(spark, folder):
     """Fingerprint over three-word shingles and component under links of at most two differing bits, for every document."""

@@ -87,7 +87,26 @@ def test_texts_and_edge_cases(spark):
     assert parts == {(5, 3), (3, 3), (9, 3), (None, 3), (4, 2), (2, 2), (8, 2), (7, 6), (6, 6), (11, 11), (12, 12)}
 
 
+def test_one_of_each_group_stays(spark):
+    draw = random.Random(5)
+    words = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    rows, groups = [], {}
+    for g in range(40):
+        base = words(draw.choice((60, 300)))
+        for c in range(draw.choice((1, 1, 3, 5))):
+            other = list(base)
+            if c:
+                other[draw.randrange(len(other))] = "changed"  # five shingles of at least 56 differ
+            rows.append((len(rows), " ".join(other)))
+            groups.setdefault(g, []).append(len(rows) - 1)
+    rows += [(0, rows[0][1]), (500, None), (501, ""), (None, rows[0][1])]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("key", F.lit(1))).collect()
+    assert sorted(r.doc_id for r in got) == sorted([g[0] for g in groups.values()] + [500])
+    assert got[0].asDict().keys() == {"doc_id", "text", "key"}
+
+
 def test_empty_table(spark):
+    assert simhash.one_of_each(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
