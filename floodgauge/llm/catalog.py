@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from floodgauge.llm import decontamination, quality, sharding, simhash, urls  # noqa: F401
+from floodgauge.llm import bpe, decontamination, quality, sharding, simhash, urls  # noqa: F401
 from floodgauge.llm.common import ORACLES, QUERIES
 
 
