@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from floodgauge.llm import bpe, chat, decontamination, licences, quality, sharding, simhash, toxicity, urls  # noqa: F401
+from floodgauge.llm import bpe, chat, decontamination, language_model, licences, quality, sharding, simhash, toxicity, urls  # noqa: F401
 from floodgauge.llm.common import ORACLES, QUERIES
 
 
