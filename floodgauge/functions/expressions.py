@@ -46,8 +46,10 @@ def at_least(c: Column, floor: float) -> Column:
     return F.greatest(c, F.lit(floor))
 
 
-def clamp(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+def clamp(c: Column, low, high) -> Column:
+    """Values outside the limits move to the limit; NULL and NaN stay what they are."""
+    limited = F.greatest(F.lit(low), F.least(F.lit(high), c))
+    return F.when(c.isNull() | F.isnan(c.cast("double")), c).otherwise(limited)
 
 
 def or_zero(c: Column) -> Column:

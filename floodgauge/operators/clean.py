@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from floodgauge.functions.expressions import finite_or_null
+from floodgauge.functions.expressions import clamp, finite_or_null
 from floodgauge.operators.ordered import dense_codes, exact_percentiles
 from floodgauge.session import broadcast_if_small
 
@@ -63,8 +63,9 @@ def attack_flag(label: Column, style: str, numeric: bool = False) -> Column:
 
 
 def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default) -> DataFrame:
-    """Left join to a map table; keys it lacks get ``default``."""
-    joined = df.join(broadcast_if_small(table.select(key, value)), key, "left")
+    """Left join to a map table; keys it lacks get ``default``. Of several values of a key the smallest counts."""
+    one_each = table.groupBy(key).agg(F.min(value).alias(value))
+    joined = df.join(broadcast_if_small(one_each), key, "left")
     return joined.withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 
@@ -231,7 +232,7 @@ def clip_per_column(df: DataFrame, columns: Sequence[str], low: float = 0.01, hi
     """Values outside the column's percentiles move to the limit."""
     limits = exact_percentiles(df, {c: [low, high] for c in columns})
     return df.withColumns(
-        {c: F.greatest(F.lit(limits[c][low]), F.least(F.lit(limits[c][high]), F.col(f"`{c}`"))) for c in columns}
+        {c: clamp(F.col(f"`{c}`"), limits[c][low], limits[c][high]) for c in columns}
     )
 
 
@@ -240,7 +241,7 @@ def clip_global(df: DataFrame, columns: Sequence[str], low: float = 0.02, high:
     stacked = df.select(F.explode(F.array(*[F.col(f"`{c}`").cast("double") for c in columns])).alias("v"))
     limits = exact_percentiles(stacked, {"v": [low, high]})["v"]
     return df.withColumns(
-        {c: F.greatest(F.lit(limits[low]), F.least(F.lit(limits[high]), F.col(f"`{c}`"))) for c in columns}
+        {c: clamp(F.col(f"`{c}`"), limits[low], limits[high]) for c in columns}
     )
 
 

@@ -70,8 +70,9 @@ def integration_summary(integrated: DataFrame, is_attack: Column | str, source:
         F.sum("_y").alias("attack_samples"),
         (F.count(F.lit(1)) - F.sum("_y")).alias("normal_samples"),
         F.avg("_y").alias("attack_ratio"),
+        F.grouping(source).alias("_total"),
     )
     return rows.select(
-        F.coalesce(F.concat(F.lit("individual_"), F.col(source)), F.lit("combined")).alias("configuration"),
+        F.when(F.col("_total") == 1, "combined").otherwise(F.concat(F.lit("individual_"), F.col(source))).alias("configuration"),
         "samples", "attack_samples", "normal_samples", "attack_ratio",
     )

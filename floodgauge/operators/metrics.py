@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floodgauge.operators.ordered import cumulate_by_value, exact_percentiles, grouped_percentiles
-from floodgauge.session import checkpointed
+from floodgauge.session import checkpointed, null_safe_join
 
 
 def _safe(numerator: Column, denominator: Column) -> Column:
@@ -140,7 +140,7 @@ def latency_stats(df: DataFrame, value: str = "latency", keys: Sequence[str] = (
     )
     percents = {"median": 0.5, "p95": 0.95, "p99": 0.99}
     if keys:
-        return basic.join(grouped_percentiles(df, keys, value, percents), keys)
+        return null_safe_join(basic, grouped_percentiles(df, keys, value, percents), keys, "left")
     found = exact_percentiles(df, {value: list(percents.values())})[value]
     # Without a single value there is no row, as with empty statistics.
     return basic.filter(F.col("count") > 0).select(
@@ -200,7 +200,7 @@ def best_threshold(df: DataFrame, keys: Sequence[str], y: str = "y", score: str
 
 
 def production_score(precision: Column, recall: Column, accuracy: Column, rows_per_second: Column) -> Column:
-    speed = F.least(rows_per_second / 10_000, F.lit(1.0))
+    speed = F.least(F.coalesce(rows_per_second, F.lit(0.0)) / 10_000, F.lit(1.0))
     return precision * 0.4 + recall * 0.3 + accuracy * 0.2 + speed * 0.1
 
 
@@ -220,7 +220,7 @@ def best_by(df: DataFrame, keys: Sequence[str], metric: str, tie: str) -> DataFr
     """
     order = F.struct(F.col(metric).alias("_m"))
     top = df.filter(F.col(metric) > 0).groupBy(*keys).agg(F.max(order).alias("_top"))
-    held = df.join(top, list(keys)) if keys else df.withColumn("_top", top.select("_top").scalar())
+    held = null_safe_join(df, top, list(keys)) if keys else df.withColumn("_top", top.select("_top").scalar())
     first = F.min(F.struct(F.col(tie), *[c for c in df.columns if c not in (*keys, tie)]))
     return (
         held.filter(F.col(metric) == F.col("_top._m")).groupBy(*keys).agg(first.alias("_r")).select(*keys, "_r.*")

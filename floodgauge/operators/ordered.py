@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from floodgauge.functions.expressions import epoch_micros
-from floodgauge.session import broadcast_if_small, checkpointed
+from floodgauge.session import broadcast_if_small, checkpointed, null_safe_join
 
 # Up to this many values of one bracket are listed and ranked directly.
 EXACT_LIMIT = 100_000
@@ -202,7 +202,7 @@ def cumulate_by_value(
     running = placed.select(
         "*", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_in_{s}") for s in sums]
     )
-    joined = running.join(offsets, ["_slot", *keys])
+    joined = null_safe_join(running, offsets, ["_slot", *keys])
     return joined.select(
         *[c for c in counts.columns],
         *[(F.col(f"_in_{s}") + F.col(f"_off_{s}")).alias(f"{s}_before") for s in sums],
@@ -221,7 +221,7 @@ def grouped_percentiles(
     )
     ranked = cumulate_by_value(per_value, keys, "_value", ["_n"])
     sizes = per_value.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    located = ranked.join(broadcast_if_small(sizes), keys) if keys else ranked.withColumn("_size", sizes.scalar())
+    located = null_safe_join(ranked, broadcast_if_small(sizes), keys) if keys else ranked.withColumn("_size", sizes.scalar())
     out = []
     for name, p in percents.items():
         position = (F.col("_size") - 1) * F.lit(float(p))

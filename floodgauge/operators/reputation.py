@@ -36,7 +36,7 @@ def ttl_seconds(score: Column) -> Column:
 
 
 def folded_score(total: Column) -> Column:
-    return F.round(F.least(F.lit(1.0), F.lit(SCORE_WEIGHT) * total), DIGITS)
+    return F.round(F.least(F.lit(1.0), F.lit(SCORE_WEIGHT) * F.coalesce(total, F.lit(0.0))), DIGITS)
 
 
 def should_block(score: Column, validations: Column) -> Column:
@@ -54,15 +54,21 @@ def reputation_history(
     ``threats`` has ``ip``, ``ts`` and ``score``; ``tie`` orders threats of the same instant.
     ``initial`` is a state table to start from (``ip``, ``score``, ``validations``, ``last_seen``).
     ``chunk_seconds`` is the length of the pieces a timeline is cut into, at most a minute (see
-    ``ordered.chunk_for``).
+    ``ordered.chunk_for``). A missing score counts as 0. A threat without address or time cannot be
+    placed: it comes back without a state and adds nothing to others.
     """
     if not 0 < chunk_seconds <= CHUNK_SECONDS:
         raise ValueError("chunks last at most a minute, so that no entry can expire inside one")
     micros = epoch_micros(F.col("ts"))
+    placed = F.col("ip").isNotNull() & F.col("ts").isNotNull()
+    unplaced = threats.filter(~placed).withColumns({
+        "reputation_score": F.lit(None).cast("double"), "validations": F.lit(None).cast("long"), "reputation_ttl": F.lit(None).cast("int"),
+    })
+    threats = threats.filter(placed)
     cut = threats.withColumn("_chunk", time_chunk(F.col("ts"), chunk_seconds))
     sums = cut.groupBy("ip", "_chunk").agg(
         F.min(micros).alias("_first"), F.max(micros).alias("_last"),
-        F.sum("score").alias("_s"), F.count(F.lit(1)).alias("_n"),
+        F.sum(F.coalesce("score", F.lit(0.0))).alias("_s"), F.count(F.lit(1)).alias("_n"),
     ).withColumn("_kind", F.lit(1))
     if initial is not None:
         seen = epoch_micros(F.col("last_seen"))
@@ -99,13 +105,14 @@ def reputation_history(
         .select("ip", "_chunk", "_base_s", "_base_n")
     )
     inside = W.partitionBy("ip", "_chunk").orderBy("ts", *tie).rowsBetween(W.unboundedPreceding, 0)
-    total = F.col("_base_s") + F.sum("score").over(inside)
+    total = F.col("_base_s") + F.sum(F.coalesce("score", F.lit(0.0))).over(inside)
     return (
         cut.join(base, ["ip", "_chunk"])
         .withColumn("reputation_score", folded_score(total))
         .withColumn("validations", F.col("_base_n") + F.count(F.lit(1)).over(inside))
         .withColumn("reputation_ttl", ttl_seconds(F.col("reputation_score")))
         .select(*threats.columns, "reputation_score", "validations", "reputation_ttl")
+        .unionByName(unplaced)
     )
 
 

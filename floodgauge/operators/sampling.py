@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from floodgauge.functions.expressions import row_hash
-from floodgauge.session import BROADCAST_ROW_LIMIT, broadcast_if_small, checkpointed
+from floodgauge.session import BROADCAST_ROW_LIMIT, broadcast_if_small, checkpointed, null_safe_join
 
 # Fixed value: hex digits of the prefix the counts are kept for (4 digits: 65,536 prefixes).
 PREFIX_DIGITS = 4
@@ -47,7 +47,7 @@ def class_cuts(
     wanted = quotas(sizes).select(*by, "_part", "_quota")
     order = W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     running = counts.withColumn("_before", F.coalesce(F.sum("_c").over(order), F.lit(0)))
-    located = running.join(wanted, by).filter(
+    located = null_safe_join(running, wanted, by).filter(
         (F.col("_before") < F.col("_quota")) & (F.col("_quota") <= F.col("_before") + F.col("_c"))
     )
     located = checkpointed(located.select(*by, "_part", "_quota", "_p", "_before"))
@@ -55,8 +55,7 @@ def class_cuts(
     hint = F.broadcast if located.count() <= BROADCAST_ROW_LIMIT else lambda t: t
     # Same for single hashes, for the rows of the located prefixes only.
     near = (
-        hashed.withColumn("_p", prefix)
-        .join(hint(located.select(*by, "_p").distinct()), [*by, "_p"])
+        null_safe_join(hashed.withColumn("_p", prefix), hint(located.select(*by, "_p").distinct()), [*by, "_p"])
         .groupBy(*by, "_p", "_h")
         .agg(F.count(F.lit(1)).alias("_copies"))
     )
@@ -64,7 +63,7 @@ def class_cuts(
     near = near.withColumn("_sofar", F.coalesce(F.sum("_copies").over(inside), F.lit(0)))
     rank = F.col("_quota") - F.col("_before")
     return (
-        near.join(hint(located), [*by, "_p"])
+        null_safe_join(near, hint(located), [*by, "_p"])
         .filter((F.col("_sofar") < rank) & (rank <= F.col("_sofar") + F.col("_copies")))
         .select(
             *by, "_part", F.col("_h").alias("_cut"), (rank - F.col("_sofar")).alias("_take"), "_copies"
@@ -90,7 +89,7 @@ def assign_parts(
             for i in range(parts)
         ]
     )
-    rows = _hashed(df, by, key, seed).join(broadcast_if_small(per_class), classes, "left")
+    rows = null_safe_join(_hashed(df, by, key, seed), broadcast_if_small(per_class), classes, "left")
     beyond = [
         F.when(F.col(f"_q{i}").isNull() | (F.col("_h") > F.col(f"_q{i}._cut")), 1).otherwise(0)
         for i in range(parts)
@@ -100,7 +99,7 @@ def assign_parts(
         return rows.withColumn(name, part).select(*df.columns, name)
     cut_hashes = partial.select(*classes, F.col("_cut").alias("_h")).distinct()
     split_here = broadcast_if_small(cut_hashes.withColumn("_shared", F.lit(1)))
-    marked = rows.join(split_here, [*classes, "_h"], "left")
+    marked = null_safe_join(rows, split_here, [*classes, "_h"], "left")
     whole = marked.filter(F.col("_shared").isNull()).withColumn(name, part).select(*df.columns, name)
     return whole.unionByName(_deal_copies(marked.filter("_shared = 1"), df.columns, classes, parts, name))
 
@@ -161,7 +160,7 @@ def cap_per_class(
     key: Sequence[str] | None = None, seed: int = DEFAULT_SEED,
 ) -> DataFrame:
     """At most ``n`` rows of every class; excluded classes are dropped."""
-    kept = df.filter(~F.col(label).isin(*exclude)) if exclude else df
+    kept = df.filter(~F.coalesce(F.col(label).isin(*exclude), F.lit(False))) if exclude else df
     return _keep_first(kept, [label], _single(F.least(F.col("_n"), F.lit(n))), key, seed)
 
 
@@ -247,7 +246,7 @@ def source_quota_sample(
     )
     known = broadcast_if_small(checkpointed(filled))
     group = F.when(F.col("_fills"), F.col(is_attack)).otherwise(F.lit(-1))
-    tagged = df.join(known, source).withColumn("_side", group).select(*df.columns, "_side")
+    tagged = null_safe_join(df, known, [source]).withColumn("_side", group).select(*df.columns, "_side")
     cap = F.when(F.col("_side") == 0, normal).when(F.col("_side") == 1, attack).otherwise(n)
     picked = _keep_first(
         tagged, [source, "_side"], _single(F.least(F.col("_n"), cap)), key or df.columns, seed

@@ -23,8 +23,9 @@ def class_totals(df: DataFrame, dataset: str, is_attack: str) -> DataFrame:
         F.sum(1 - y).alias("normal"),
         F.sum(y).alias("attack"),
         F.avg(y).alias("attack_ratio"),
+        F.grouping(dataset).alias("_total"),
     )
-    return rows.select(F.coalesce(F.col(dataset), F.lit("total")).alias("dataset"), "n", "normal", "attack", "attack_ratio")
+    return rows.select(F.when(F.col("_total") == 1, "total").otherwise(F.col(dataset)).alias("dataset"), "n", "normal", "attack", "attack_ratio")
 
 
 def attack_types(df: DataFrame, label: str) -> DataFrame:

@@ -127,8 +127,8 @@ def trailing_throughput(
     """
     age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))
     recent = events.filter((age >= 0) & (age < seconds * 1_000_000))
-    return recent.rollup(kind).agg(F.count(F.lit(1)).alias("n_events")).select(
-        F.coalesce(F.col(kind), F.lit("total")).alias("event_type"),
+    return recent.rollup(kind).agg(F.count(F.lit(1)).alias("n_events"), F.grouping(kind).alias("_total")).select(
+        F.when(F.col("_total") == 1, "total").otherwise(F.col(kind)).alias("event_type"),
         "n_events",
         (F.col("n_events") / seconds).alias("per_second"),
     )

@@ -67,6 +67,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the keys come from the left table."""
+    renamed = {k: f"_right_{k}" for k in keys}
+    other = right.withColumnsRenamed(renamed)
+    condition = [left[f"`{k}`"].eqNullSafe(other[f"`{r}`"]) for k, r in renamed.items()]
+    return left.join(other, condition, how).drop(*renamed.values())
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Broadcast hint when the table holds at most ``limit`` rows, otherwise the plain table.
 

@@ -22,14 +22,24 @@ def encode(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.select(F.col(key).cast("string").alias("key"), value) if key else df.select(value)
 
 
-def decode(df: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
-    """Typed rows of JSON messages; messages that are not JSON are dropped."""
-    slot = "_corrupt"
-    wide = T.StructType(schema.fields + [T.StructField(slot, T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": slot, "timestampFormat": TIME_FORMAT}
+_CORRUPT = "_corrupt"
+
+
+def _parsed(df: DataFrame, schema: T.StructType, value: str) -> DataFrame:
+    wide = T.StructType(schema.fields + [T.StructField(_CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "timestampFormat": TIME_FORMAT}
     text = F.col(value).cast("string")
-    parsed = df.select(F.from_json(text, wide, options).alias("_m")).select("_m.*")
-    return parsed.filter(F.col(slot).isNull()).drop(slot)
+    return df.select(text.alias("_text"), F.from_json(text, wide, options).alias("_m"))
+
+
+def decode(df: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
+    """Typed rows of the JSON messages; ``unreadable`` has the others."""
+    return _parsed(df, schema, value).filter(F.col(f"_m.{_CORRUPT}").isNull() & F.col("_m").isNotNull()).select("_m.*").drop(_CORRUPT)
+
+
+def unreadable(df: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
+    """``value``: the messages that ``decode`` leaves out, for a side table. No message is in both, none in neither."""
+    return _parsed(df, schema, value).filter(F.col(f"_m.{_CORRUPT}").isNotNull() | F.col("_m").isNull()).select(F.col("_text").alias("value"))
 
 
 def read_topic(

@@ -29,6 +29,19 @@ def list_files(spark: SparkSession, folder: str, suffix: str, recursive: bool =
     return sorted((r["path"], r["length"]) for r in rows)
 
 
+def _common_types(spark: SparkSession, groups: dict[tuple[str, ...], list[str]]) -> dict[str, T.DataType]:
+    """One type per column over all groups: the common one, double for different numbers, else string."""
+    found: dict[str, set[T.DataType]] = {}
+    for paths in groups.values():
+        for f in spark.read.option("header", "true").option("inferSchema", "true").csv(paths).schema.fields:
+            found.setdefault(f.name, set()).add(f.dataType)
+    numeric = lambda kinds: all(isinstance(k, T.NumericType) for k in kinds)
+    return {
+        c: next(iter(kinds)) if len(kinds) == 1 else T.DoubleType() if numeric(kinds) else T.StringType()
+        for c, kinds in found.items()
+    }
+
+
 def scan_csv(
     spark: SparkSession,
     folder: str,
@@ -41,28 +54,27 @@ def scan_csv(
 
     Files are grouped by header so each group is one scan; a column missing in a group is NULL.
     Empty files are skipped. ``which='largest'`` keeps only the largest file. With ``schema`` the
-    named columns get its types; without it Spark infers them per group.
+    named columns get its types; without it Spark infers one type per column over all groups.
     """
     files = [f for f in list_files(spark, folder, ".csv", recursive) if f[1] > 0]
-    if skip_dictionary:
-        files = [f for f in files if DICTIONARY_PATTERN not in f[0].rsplit("/", 1)[-1].lower()]
+    headers = {path: tuple(spark.read.option("header", "true").csv(path).columns) for path, _ in files}
+    if skip_dictionary:  # by name and content: a table of flow features keeps its rows
+        named = [f for f in files if DICTIONARY_PATTERN in f[0].rsplit("/", 1)[-1].lower()]
+        dictionaries = {path for path, _ in named if set(headers[path]) & set(DICTIONARY_COLUMNS)}
+        files = [f for f in files if f[0] not in dictionaries]
     if not files:
         raise FileNotFoundError(f"no CSV file with content below {folder}")
     if which == "largest":
         files = [max(files, key=lambda f: (f[1], f[0]))]
     groups: dict[tuple[str, ...], list[str]] = {}
     for path, _ in files:
-        header = tuple(spark.read.option("header", "true").csv(path).columns)
-        groups.setdefault(header, []).append(path)
-    declared = {f.name: f.dataType for f in schema.fields} if schema else {}
+        groups.setdefault(headers[path], []).append(path)
+    declared = {f.name: f.dataType for f in schema.fields} if schema else _common_types(spark, groups)
     parts = []
     for header, paths in groups.items():
         reader = spark.read.option("header", "true").option("mode", "PERMISSIVE")
-        if schema:
-            known = T.StructType([T.StructField(c, declared.get(c, T.StringType())) for c in header])
-            parts.append(reader.schema(known).csv(paths))
-        else:
-            parts.append(reader.option("inferSchema", "true").csv(paths))
+        known = T.StructType([T.StructField(c, declared.get(c, T.StringType())) for c in header])
+        parts.append(reader.schema(known).csv(paths))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
