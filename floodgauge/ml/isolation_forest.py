@@ -154,17 +154,21 @@ def fit_isolation_forest(
     if share < 1.0:
         head = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / float(1 << 32)
         hashed = hashed.filter(head < share)
-    pool = checkpointed(hashed.withColumn("_copy", F.monotonically_increasing_id()))
-    tree_ids = F.sequence(F.lit(0), F.lit(n_trees - 1))
+    # Equal rows are counted and numbered, so that the draws do not depend on partitions.
+    columns_x = [f"x{i}" for i in range(len(columns))]
+    counted = hashed.groupBy("_h", *columns_x).agg(F.count(F.lit(1)).alias("_n"))
+    pool = checkpointed(counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n"))
+    row = ("_h", "_copy", *columns_x)
     chance = min(1.0, 1.5 * samples / max(1.0, share * total) + 32.0 / max(1.0, share * total))
-    drawn = pool.withColumn("tree", F.explode(tree_ids)).withColumn(
-        "_r", F.xxhash64("_h", "_copy", "tree", F.lit(seed))
-    )
-    if chance < 1.0:
-        span = int(chance * (1 << 62))
-        drawn = drawn.filter(F.col("_r").bitwiseAND(F.lit((1 << 62) - 1)) < F.lit(span))
+    if chance > 0.9:
+        tree_ids = F.sequence(F.lit(0), F.lit(n_trees - 1))
+    else:  # each row draws its few trees itself: the work is linear in the drawn rows
+        draws = max(1, math.ceil(-n_trees * math.log1p(-chance)))
+        number = lambda d: F.pmod(F.xxhash64(*row, d, F.lit(seed)), F.lit(n_trees)).cast("int")
+        tree_ids = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(draws)), number))
+    drawn = pool.withColumn("tree", F.explode(tree_ids)).withColumn("_r", F.xxhash64(*row, "tree", F.lit(seed)))
     # Ranked inside one tree: at most about twice the sample size per tree.
-    ranked = drawn.withColumn("_rank", F.row_number().over(W.partitionBy("tree").orderBy("_r"))).filter(
+    ranked = drawn.withColumn("_rank", F.row_number().over(W.partitionBy("tree").orderBy("_r", *row))).filter(
         F.col("_rank") <= samples
     )
     names = [f"x{i}" for i in range(len(columns))]

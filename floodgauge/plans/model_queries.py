@@ -157,7 +157,7 @@ def random_search(spark, folder):
 @query("embedding_classifier")
 def embedding_classifier(spark, folder):
     rows = table(spark, folder, "embeddings")
-    names = [f"e{i}" for i in range(rows.select(F.max(F.size("embedding"))).scalar())]
+    names = [f"e{i}" for i in range(rows.select(F.max(F.size("embedding"))).first()[0])]
     wide = rows.select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)],
                        (F.col("label") < 5).cast("int").alias("y"))
     split = sampling.stratified_split(wide, "y", 0.2, key=("vec_id",))

@@ -136,3 +136,13 @@ def test_random_draws(spark):
     draws = training.random_draws(model, {"maxDepth": [1, 2, 3], "stepSize": [0.1, 0.2]}, n=4)
     assert len(draws) == 4 and len({tuple(sorted((p.name, v) for p, v in d.items())) for d in draws}) == 4
     assert len(training.random_draws(model, {"maxDepth": [1, 2]}, n=50)) == 2
+
+
+def test_isolation_forest_does_not_depend_on_partitions(spark, points):
+    doubled = points.unionByName(points.filter("id < 50"))
+    for samples in (64, 0.9):
+        fitted = [
+            fit_isolation_forest(doubled.repartition(n), ["a", "b"], n_trees=12, max_samples=samples).trees
+            for n in (2, 7)
+        ]
+        assert fitted[0] == fitted[1]
