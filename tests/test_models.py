@@ -146,3 +146,15 @@ def test_isolation_forest_does_not_depend_on_partitions(spark, points):
             for n in (2, 7)
         ]
         assert fitted[0] == fitted[1]
+
+
+def test_inverse_normal():
+    from statistics import NormalDist
+
+    import numpy as np
+
+    from floodgauge.ml.scaling import inverse_normal
+
+    shares = np.array([1e-7, 0.001, 0.02, 0.0243, 0.3, 0.5, 0.77, 0.98, 0.9999999])
+    assert np.allclose(inverse_normal(shares), [NormalDist().inv_cdf(s) for s in shares], rtol=1e-8, atol=1e-9)
+    assert np.isnan(inverse_normal(np.array([np.nan])))[0]
