@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from floodgauge.ml import scaling, selection, training
+from floodgauge.ml import registry, scaling, selection, training
 from floodgauge.ml.isolation_forest import fit_isolation_forest
 from floodgauge.operators import sampling
 from floodgauge.plans.live_detection import plan_mitigation
@@ -12,7 +12,7 @@ from floodgauge.plans.prepare_dataset import prepare_dataset
 from floodgauge.plans.registry import query, tidy
 from floodgauge.plans.train_and_select import train_and_select
 from floodgauge.plans.views import FEATURES, FLOW_KEY, labelled, table, threats, with_views
-from floodgauge.session import spread
+from floodgauge.session import scratch_path, spread
 
 KEY = (FLOW_KEY,)
 
@@ -94,6 +94,22 @@ def mutual_information(spark, folder):
     return tidy(selection.mutual_information(labelled(spark, folder), FEATURES, "label").select("feature", "score"))
 
 
+def _both_sql() -> str:
+    ctes = _mi_sql().split("SELECT feature, round(sum(n / total")[0]  # the views and the steps of the score
+    return ctes.rstrip() + ", " + _ANOVA + """,
+mi AS (SELECT feature, sum(n / total * ln(n * total / (of_bin * of_class))) AS score FROM joint GROUP BY 1),
+best AS (
+  SELECT feature FROM (SELECT feature FROM anova ORDER BY anova.score DESC, position LIMIT 2) x
+  UNION SELECT feature FROM (SELECT mi.feature FROM mi JOIN anova USING (feature) ORDER BY mi.score DESC, position LIMIT 2) y)
+SELECT feature, CAST(position AS BIGINT) AS position FROM best JOIN anova USING (feature) ORDER BY position LIMIT 2"""
+
+
+@query("features_by_both_scores", _both_sql())
+def features_by_both_scores(spark, folder):
+    chosen = selection.select_by_both(labelled(spark, folder), FEATURES, "label", 2)
+    return tidy(spark.createDataFrame([(c, FEATURES.index(c)) for c in chosen], "feature string, position long"))
+
+
 def _split(spark, folder):
     rows = labelled(spark, folder).select(FLOW_KEY, *FEATURES, F.col("label"), "is_attack")
     # A feature that carries some of the label, so that there is something to learn.
@@ -199,6 +215,32 @@ def prepared_dataset(spark, folder):
         "split", "malicious", "feature").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")), 4)
 
 
+@query("saved_package_scores", with_views(("labelled",), """
+SELECT CAST(sum(round_even(n * 0.2e0, 0)) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_different, 'simple' AS level, CAST(4 AS BIGINT) AS n_features
+FROM (SELECT count(*) AS n FROM labelled GROUP BY is_attack) x"""))
+def saved_package_scores(spark, folder):
+    """A fitted package, saved and loaded by priority, scores every test row as before."""
+    rows = _split(spark, folder)
+    model = training.assembled(FEATURES, training.decision_tree("is_attack", depth=5)).fit(rows.filter("split = 'train'"))
+    target = scratch_path(spark, "models")
+    registry.save_package(spark, registry.ModelPackage(model, list(FEATURES)), f"{target}/simple")
+    loaded = registry.load_by_priority(spark, target)
+    test = rows.filter("split = 'test'")
+    before = registry.ModelPackage(model, list(FEATURES)).score(test).select(*KEY, F.col("score").alias("before"))
+    both = loaded.score(test).select(*KEY, "score").join(before, list(KEY))
+    return tidy(both.agg(F.count("*").alias("n_rows"), F.count_if(~F.col("score").eqNullSafe(F.col("before"))).alias("n_different")).select(
+        "*", F.lit(loaded.level).alias("level"), F.lit(len(loaded.features)).alias("n_features")))
+
+
+@query("isolation_forest_facts", with_views(("labelled",), "SELECT count(*) AS n_rows, CAST(1 AS BIGINT) AS share_ok, CAST(1 AS BIGINT) AS sides_agree FROM labelled"))
+def isolation_forest_facts(spark, folder):
+    """The share of anomalies equals the contamination, and exactly the rows with a negative decision are predicted."""
+    rows = isolation_forest_scores(spark, folder)
+    share = F.count_if(F.col("predicted") == 1) / F.count("*")
+    sides = F.count_if((F.col("predicted") == 1) & (F.col("decision") > 0)) + F.count_if((F.col("predicted") == 0) & (F.col("decision") < 0))
+    return tidy(rows.agg(F.count("*").alias("n_rows"), (F.abs(share - 0.1) < 0.01).alias("share_ok"), (sides == 0).alias("sides_agree")))
+
+
 @query("selected_model")
 def selected_model(spark, folder):
     models = {"random_forest": training.random_forest("is_attack", trees=5, depth=4),
