@@ -32,13 +32,18 @@ def _number(c: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def _finite(c: str) -> Column:
+    value = _number(c)
+    return F.when(F.abs(value) < F.lit(math.inf), value)
+
+
 def exact_percentiles(
     df: DataFrame,
     requests: dict[str, Sequence[float]],
     exact_limit: int = EXACT_LIMIT,
     accuracy: int = SKETCH_ACCURACY,
 ) -> dict[str, dict[float, float | None]]:
-    """Percentiles with linear interpolation, missing values ignored.
+    """Percentiles with linear interpolation, missing values ignored. Infinite values rank at the ends and are only counted.
 
     Every pass is one aggregate over the table that needs bounded memory per task: quantile
     sketches give values that enclose the wanted ranks, the next pass counts what lies between and
@@ -49,21 +54,36 @@ def exact_percentiles(
     first = []
     for i, c in enumerate(names):
         around = [min(1.0, max(0.0, p + d)) for p in requests[c] for d in (-step, step)]
-        first += [F.count(_number(c)).alias(f"n{i}"), F.percentile_approx(_number(c), around, accuracy).alias(f"q{i}")]
+        first += [
+            F.count(_finite(c)).alias(f"n{i}"), F.percentile_approx(_finite(c), around, accuracy).alias(f"q{i}"),
+            F.count_if(_number(c) == -math.inf).alias(f"l{i}"), F.count_if(_number(c) == math.inf).alias(f"h{i}"),
+        ]
     row = df.agg(*first).first()
     sizes = {c: row[f"n{i}"] for i, c in enumerate(names)}
-    position = {(c, p): (sizes[c] - 1) * p for c in names for p in requests[c] if sizes[c]}
+    lowest = {c: row[f"l{i}"] for i, c in enumerate(names)}
+    totals = {c: sizes[c] + lowest[c] + row[f"h{i}"] for i, c in enumerate(names)}
+    position = {(c, p): (totals[c] - 1) * p for c in names for p in requests[c] if totals[c]}
     ranks: dict[str, set[int]] = {c: set() for c in names}
     for (c, _), place in position.items():
-        ranks[c] |= {math.floor(place), math.ceil(place)}
+        ranks[c] |= {r - lowest[c] for r in (math.floor(place), math.ceil(place)) if 0 <= r - lowest[c] < sizes[c]}
     limits = {
         c: sorted(set(row[f"q{i}"])) if sizes[c] > exact_limit else [] for i, c in enumerate(names) if sizes[c]
     }
     values = _values_at(df, {c: r for c, r in ranks.items() if r}, limits, sizes, exact_limit, accuracy)
+
+    def value(c: str, rank: int) -> float:
+        rank -= lowest[c]
+        return -math.inf if rank < 0 else math.inf if rank >= sizes[c] else values[(c, rank)]
+
     result: dict[str, dict[float, float | None]] = {c: dict.fromkeys(requests[c]) for c in names}
     for (c, p), place in position.items():
-        low, high = values[(c, math.floor(place))], values[(c, math.ceil(place))]
-        result[c][p] = low + (high - low) * (place - math.floor(place))
+        low, high, share = value(c, math.floor(place)), value(c, math.ceil(place)), place - math.floor(place)
+        if low == high or share == 0:
+            result[c][p] = low
+        elif math.isinf(low) or math.isinf(high):
+            result[c][p] = low * (1 - share) + high * share
+        else:
+            result[c][p] = low + (high - low) * share
     return result
 
 
@@ -93,7 +113,7 @@ def interval_codes(df: DataFrame, limits: dict[str, list[float]], prefix: str =
 
 def _placed(df: DataFrame, limits: dict[str, list[float]]) -> DataFrame:
     """Rows (column number, interval code, value), one per row and column with a value."""
-    coded = interval_codes(df.select(*[_number(c).alias(c) for c in limits]), limits)
+    coded = interval_codes(df.select(*[_finite(c).alias(c) for c in limits]), limits)
     cells = [
         F.struct(F.lit(i).alias("c"), F.col(f"_code_{c}").alias("b"), F.col(f"`{c}`").alias("v"))
         for i, c in enumerate(limits)

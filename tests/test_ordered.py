@@ -75,3 +75,18 @@ def test_chunk_length(spark):
     assert chunk_for(dense, "ts", rows=1) == 0.001
     assert chunk_for(spark.range(2).select(F.timestamp_seconds(F.col("id") * 10**6).alias("ts")), "ts") == 60
     assert chunk_for(dense.limit(0), "ts") == 60
+
+
+def test_percentiles_with_infinite_values_whatever_the_limit(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from floodgauge.operators.ordered import exact_percentiles
+
+    rows = spark.range(1000).select(
+        F.when(F.col("id") < 100, float("-inf")).when(F.col("id") >= 700, float("inf")).otherwise(F.col("id").cast("double")).alias("x"))
+    wanted = [0.0, 0.05, 0.5, 0.8, 1.0]
+    want = {0.0: -math.inf, 0.05: -math.inf, 0.5: 499.5, 0.8: math.inf, 1.0: math.inf}
+    for limit in (100_000, 50):
+        assert exact_percentiles(rows, {"x": wanted}, exact_limit=limit)["x"] == want
