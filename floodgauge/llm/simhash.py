@@ -152,8 +152,9 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
 class _Walk:
     """Joint traversal of the pairs of nodes in one task; rows are sorted by unit, side and code."""
 
-    def __init__(self, code: np.ndarray, budget: int):
+    def __init__(self, code: np.ndarray, budget: int, first_bits: int, first_budget: int):
         self.code, self.budget, self.set_bits = code, budget, {}
+        self.first_bits, self.first_budget = first_bits, first_budget
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.pending = 0
 
@@ -211,7 +212,8 @@ class _Walk:
                 (ma[whole], ha[whole], lb[whole], mb[whole], err[whole] + 1),
             ]
             joined = [np.concatenate(x) for x in zip(*children)]
-            alive = (joined[1] > joined[0]) & (joined[3] > joined[2]) & (joined[4] <= self.budget)
+            within = self.first_budget if d < self.first_bits else self.budget
+            alive = (joined[1] > joined[0]) & (joined[3] > joined[2]) & (joined[4] <= within)
             stack.append((d + 1, *(x[alive] for x in joined)))
         self.reduce()
         return self.found[0][:2]
@@ -232,7 +234,7 @@ def _task_links(budget: int, blocks: int):
         a_lo, a_hi, b_lo, b_hi = lo, np.where(same, hi, mid), np.where(same, lo, mid), hi
         alive = (a_hi > a_lo) & (b_hi > b_lo) & ~(same & (hi - lo < 2))
         spent = np.bitwise_count(p ^ q).astype(np.int64)
-        return _Walk(code, budget).run(*(x[alive] for x in (a_lo, a_hi, b_lo, b_hi, depth, spent)))
+        return _Walk(code, budget, 64 // blocks, budget // blocks).run(*(x[alive] for x in (a_lo, a_hi, b_lo, b_hi, depth, spent)))
 
     def run(batches: Iterator[pa.RecordBatch]):
         kept: pa.Table | None = None
