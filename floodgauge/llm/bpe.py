@@ -20,6 +20,7 @@ import itertools
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -33,7 +34,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Characters of a chunk, and of what it shares with the next one.
 CHUNK, OVERLAP = 32_768, 1_024
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 ENCODED = "key bigint, id {id}, part int, ids array<int>"
 
 _MATCH = regex.compile(public_tokenizers.PATTERN)
@@ -42,28 +43,35 @@ _MATCH = regex.compile(public_tokenizers.PATTERN)
 class Vocabulary:
     def __init__(self, file: bytes):
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file.splitlines()) if token}
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.bytes_of = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
         self.encoding = tiktoken.Encoding("given", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def ids(self, pieces: Iterable[str]) -> list[int]:
-        """Ids of matches, each encoded by itself."""
+    def ids(self, pieces: Iterable[str]) -> np.ndarray:
+        """Ids of matches, each encoded by itself; a match that was met before costs one look-up."""
         known, out = self.known, []
         for piece in pieces:
             ids = known.get(piece)
             if ids is None:
-                ids = self.encoding.encode_ordinary(piece)
+                ids = np.array(self.encoding.encode_ordinary(piece), np.int32).tobytes()
                 if len(piece) < 64:
                     if len(known) >= REMEMBERED:
                         known.clear()
                     known[piece] = ids
-            out += ids
-        return out
+            out.append(ids)
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    """One list of ids for each row."""
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), np.concatenate([*rows, np.zeros(0, np.int32)]))
+
+
 @lru_cache(maxsize=2)
 def _vocabulary(file: bytes) -> Vocabulary:
     return Vocabulary(file)
@@ -134,7 +142,7 @@ def _short(rows: DataFrame, shared, size: int) -> DataFrame:
         vocabulary = _vocabulary(shared.value)
         for batch in batches:
             for part in (batch.slice(a, 1024) for a in range(0, batch.num_rows, 1024)):
-                ids = pa.array([vocabulary.ids(pieces(t.as_py())) for t in part.column("text")], pa.list_(pa.int32()))
+                ids = _lists([vocabulary.ids(pieces(t.as_py())) for t in part.column("text")])
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), part.column("id"), pa.array([0] * n, pa.int32()), ids], ["key", "id", "part", "ids"])
 
@@ -167,7 +175,7 @@ def _long(rows: DataFrame, shared, size: int, overlap: int) -> DataFrame:
             for text, own in zip(batch.column("text"), batch.column("ends")):
                 text, own = text.as_py(), own.as_py()
                 out.append(vocabulary.ids(text[a:b] for a, b in zip([0, *own], own)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.int32()))], ["key", "id", "part", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _lists(out)], ["key", "id", "part", "ids"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -192,7 +200,7 @@ def _digests(rows: DataFrame, shared) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         vocabulary = _vocabulary(shared.value)
-        decimal, raw = {i: str(i) for i in vocabulary.bytes_of}.__getitem__, vocabulary.bytes_of.__getitem__
+        decimal, raw = [str(i) for i in range(len(vocabulary.bytes_of))].__getitem__, vocabulary.bytes_of.__getitem__
         state, out = None, []
 
         def flush():
@@ -203,7 +211,7 @@ def _digests(rows: DataFrame, shared) -> DataFrame:
 
         for batch in batches:
             for key, name, ids in zip(batch.column("key").to_pylist(), batch.column("id").to_pylist(), batch.column("ids")):
-                ids = ids.values.to_pylist() if ids.is_valid else []
+                ids = ids.values.to_numpy().tolist() if ids.is_valid else []
                 if state is None or key is None or key != state[0]:
                     if state:
                         out.append(state)

@@ -30,7 +30,7 @@ def test_matches_equal_the_library_for_every_code_point():
         if 0xD800 <= c < 0xE000:
             continue
         t = f"a{chr(c)}1{chr(c)} {chr(c)}"
-        if own.ids(bpe.pieces(t)) != LIBRARY.encode_ordinary(t):
+        if own.ids(bpe.pieces(t)).tolist() != LIBRARY.encode_ordinary(t):
             bad.append(hex(c))
     assert not bad, (len(bad), bad[:20])
 
