@@ -15,29 +15,48 @@ gives an empty result. Extra columns of documents stay as they are, whatever the
 
 from __future__ import annotations
 
+import functools
 import os
 
 from floodgauge.llm import bpe, decontamination, quality, simhash, toxicity
 from floodgauge.session import scratch_path
 
 
+#: Rows of a batch that goes to Python: documents are long, and the JVM and the worker each hold a batch.
+BATCH_ROWS = "2000"
+
+
+def in_small_batches(stage):
+    @functools.wraps(stage)
+    def run(spark, docs, sf_dir):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@in_small_batches
 def quality_rules(spark, docs, sf_dir):
     return quality.keep_good(docs)
 
 
+@in_small_batches
 def toxicity_filter(spark, docs, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return toxicity.keep_clean(docs, labels)
 
 
+@in_small_batches
 def simhash_near_dedup(spark, docs, sf_dir):
     return simhash.one_of_each(docs)
 
 
+@in_small_batches
 def decontaminate(spark, docs, sf_dir):
     return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@in_small_batches
 def byte_bpe(spark, docs, sf_dir):
     return bpe.digests(docs)
 
