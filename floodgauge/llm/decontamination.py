@@ -14,6 +14,7 @@ an item without id counts as the empty id. Repeated documents are judged one by
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -254,13 +255,15 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 def decontaminated(documents: DataFrame, items: DataFrame, text_column: str = "text", chars_column: str = "n_chars", max_coverage: float = MAX_COVERAGE, max_hit_words: int = MAX_HIT_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Documents without benchmark passages: hit spans are cut out, again if what is left meets in a new hit; documents beyond a limit go.
 
+    With several blocks, the spans of all are found before any is cut, and the documents that were cut pass all blocks again until none hits.
     Columns stay; the length column, if there is one, is set anew where a text was cut. A null text stays null.
     """
     spark, row = documents.sparkSession, fresh(documents, "row")
     rows = documents.select(
         F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias(row), F.col(text_column).cast("string").alias("text"),
-        F.expr("cast(null as bigint) all_words"), F.expr("cast(0 as bigint) cut_words"),
+        F.expr("cast(null as bigint) all_words"), F.expr("cast(0 as bigint) cut_words"), F.expr("cast(array() as array<struct<a: int, b: int>>) spans"),
     )
+    kinds = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def pass_over(block):
         def run(batches: Iterator[pa.RecordBatch]):
@@ -277,13 +280,48 @@ def decontaminated(documents: DataFrame, items: DataFrame, text_column: str = "t
                             texts[k] = cut(texts[k], spans)
                             again.append(k)
                     todo = again
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], schema=batch.schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), batch.column("spans")], schema=batch.schema)
 
         return run
 
-    for number, block in enumerate(blocks(items, block_words=block_words)):
-        rows = checkpointed(rows) if number else rows
-        rows = rows.mapInArrow(pass_over(_shared(spark, block)), rows.schema)
+    def marked(block):
+        """Spans of one more block, the text as it is."""
+
+        def run(batches: Iterator[pa.RecordBatch]):
+            automaton = _automaton(block)
+            for batch in batches:
+                total, spans = batch.column("all_words").to_pylist(), batch.column("spans").to_pylist()
+                for k, (size, new, _) in enumerate(automaton.find(batch.column("text").to_pylist())):
+                    total[k] = size if total[k] is None else total[k]
+                    spans[k] = [{"a": a, "b": b} for a, b in merged(new + [(s["a"], s["b"]) for s in spans[k]])]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("text"), pa.array(total, pa.int64()), batch.column("cut_words"), pa.array(spans, kinds)], schema=batch.schema)
+
+        return run
+
+    def without_spans(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            texts, gone, spans = (batch.column(c).to_pylist() for c in ("text", "cut_words", "spans"))
+            for k, found in enumerate(spans):
+                if found:
+                    gone[k] += sum(s["b"] - s["a"] for s in found)
+                    texts[k] = cut(texts[k], [(s["a"], s["b"]) for s in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column("all_words"), pa.array(gone, pa.int64()), pa.array([[]] * len(texts), kinds)], schema=batch.schema)
+
+    first = list(itertools.islice(blocks(items, block_words=block_words), 2))
+    if len(first) == 1:
+        rows = rows.mapInArrow(pass_over(_shared(spark, first[0])), rows.schema)
+    else:
+        schema, todo, done = rows.schema, rows, None
+        while True:
+            for block in blocks(items, block_words=block_words):
+                todo = checkpointed(todo.mapInArrow(marked(_shared(spark, block)), schema))
+            settled = todo.where(F.size("spans") == 0)
+            done = settled if done is None else done.union(settled)
+            hit = todo.where(F.size("spans") > 0)
+            if hit.isEmpty():
+                break
+            todo = hit.mapInArrow(without_spans, schema)
+        rows = done
     kept = rows.where((F.col("cut_words") <= max_coverage * F.col("all_words")) & (F.col("cut_words") <= max_hit_words))
     new = {text_column: F.col("text"), chars_column: F.length("text")}
     was_cut = F.col("cut_words") > 0

@@ -79,3 +79,16 @@ def test_nothing_to_find(spark):
     assert dc.matches(d.limit(0), i).count() == 0
     assert dc.matches(d, i.limit(0)).where(F.size("spans") > 0).count() == 0
     assert dc.decontaminated(d, i.limit(0)).count() == len(docs)
+
+
+def test_cleaning_does_not_depend_on_the_blocks(spark):
+    docs, items = cases(9)
+    # Items of different blocks that overlap in a text, and one that only a cut joins.
+    left, right = [f"l{k}" for k in range(12)], [f"r{k}" for k in range(12)]
+    items = [("a", " ".join(left)), *items, ("b", " ".join(left[6:] + right))]
+    items = [("c", " ".join(f"j{k}" for k in range(12))), *items]
+    docs += [(200, " ".join([f"x{k}" for k in range(40)] + left + right)), (201, " ".join([f"y{k}" for k in range(60)] + [f"j{k}" for k in range(6)] + left[6:] + right + [f"j{k}" for k in range(6, 12)]))]
+    d, i = frames(spark, docs, items)
+    one, many = (sorted(map(str, dc.decontaminated(d, i.coalesce(1), block_words=n).collect())) for n in (dc.BLOCK_WORDS, 150))
+    assert one == many
+    assert all(n == 0 for _, _, n, _ in brute([(r.doc_id, r.text) for r in dc.decontaminated(d, i, block_words=150).collect()], items))
