@@ -7,8 +7,9 @@ the differing bits of their prefixes add up, and a pair is left as soon as they
 
 The upper levels are walked with joins: a *unit* is a pair of nodes, and a unit with too many rows is replaced by the
 pairs of its children that are within the budget, until all units are small. So a third of all rows under one node is
-spread over many tasks. The lower levels are walked inside the tasks, on sorted arrays. A task hands on no more links than it
-has rows: those of a spanning forest of what it found.
+spread over many tasks. The lower levels are walked inside the tasks, on sorted arrays. Where a link needs no further test, a task hands
+on no more links than it has rows: those of a spanning forest of what it found. Where links are only candidates (``copies``), groups that the tests leave
+apart are looked at again, with several forests between groups and then with all pairs between groups.
 
 Edge cases: a null or empty text has no words and the fingerprint 0, and is linked like any other. With fewer words than a shingle takes, the
 whole sequence is the only shingle. Equal fingerprints count as one node. Repeated rows come back one by one; rows with a null
@@ -17,10 +18,13 @@ id belong to their component, whose id is the smallest id that is not null. An e
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +38,10 @@ SEED = 42
 UNIT_ROWS, STEP_BITS = 131_072, 3
 #: Pairs of nodes that a task holds at a time, and pairs of rows below which they are compared at once.
 FRONT, LEAF = 400_000, 48
+#: Forests of candidates in each round of ``copies``; the last round takes every pair that is left.
+FORESTS = (1, 8, None)
+#: Nodes that candidates connect, up to which all their pairs are compared at once instead.
+FEW = 1_000
 
 
 def fingerprint(words: list[bytes], shingle: int, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
@@ -82,14 +90,15 @@ def _refined(units: DataFrame, depth: int, bits: int, budget: int) -> DataFrame:
         flips = F.array(F.lit(0).cast("long"))
     else:
         flips = F.filter(F.array(*(F.lit(m).cast("long") for m in _masks(bits, budget))), lambda m: F.bit_count(m) + F.col("spent") <= budget)
-    grown = units.select("turn", "code", own.alias("own"), other.alias("other"), spent.alias("spent"), next_bits.alias("next"))
+    more = [c for c in ("label",) if c in units.columns]
+    grown = units.select("turn", "code", *more, own.alias("own"), other.alias("other"), spent.alias("spent"), next_bits.alias("next"))
     each = grown.withColumn("flip", F.explode(flips)).withColumns({
         "own": F.shiftleft("own", bits).bitwiseOR(F.col("next")),
         "other": F.shiftleft("other", bits).bitwiseOR(F.col("next").bitwiseXOR(F.col("flip"))),
     })
     return each.select(
         "turn", F.lit(depth + bits).alias("depth"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "code",
+        (F.col("own") > F.col("other")).cast("int").alias("side"), "code", *more,
     )
 
 
@@ -98,7 +107,9 @@ def _rotated(code: Column, by: int) -> Column:
 
 
 def units(nodes: DataFrame, budget: int, blocks: int, unit_rows: int = UNIT_ROWS, start_bits: int | None = None) -> DataFrame:
-    """Units of at most ``unit_rows`` rows that together hold every pair within the budget; ``nodes``: distinct fingerprints ``f0``."""
+    """Units of at most ``unit_rows`` rows that together hold every pair within the budget; ``nodes``: distinct fingerprints ``f0``, and perhaps a ``label``."""
+    more = [c for c in ("label",) if c in nodes.columns]
+    few = nodes.limit(unit_rows + 1).count() <= unit_rows  # no unit has more rows than there are nodes
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     first_budget = budget // blocks
     parts = []
@@ -106,13 +117,13 @@ def units(nodes: DataFrame, budget: int, blocks: int, unit_rows: int = UNIT_ROWS
         width = cuts[turn + 1] - cuts[turn]
         root = nodes.select(
             F.lit(turn).alias("turn"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.lit(0).alias("side"),
-            _rotated(F.col("f0"), cuts[turn]).alias("code"),
+            _rotated(F.col("f0"), cuts[turn]).alias("code"), *more,
         )
         parts.append(_refined(root, 0, min(width, start_bits or width), first_budget))
     ready = []
     for turn, warm in enumerate(parts):
         width, depth = cuts[turn + 1] - cuts[turn], min(cuts[turn + 1] - cuts[turn], start_bits or 64)
-        while True:
+        while not few:
             hot = checkpointed(warm.groupBy("p", "q").count().where(F.col("count") > unit_rows).select("p", "q"))
             if depth >= 58 or hot.isEmpty():
                 break
@@ -122,16 +133,16 @@ def units(nodes: DataFrame, budget: int, blocks: int, unit_rows: int = UNIT_ROWS
             warm = _refined(warm.join(hot, ["p", "q"], "left_semi"), depth, bits, first_budget if depth < width else budget)
             depth += bits
         ready.append(warm)
-    columns = ["turn", "depth", "p", "q", "side", "code"]
+    columns = ["turn", "depth", "p", "q", "side", "code", *more]
     all_units = ready[0].select(columns)
     for more in ready[1:]:
         all_units = all_units.union(more.select(columns))
     return all_units
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Places of the links that make a spanning forest of n rows, those of fewer differing bits first."""
-    parent, chosen = np.arange(n), []
+def _forest(home: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of the links that make a spanning forest, those of fewer differing bits first; rows with the same home are joined already."""
+    parent, chosen = home.copy(), []
     for level in np.unique(d):
         left = np.flatnonzero(d == level)
         while True:
@@ -149,11 +160,25 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
 
 
+def _homes(n: int, label: pa.ChunkedArray | None) -> np.ndarray:
+    """For each row the first one with the same label; a row without label is on its own."""
+    home = np.arange(n)
+    if label is not None:
+        own = label.is_valid().to_numpy()
+        values = pc.fill_null(label, 0).to_numpy()[own]
+        _, first, back = np.unique(values, return_index=True, return_inverse=True)
+        home[own] = np.flatnonzero(own)[first[back]]
+    return home
+
+
 class _Walk:
-    """Joint traversal of the pairs of nodes in one task; rows are sorted by unit, side and code."""
+    """Joint traversal of the pairs of nodes in one task; rows are sorted by unit, side and code.
 
-    def __init__(self, code: np.ndarray, budget: int, first_bits: int, first_budget: int):
-        self.code, self.budget, self.set_bits = code, budget, {}
+    Found are links between rows of different homes: so many forests without a common link, or all links if ``forests`` is None.
+    """
+
+    def __init__(self, code: np.ndarray, home: np.ndarray, budget: int, first_bits: int, first_budget: int, forests: int | None = 1):
+        self.code, self.home, self.forests, self.budget, self.set_bits = code, home, forests, budget, {}
         self.first_bits, self.first_budget = first_bits, first_budget
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.pending = 0
@@ -165,8 +190,8 @@ class _Walk:
             self.set_bits[depth] = np.concatenate([[0], np.cumsum(bit.astype(np.int32))])
         return self.set_bits[depth]
 
-    def compare(self, a: np.ndarray, an: np.ndarray, b: np.ndarray, bn: np.ndarray) -> None:
-        """Rows of small pairs of nodes, one with the other."""
+    def compare(self, a: np.ndarray, an: np.ndarray, b: np.ndarray, bn: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of small pairs of nodes, one with the other; links are handed on as soon as they are many and all are wanted."""
         each = an * bn
         for at in range(0, len(each), FRONT // LEAF):
             s = slice(at, at + FRONT // LEAF)
@@ -175,19 +200,32 @@ class _Walk:
             k = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
             x, y = a[s][pair] + k // bn[s][pair], b[s][pair] + k % bn[s][pair]
             differ = np.bitwise_count(self.code[x] ^ self.code[y])
-            ok = (x != y) & (differ <= self.budget)
+            ok = (self.home[x] != self.home[y]) & (differ <= self.budget)
             self.found.append((x[ok], y[ok], differ[ok]))
             self.pending += int(ok.sum())
             if self.pending > FRONT:
-                self.reduce()
+                yield from self.reduce()
 
-    def reduce(self) -> None:
-        """Links so far, cut down to a forest."""
+    def reduce(self, last: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links so far, cut down to the forests or handed on."""
         a, b, d = (np.concatenate(x) for x in zip(*self.found)) if self.found else (np.zeros(0, np.int64),) * 3
-        kept = _forest(len(self.code), a, b, d)
+        if self.forests is None:
+            self.found, self.pending = [], 0
+            yield a, b
+            return
+        kept, left = [np.zeros(0, np.int64)], np.arange(len(a))
+        for _ in range(self.forests):
+            chosen = _forest(self.home, a[left], b[left], d[left])
+            if not len(chosen):
+                break
+            kept.append(left[chosen])
+            left = np.delete(left, chosen)
+        kept = np.concatenate(kept)
         self.found, self.pending = [(a[kept], b[kept], d[kept])], 0
+        if last:
+            yield a[kept], b[kept]
 
-    def run(self, lo_a, hi_a, lo_b, hi_b, depth, spent) -> tuple[np.ndarray, np.ndarray]:
+    def run(self, lo_a, hi_a, lo_b, hi_b, depth, spent) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         stack = [(d, *(x[depth == d] for x in (lo_a, hi_a, lo_b, hi_b, spent))) for d in np.unique(depth)]
         while stack:
             d, la, ha, lb, hb, err = stack.pop()
@@ -199,7 +237,7 @@ class _Walk:
             if d >= 64:
                 small[:] = True
             if small.any():
-                self.compare(la[small], (ha - la)[small], lb[small], (hb - lb)[small])
+                yield from self.compare(la[small], (ha - la)[small], lb[small], (hb - lb)[small])
                 la, ha, lb, hb, err = (x[~small] for x in (la, ha, lb, hb, err))
             if not len(la):
                 continue
@@ -215,14 +253,13 @@ class _Walk:
             within = self.first_budget if d < self.first_bits else self.budget
             alive = (joined[1] > joined[0]) & (joined[3] > joined[2]) & (joined[4] <= within)
             stack.append((d + 1, *(x[alive] for x in joined)))
-        self.reduce()
-        return self.found[0][:2]
+        yield from self.reduce(last=True)
 
 
-def _task_links(budget: int, blocks: int):
+def _task_links(budget: int, blocks: int, forests: int | None = 1):
     by = np.array([64 * i // blocks for i in range(blocks)], np.uint64)
 
-    def of(code, unit_columns, side):
+    def of(code, home, unit_columns, side):
         """Links inside whole units, as pairs of rows."""
         change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in unit_columns], axis=0)) + 1
         lo = np.concatenate([[0], change])
@@ -234,7 +271,7 @@ def _task_links(budget: int, blocks: int):
         a_lo, a_hi, b_lo, b_hi = lo, np.where(same, hi, mid), np.where(same, lo, mid), hi
         alive = (a_hi > a_lo) & (b_hi > b_lo) & ~(same & (hi - lo < 2))
         spent = np.bitwise_count(p ^ q).astype(np.int64)
-        return _Walk(code, budget, 64 // blocks, budget // blocks).run(*(x[alive] for x in (a_lo, a_hi, b_lo, b_hi, depth, spent)))
+        return _Walk(code, home, budget, 64 // blocks, budget // blocks, forests).run(*(x[alive] for x in (a_lo, a_hi, b_lo, b_hi, depth, spent)))
 
     def run(batches: Iterator[pa.RecordBatch]):
         kept: pa.Table | None = None
@@ -243,10 +280,11 @@ def _task_links(budget: int, blocks: int):
             names = ("turn", "depth", "p", "q")
             get = lambda n: rows.column(n).to_numpy().astype(np.int64, copy=False)
             code = get("code").view(np.uint64)
-            a, b = of(code, [get(n) for n in names], get("side"))
             back = by[get("turn")]
             f0 = ((code >> back) | (code << ((np.uint64(64) - back) % np.uint64(64)))).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(f0[a]), pa.array(f0[b])], ["a", "b"])
+            home = _homes(len(code), rows.column("label") if "label" in rows.column_names else None)
+            for a, b in of(code, home, [get(n) for n in names], get("side")):
+                yield pa.RecordBatch.from_arrays([pa.array(f0[a]), pa.array(f0[b])], ["a", "b"])
 
         for batch in batches:
             rows = pa.Table.from_batches([batch])
@@ -255,19 +293,23 @@ def _task_links(budget: int, blocks: int):
             same = np.all([rows.column(n).to_numpy() == v for n, v in zip(("turn", "depth", "p", "q"), last)], axis=0)
             cut = int(len(same) - same.sum())  # the last unit may go on
             if cut:
-                yield links(rows.slice(0, cut))
+                yield from links(rows.slice(0, cut))
             kept = rows.slice(cut)
         if kept is not None and kept.num_rows:
-            yield links(kept)
+            yield from links(kept)
 
     return run
 
 
-def links(nodes: DataFrame, budget: int = 2, blocks: int = 3, unit_rows: int = UNIT_ROWS, start_bits: int | None = None) -> DataFrame:
-    """``a, b``: links that connect all fingerprints within ``budget`` differing bits of each other. ``nodes`` has distinct ``f0``."""
+def links(nodes: DataFrame, budget: int = 2, blocks: int = 3, unit_rows: int = UNIT_ROWS, start_bits: int | None = None, forests: int | None = 1) -> DataFrame:
+    """``a, b``: links that connect all fingerprints within ``budget`` differing bits of each other. ``nodes`` has distinct ``f0``.
+
+    With a column ``label``, nodes of the same label count as connected, and those without one as on their own. ``forests``: so many
+    forests of links in each unit, or every link if None.
+    """
     found = units(nodes, budget, blocks, unit_rows, start_bits)
     sorted_units = found.repartition("turn", "p", "q").sortWithinPartitions("turn", "depth", "p", "q", "side", "code")
-    return sorted_units.mapInArrow(_task_links(budget, blocks), "a bigint, b bigint")
+    return sorted_units.mapInArrow(_task_links(budget, blocks, forests), "a bigint, b bigint")
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 3, budget: int = 2, id_column: str = "doc_id", text_column: str = "text", blocks: int = 3) -> DataFrame:
@@ -303,35 +345,90 @@ def _mapped(rows: DataFrame, of, schema: str) -> DataFrame:
     return rows.mapInArrow(run, f"key bigint, {schema}")
 
 
+def _candidates(nodes: DataFrame, seeds: int, budget: int, similarity: float, forests: int | None) -> DataFrame:
+    """``a, b``: nodes ``h`` of different groups within the budget under one of the seeds at least; with ``forests``, enough to connect them."""
+    found = None
+    for i in range(seeds):
+        named = nodes.select("h", "group", "n", F.col(f"f{i}").alias("f0"))
+        one_group = F.when(F.min("group") == F.max("group"), F.min("group"))
+        # The nodes of a fingerprint are linked by its head, by another one each time.
+        heads = named.groupBy("f0").agg((F.min if forests == 1 else F.max)(F.struct("h", "group", "n")).alias("head"), one_group.alias("label"))
+        ends = heads.select("f0", "head.*") if forests else named
+        x, y = (ends.select(F.col("f0").alias(f"f{s}"), F.col("h").alias(s), F.col("group").alias(f"g{s}"), F.col("n").alias(f"n{s}")) for s in "ab")
+        near = links(heads.select("f0", *(["label"] if forests != 1 else [])), budget, start_bits=4, forests=forests)
+        near = near.distinct().select(F.col("a").alias("fa"), F.col("b").alias("fb")) if forests is None else near.select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+        apart = F.col("ga") != F.col("gb")
+        if forests is None:  # sets whose sizes differ too much are not similar
+            apart &= F.least("na", "nb") >= similarity * F.greatest("na", "nb")
+        every = named.select(F.col("f0").alias("fa"), F.col("h").alias("a"), F.col("group").alias("ga"), F.col("n").alias("na"))
+        equal = every.join(y, (F.col("fa") == F.col("fb")) & (F.col("a") != F.col("b") if forests else F.col("a") < F.col("b")) & apart)
+        pairs = equal.select("a", "b").union(near.join(x, "fa").join(y, "fb").where(apart).select("a", "b"))
+        found = pairs if found is None else found.union(pairs)
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets are similar."""
+    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("parts").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("parts").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def _split(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Nodes of groups that candidates connect but tests left apart, unless the only pair there is was tested; ``whole``: what is connected, ``size``: its nodes."""
+    side = lambda s: nodes.select(F.col("h").alias(s), F.col("group").alias(f"g{s}"))
+    apart = checkpointed(pairs.join(side("a"), "a").join(side("b"), "b").where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct())
+    whole = stars(apart)
+    whole = whole.union(whole.select("b", "b").distinct())  # the smallest group of each belongs to it
+    members = nodes.join(whole.select(F.col("a").alias("group"), F.col("b").alias("whole")), "group")
+    sizes = members.groupBy("whole").agg(F.count("*").alias("size")).where("size > 2")
+    return checkpointed(members.join(sizes, "whole").select(*nodes.columns, "whole", "size"))
+
+
+def _all_candidates(nodes: DataFrame, seeds: int, budget: int, similarity: float) -> DataFrame:
+    """``a, b``: every pair of different groups within the budget under one of the seeds at least; each is inside one ``whole``."""
+    x, y = (nodes.select("whole", F.col("h").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("group", "n", *(f"f{i}" for i in range(seeds))))) for s in "ab")
+    close = functools.reduce(operator.or_, (F.bit_count(F.col(f"a_f{i}").bitwiseXOR(F.col(f"b_f{i}"))) <= budget for i in range(seeds)))
+    sizes = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n")
+    return x.join(y, (x["whole"] == y["whole"]) & (F.col("a") > F.col("b")) & (F.col("a_group") != F.col("b_group")) & sizes & close).select("a", "b")
+
+
 def copies(documents: DataFrame, key: str, text_column: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: int = 6, budget: int = 8) -> DataFrame:
     """``key, group``: groups of texts that are joined by links of at least this Jaccard similarity of word shingles.
 
-    Candidates are pairs whose fingerprints differ in few bits under at least one of several hashes; each is checked exactly.
+    Candidates are pairs whose fingerprints differ in few bits under at least one of several hashes; each is checked exactly, but for
+    those inside a group that checked links join already: first a forest of the candidates, then, where the checks left connected
+    candidates apart, several forests between groups, at last every pair between groups.
     Texts with the same words are one node. ``key`` is a long column without repeats. With six hashes and eight bits a pair of
     similarity 0.8 is a candidate with probability of about 0.92, one of 0.85 of about 0.99.
     """
     used = tuple(range(SEED, SEED + seeds))
     texts = documents.select(F.col(key).alias("key"), F.col(text_column).cast("string").alias("text"))
-    kinds = "h bigint, " + ", ".join(f"f{i} bigint" for i in range(seeds))
-    rows = checkpointed(_mapped(texts, lambda words: (_word_hash(words), *fingerprint(words, shingle, used)), kinds))
-    nodes = checkpointed(rows.groupBy("h").agg(F.min("key").alias("key"), *(F.first(f"f{i}").alias(f"f{i}") for i in range(seeds))))
-    found = None
-    for i in range(seeds):
-        named = nodes.select("h", F.col(f"f{i}").alias("f0"))
-        heads = named.groupBy("f0").agg(F.min("h").alias("head"))
-        equal = named.join(heads, "f0").where("h <> head").select(F.col("h").alias("a"), F.col("head").alias("b"))
-        near = links(heads.select("f0"), budget, start_bits=4)
-        near = near.join(heads.select(F.col("f0").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("f0").alias("b"), F.col("head").alias("y")), "b")
-        pairs = equal.union(near.select("x", "y"))
-        found = pairs if found is None else found.union(pairs)
-    pairs = checkpointed(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    linked = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-    wanted = nodes.join(linked, "h", "left_semi").select("key")
-    sets = _mapped(texts.join(broadcast_if_small(wanted), "key", "left_semi"), lambda words: (_word_hash(words), _numbers(words, shingle)), "h bigint, parts array<bigint>")
-    sets = checkpointed(sets.select("h", "parts"))
-    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("parts").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("parts").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    roots = stars(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    kinds = "h bigint, n bigint, " + ", ".join(f"f{i} bigint" for i in range(seeds))
+    rows = checkpointed(_mapped(texts, lambda words: (_word_hash(words), len(_numbers(words, shingle)), *fingerprint(words, shingle, used)), kinds))
+    nodes = checkpointed(rows.groupBy("h").agg(F.min("key").alias("key"), F.first("n").alias("n"), *(F.first(f"f{i}").alias(f"f{i}") for i in range(seeds))))
+    open_nodes, sets, passed = nodes.withColumn("group", F.col("h")), None, None
+    for forests in FORESTS:
+        pairs = checkpointed(_candidates(open_nodes, seeds, budget, similarity, forests))
+        if sets is None:  # nodes without a candidate now have none later
+            linked = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+            wanted = nodes.join(linked, "h", "left_semi").select("key")
+            sets = _mapped(texts.join(broadcast_if_small(wanted), "key", "left_semi"), lambda words: (_word_hash(words), _numbers(words, shingle)), "h bigint, parts array<bigint>")
+            sets = checkpointed(sets.select("h", "parts"))
+        new = checkpointed(_similar(pairs, sets, similarity))
+        passed = new if passed is None else passed.union(new)
+        roots = stars(passed)
+        if forests is None or new.count() == pairs.count():
+            break
+        grouped = open_nodes.drop("group").join(roots.select(F.col("a").alias("h"), F.col("b").alias("group")), "h", "left").withColumn("group", F.coalesce("group", "h"))
+        split = _split(grouped.select(nodes.columns + ["group"]), pairs)
+        # Small ones are settled at once, all their pairs are tested; they cannot meet the others any more.
+        small = _all_candidates(split.where(F.col("size") <= FEW), seeds, budget, similarity)
+        passed = passed.union(checkpointed(_similar(small, sets, similarity)))
+        open_nodes = split.where(F.col("size") > FEW)
+        if open_nodes.isEmpty():
+            roots = stars(passed)
+            break
     group = rows.select("key", "h").join(roots.select(F.col("a").alias("h"), "b"), "h", "left")
     return group.select("key", F.coalesce("b", "h").alias("group"))
 
