@@ -44,11 +44,12 @@ FORESTS = (1, 8, None)
 FEW = 1_000
 
 
-def fingerprint(words: list[bytes], shingle: int, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
-    """One 64-bit fingerprint for each seed, as signed integers."""
+def fingerprint(words: list[bytes], shingle: int, seeds: tuple[int, ...] = (SEED,), distinct: bool = False) -> list[int]:
+    """One 64-bit fingerprint for each seed, as signed integers; repeated shingles count as often as they occur, or once if ``distinct``."""
     if not words:
         return [0] * len(seeds)
     parts = [b" ".join(p) for p in zip(*(words[i:] for i in range(shingle)))] or [b" ".join(words)]
+    parts = list(set(parts)) if distinct else parts
     out = []
     for seed in seeds:
         hashes = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts), np.uint64, len(parts))
@@ -396,7 +397,7 @@ def _all_candidates(nodes: DataFrame, seeds: int, budget: int, similarity: float
 def copies(documents: DataFrame, key: str, text_column: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: int = 6, budget: int = 8) -> DataFrame:
     """``key, group``: groups of texts that are joined by links of at least this Jaccard similarity of word shingles.
 
-    Candidates are pairs whose fingerprints differ in few bits under at least one of several hashes; each is checked exactly, but for
+    Candidates are pairs whose fingerprints over distinct shingles (the sets that are compared) differ in few bits under at least one of several hashes; each is checked exactly, but for
     those inside a group that checked links join already: first a forest of the candidates, then, where the checks left connected
     candidates apart, several forests between groups, at last every pair between groups.
     Texts with the same words are one node. ``key`` is a long column without repeats. With six hashes and eight bits a pair of
@@ -405,7 +406,7 @@ def copies(documents: DataFrame, key: str, text_column: str = "text", shingle: i
     used = tuple(range(SEED, SEED + seeds))
     texts = documents.select(F.col(key).alias("key"), F.col(text_column).cast("string").alias("text"))
     kinds = "h bigint, n bigint, " + ", ".join(f"f{i} bigint" for i in range(seeds))
-    rows = checkpointed(_mapped(texts, lambda words: (_word_hash(words), len(_numbers(words, shingle)), *fingerprint(words, shingle, used)), kinds))
+    rows = checkpointed(_mapped(texts, lambda words: (_word_hash(words), len(_numbers(words, shingle)), *fingerprint(words, shingle, used, distinct=True)), kinds))
     nodes = checkpointed(rows.groupBy("h").agg(F.min("key").alias("key"), F.first("n").alias("n"), *(F.first(f"f{i}").alias(f"f{i}") for i in range(seeds))))
     open_nodes, sets, passed = nodes.withColumn("group", F.col("h")), None, None
     for forests in FORESTS:
