@@ -1,8 +1,9 @@
 """Uniform shuffle into shards of exact sizes: a hypergeometric matrix says how many rows each partition sends to each shard.
 
 The matrix is drawn from the partitions' row counts, without replacement from the places the shards have left, which is
-the law of a uniform shuffle. Rows are permuted inside their partition and dealt out by rank, then permuted again inside
-the shard. Only identifiers, sizes and checksums move; texts stay where they are.
+the law of a uniform shuffle. Whole rows, with the text and all other columns, are permuted inside their partition and dealt out by rank,
+exchanged, then permuted again inside the shard; a shard too large for a task is placed in pieces. Sizes and checksums are taken
+from the placed rows. ``write_shards`` writes them as files.
 
 Law: ``rows``, so the shards' counts differ by one at most. The same input (same files, same partitions) and seed give the same shards.
 
@@ -16,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from floodgauge.llm.common import query, table
+from floodgauge.llm.common import fresh, query, table
 from floodgauge.session import broadcast_if_small, checkpointed
 
 SHARDS = 8
@@ -41,31 +42,25 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> list[list
     return matrix
 
 
-def narrow(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Identifier, size and checksum with the partition a row is in and its place there, written once: later jobs see the same places."""
-    text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
-    rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"),
-        F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"),
-    )
-    return checkpointed(rows)
+def permuted(documents: DataFrame, seed: int) -> DataFrame:
+    """``row, part, place, rank``: whole rows, permuted inside their partition and numbered from 1 there; written once, later jobs see the same places."""
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.monotonically_increasing_id().alias("place"))
+    mixed = rows.sortWithinPartitions(F.xxhash64(F.lit(seed), "place"), "place")
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the place inside the partition
+    return checkpointed(mixed.select("row", "place", F.spark_partition_id().alias("part"), (number + 1).alias("rank")))
 
 
-def sharded(documents: DataFrame, shards: int = SHARDS, seed: int = 42, id_column: str = "doc_id", text_column: str = "text", piece_rows: int = PIECE_ROWS) -> DataFrame:
-    """``doc_id, size, text_crc32, shard, slot``: a uniform random placement, slots gapless from 0 in each shard."""
+def exchanged(documents: DataFrame, shards: int = SHARDS, seed: int = 42, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """``row, shard, piece, slot``: a uniform random placement of whole rows, slots gapless from 0 in each shard; a piece holds consecutive slots."""
     spark = documents.sparkSession
-    rows = narrow(documents, id_column, text_column)
+    rows = permuted(documents, seed)
     counted = sorted(rows.groupBy("part").count().collect())  # one row per partition
     total = sum(n for _, n in counted)
     matrix = communication_matrix([n for _, n in counted], shards, seed)
     bounds = [(part, [int(x) for x in np.cumsum(sent)]) for (part, _), sent in zip(counted, matrix)]
     sends = broadcast_if_small(spark.createDataFrame(bounds, "part int, bounds array<bigint>"))
-
-    # First permutation: ranks inside the partition, which is no larger than one split of the input.
-    first, second = F.xxhash64(F.lit(seed), "place"), F.xxhash64(F.lit(seed + 1), "place")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(first, "place")))
-    dealt = ranked.join(sends, "part").select(
-        "doc_id", "size", "text_crc32", "place", second.alias("key"),
+    dealt = rows.join(sends, "part").select(
+        "row", "place", F.xxhash64(F.lit(seed + 1), "place").alias("key"),
         F.size(F.filter("bounds", lambda b: b < F.col("rank"))).alias("shard"),
     )
     # Second permutation: order by the second key inside the shard, in pieces cut by the key's upper bits.
@@ -75,11 +70,33 @@ def sharded(documents: DataFrame, shards: int = SHARDS, seed: int = 42, id_colum
     starts = pieces.groupBy("shard", "piece").count().select("shard", "piece", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     inside = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("key", "place")) - 1
     placed = pieces.withColumn("inside", inside).join(broadcast_if_small(starts), ["shard", "piece"])
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("inside")).cast("long").alias("slot"))
+    return placed.select("row", "shard", "piece", (F.col("start") + F.col("inside")).cast("long").alias("slot"))
+
+
+def sharded(documents: DataFrame, shards: int = SHARDS, seed: int = 42, id_column: str = "doc_id", text_column: str = "text", piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """``doc_id, size, text_crc32, shard, slot``: size and checksum of the text that arrived in each place."""
+    placed = exchanged(documents, shards, seed, piece_rows)
+    text = F.encode(F.coalesce(F.col(f"row.`{text_column}`").cast("string"), F.lit("")), "UTF-8")
+    return placed.select(
+        F.col(f"row.`{id_column}`").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), "shard", "slot",
+    )
+
+
+def write_shards(documents: DataFrame, path: str, shards: int = SHARDS, seed: int = 42, piece_rows: int = PIECE_ROWS) -> tuple[str, str]:
+    """Parquet files of whole rows below one folder for each shard; the rows of a file are in the order of their slots.
+
+    Returns the names of the two columns that the files have besides the documents' own: shard and slot.
+    """
+    shard = fresh(documents, "shard")
+    slot = fresh(documents, "slot")
+    placed = exchanged(documents, shards, seed, piece_rows).repartition("shard", "piece").sortWithinPartitions("shard", "slot")
+    columns = [F.col(f"row.`{c}`").alias(c) for c in documents.columns]
+    placed.select(*columns, F.col("shard").alias(shard), F.col("slot").alias(slot)).write.partitionBy(shard).parquet(path)
+    return shard, slot
 
 
 @query("op8_sharding")
 def op8_sharding(spark, folder):
     """All documents in eight shards whose row counts differ by one at most."""
-    placed = sharded(table(spark, folder, "documents").select("doc_id", "text"))
+    placed = sharded(table(spark, folder, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

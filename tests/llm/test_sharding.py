@@ -54,3 +54,17 @@ def test_query(spark, folder):
     got = sharding.op8_sharding(spark, folder).collect()
     check(got, texts, 8)
     assert {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
+
+
+def test_shards_hold_whole_rows(spark, tmp_path):
+    texts = [(i, None if i % 5 == 0 else f"text {i}", i * 3, "mine") for i in range(200)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string, extra bigint, shard string").repartition(4)
+    rows = sharding.exchanged(df, 3, piece_rows=10).collect()
+    assert sorted(tuple(r.row)[0] for r in rows) == list(range(200))
+    assert sorted(map(str, (tuple(r.row) for r in rows))) == sorted(map(str, texts))
+    shard, slot = sharding.write_shards(df, str(tmp_path / "out"), 3, piece_rows=10)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert (shard, slot) == ("shard_", "slot")
+    want = sorted((tuple(r.row), r.shard, r.slot) for r in rows if r.row.text)
+    assert sorted((tuple(r[c] for c in df.columns), r[shard], r[slot]) for r in back.where("text is not null").collect()) == want
+    assert back.count() == 200
