@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from floodgauge.llm import bpe, chat, decontamination, divergence, language_model, licences, quality, sharding, simhash, toxicity, urls, whitening  # noqa: F401
+from floodgauge.llm import bpe, chat, decontamination, divergence, language_model, licences, ngram_join, quality, sharding, simhash, toxicity, urls, whitening  # noqa: F401
 from floodgauge.llm.common import ORACLES, QUERIES
 
 #: Folder of the package: tasks import their functions from it.
