@@ -5,7 +5,7 @@ documents, so that a lost executor costs one stage's task. All stages but the la
 
 * quality_rules: documents that fail a rule of policy v1 go.
 * toxicity: documents with a window that scores at least the threshold go; learned from the stage's own documents and ``labels``.
-* simhash_near_dedup: of documents joined by links of similarity 0.8 or more (shingles of five words) the one with the smallest id stays.
+* simhash_near_dedup: of documents joined by links of at most two differing fingerprint bits (shingles of three words) the one with the smallest id stays.
 * decontamination: words in windows of benchmark items are cut out; documents that are benchmark text for the most part go.
 * byte_bpe: ids and decoded bytes of the texts, as lengths and digests.
 

@@ -7,9 +7,8 @@ the differing bits of their prefixes add up, and a pair is left as soon as they
 
 The upper levels are walked with joins: a *unit* is a pair of nodes, and a unit with too many rows is replaced by the
 pairs of its children that are within the budget, until all units are small. So a third of all rows under one node is
-spread over many tasks. The lower levels are walked inside the tasks, on sorted arrays. Where a link needs no further test, a task hands
-on no more links than it has rows: those of a spanning forest of what it found. Where links are only candidates (``copies``), groups that the tests leave
-apart are looked at again, with several forests between groups and then with all pairs between groups.
+spread over many tasks. The lower levels are walked inside the tasks, on sorted arrays, and a task hands
+on no more links than it has rows: those of a spanning forest of what it found.
 
 Edge cases: a null or empty text has no words and the fingerprint 0, and is linked like any other. With fewer words than a shingle takes, the
 whole sequence is the only shingle. Equal fingerprints count as one node. Repeated rows come back one by one; rows with a null
@@ -18,8 +17,6 @@ id belong to their component, whose id is the smallest id that is not null. An e
 
 from __future__ import annotations
 
-import functools
-import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,25 +28,20 @@ from pyspark.sql import functions as F
 
 from floodgauge.llm.common import fresh, query, spaced_words, table
 from floodgauge.llm.components import stars
-from floodgauge.session import broadcast_if_small, checkpointed
+from floodgauge.session import broadcast_if_small, checkpointed, scratch_path
 
 SEED = 42
 #: A unit with more rows than this is replaced by units of its children, this many bits further down.
 UNIT_ROWS, STEP_BITS = 131_072, 3
 #: Pairs of nodes that a task holds at a time, and pairs of rows below which they are compared at once.
 FRONT, LEAF = 400_000, 48
-#: Forests of candidates in each round of ``copies``; the last round takes every pair that is left.
-FORESTS = (1, 8, None)
-#: Nodes that candidates connect, up to which all their pairs are compared at once instead.
-FEW = 1_000
 
 
-def fingerprint(words: list[bytes], shingle: int, seeds: tuple[int, ...] = (SEED,), distinct: bool = False) -> list[int]:
-    """One 64-bit fingerprint for each seed, as signed integers; repeated shingles count as often as they occur, or once if ``distinct``."""
+def fingerprint(words: list[bytes], shingle: int, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
+    """One 64-bit fingerprint for each seed, as signed integers; repeated shingles count as often as they occur."""
     if not words:
         return [0] * len(seeds)
     parts = [b" ".join(p) for p in zip(*(words[i:] for i in range(shingle)))] or [b" ".join(words)]
-    parts = list(set(parts)) if distinct else parts
     out = []
     for seed in seeds:
         hashes = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts), np.uint64, len(parts))
@@ -323,131 +315,22 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, budget: int = 2, id_
     return rows.join(placed.join(named, "root").select("f0", "component"), "f0")
 
 
-def _numbers(words: list[bytes], shingle: int) -> np.ndarray:
-    """Distinct hashes of the shingles."""
-    parts = {b" ".join(p) for p in zip(*(words[i:] for i in range(shingle)))} or {b" ".join(words)}
-    return np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64, len(parts)).view(np.int64)
-
-
-def _word_hash(words: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(words), SEED) - (1 << 63)
-
-
-def _mapped(rows: DataFrame, of, schema: str) -> DataFrame:
-    """Columns of the schema from each text; ``of`` takes the words of a text. The key column goes through."""
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            found = [of(spaced_words(t.as_py())) for t in batch.column("text")]
-            columns = [pa.array(c) for c in zip(*found)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], names)
-
-    names = ["key", *(c.split()[0] for c in schema.split(", "))]
-    return rows.mapInArrow(run, f"key bigint, {schema}")
-
-
-def _candidates(nodes: DataFrame, seeds: int, budget: int, similarity: float, forests: int | None) -> DataFrame:
-    """``a, b``: nodes ``h`` of different groups within the budget under one of the seeds at least; with ``forests``, enough to connect them."""
-    found = None
-    for i in range(seeds):
-        named = nodes.select("h", "group", "n", F.col(f"f{i}").alias("f0"))
-        one_group = F.when(F.min("group") == F.max("group"), F.min("group"))
-        # The nodes of a fingerprint are linked by its head, by another one each time.
-        heads = named.groupBy("f0").agg((F.min if forests == 1 else F.max)(F.struct("h", "group", "n")).alias("head"), one_group.alias("label"))
-        ends = heads.select("f0", "head.*") if forests else named
-        x, y = (ends.select(F.col("f0").alias(f"f{s}"), F.col("h").alias(s), F.col("group").alias(f"g{s}"), F.col("n").alias(f"n{s}")) for s in "ab")
-        near = links(heads.select("f0", *(["label"] if forests != 1 else [])), budget, start_bits=4, forests=forests)
-        near = near.distinct().select(F.col("a").alias("fa"), F.col("b").alias("fb")) if forests is None else near.select(F.col("a").alias("fa"), F.col("b").alias("fb"))
-        apart = F.col("ga") != F.col("gb")
-        if forests is None:  # sets whose sizes differ too much are not similar
-            apart &= F.least("na", "nb") >= similarity * F.greatest("na", "nb")
-        every = named.select(F.col("f0").alias("fa"), F.col("h").alias("a"), F.col("group").alias("ga"), F.col("n").alias("na"))
-        equal = every.join(y, (F.col("fa") == F.col("fb")) & (F.col("a") != F.col("b") if forests else F.col("a") < F.col("b")) & apart)
-        pairs = equal.select("a", "b").union(near.join(x, "fa").join(y, "fb").where(apart).select("a", "b"))
-        found = pairs if found is None else found.union(pairs)
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets are similar."""
-    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("parts").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("parts").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-
-def _split(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Nodes of groups that candidates connect but tests left apart, unless the only pair there is was tested; ``whole``: what is connected, ``size``: its nodes."""
-    side = lambda s: nodes.select(F.col("h").alias(s), F.col("group").alias(f"g{s}"))
-    apart = checkpointed(pairs.join(side("a"), "a").join(side("b"), "b").where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct())
-    whole = stars(apart)
-    whole = whole.union(whole.select("b", "b").distinct())  # the smallest group of each belongs to it
-    members = nodes.join(whole.select(F.col("a").alias("group"), F.col("b").alias("whole")), "group")
-    sizes = members.groupBy("whole").agg(F.count("*").alias("size")).where("size > 2")
-    return checkpointed(members.join(sizes, "whole").select(*nodes.columns, "whole", "size"))
-
-
-def _all_candidates(nodes: DataFrame, seeds: int, budget: int, similarity: float) -> DataFrame:
-    """``a, b``: every pair of different groups within the budget under one of the seeds at least; each is inside one ``whole``."""
-    x, y = (nodes.select("whole", F.col("h").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("group", "n", *(f"f{i}" for i in range(seeds))))) for s in "ab")
-    close = functools.reduce(operator.or_, (F.bit_count(F.col(f"a_f{i}").bitwiseXOR(F.col(f"b_f{i}"))) <= budget for i in range(seeds)))
-    sizes = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n")
-    return x.join(y, (x["whole"] == y["whole"]) & (F.col("a") > F.col("b")) & (F.col("a_group") != F.col("b_group")) & sizes & close).select("a", "b")
-
-
-def copies(documents: DataFrame, key: str, text_column: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: int = 6, budget: int = 8) -> DataFrame:
-    """``key, group``: groups of texts that are joined by links of at least this Jaccard similarity of word shingles.
-
-    Candidates are pairs whose fingerprints over distinct shingles (the sets that are compared) differ in few bits under at least one of several hashes; each is checked exactly, but for
-    those inside a group that checked links join already: first a forest of the candidates, then, where the checks left connected
-    candidates apart, several forests between groups, at last every pair between groups.
-    Texts with the same words are one node. ``key`` is a long column without repeats. With six hashes and eight bits a pair of
-    similarity 0.8 is a candidate with probability of about 0.92, one of 0.85 of about 0.99.
-    """
-    used = tuple(range(SEED, SEED + seeds))
-    texts = documents.select(F.col(key).alias("key"), F.col(text_column).cast("string").alias("text"))
-    kinds = "h bigint, n bigint, " + ", ".join(f"f{i} bigint" for i in range(seeds))
-    rows = checkpointed(_mapped(texts, lambda words: (_word_hash(words), len(_numbers(words, shingle)), *fingerprint(words, shingle, used, distinct=True)), kinds))
-    nodes = checkpointed(rows.groupBy("h").agg(F.min("key").alias("key"), F.first("n").alias("n"), *(F.first(f"f{i}").alias(f"f{i}") for i in range(seeds))))
-    open_nodes, sets, passed = nodes.withColumn("group", F.col("h")), None, None
-    for forests in FORESTS:
-        pairs = checkpointed(_candidates(open_nodes, seeds, budget, similarity, forests))
-        if sets is None:  # nodes without a candidate now have none later
-            linked = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-            wanted = nodes.join(linked, "h", "left_semi").select("key")
-            sets = _mapped(texts.join(broadcast_if_small(wanted), "key", "left_semi"), lambda words: (_word_hash(words), _numbers(words, shingle)), "h bigint, parts array<bigint>")
-            sets = checkpointed(sets.select("h", "parts"))
-        new = checkpointed(_similar(pairs, sets, similarity))
-        passed = new if passed is None else passed.union(new)
-        roots = stars(passed)
-        if forests is None or new.count() == pairs.count():
-            break
-        grouped = open_nodes.drop("group").join(roots.select(F.col("a").alias("h"), F.col("b").alias("group")), "h", "left").withColumn("group", F.coalesce("group", "h"))
-        split = _split(grouped.select(nodes.columns + ["group"]), pairs)
-        # Small ones are settled at once, all their pairs are tested; they cannot meet the others any more.
-        small = _all_candidates(split.where(F.col("size") <= FEW), seeds, budget, similarity)
-        passed = passed.union(checkpointed(_similar(small, sets, similarity)))
-        open_nodes = split.where(F.col("size") > FEW)
-        if open_nodes.isEmpty():
-            roots = stars(passed)
-            break
-    group = rows.select("key", "h").join(roots.select(F.col("a").alias("h"), "b"), "h", "left")
-    return group.select("key", F.coalesce("b", "h").alias("group"))
-
-
-def one_of_each(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
-    """The documents without copies: of each group the row with the smallest id stays (without an id: last), columns as they were.
+def one_of_each(documents: DataFrame, shingle: int = 3, budget: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One document of each component of ``near_duplicates``: the row with the smallest id stays (without an id: last), columns as they were.
 
     The rows are written once with a number, so that the decision is about the same rows whatever is computed anew.
     """
     key = fresh(documents, "key")
-    rows = checkpointed(documents.withColumn(key, F.monotonically_increasing_id()))
+    path = scratch_path(documents.sparkSession, "one-of-each")
+    documents.withColumn(key, F.monotonically_increasing_id()).write.parquet(path)
+    rows = documents.sparkSession.read.schema(documents.withColumn(key, F.lit(0).cast("long")).schema).parquet(path)
+    placed = near_duplicates(rows, shingle, budget, key, text_column).select(F.col("id").alias("key"), F.col("component").alias("group"))
+    several = checkpointed(placed.groupBy("group").count().where("count > 1").select("group"))
     order = F.struct(F.col(id_column).isNull().alias("n"), F.col(id_column).alias("i"), F.col(key).alias("k"))
-    placed = copies(rows, key, text_column, **how)
-    shared = placed.groupBy("group").count().where("count > 1").select("group")
-    members = placed.join(shared, "group", "left_semi").join(rows.select(F.col(key).alias("key"), order.alias("o")), "key")
+    members = placed.join(broadcast_if_small(several), "group", "left_semi").join(rows.select(F.col(key).alias("key"), order.alias("o")), "key")
     first = members.groupBy("group").agg(F.min("o").alias("o")).select("group", F.col("o.k").alias("first"))
-    gone = members.join(first, "group").where("key <> first").select(F.col("key").alias(key))
-    return rows.join(broadcast_if_small(gone), key, "left_anti").select(*(F.col(f"`{c}`") for c in documents.columns))
+    gone = members.join(broadcast_if_small(checkpointed(first)), "group").where("key <> first").select(F.col("key").alias(key))
+    return rows.join(broadcast_if_small(checkpointed(gone)), key, "left_anti").select(*(F.col(f"`{c}`") for c in documents.columns))
 
 
 @query("op3_simhash")

@@ -6,15 +6,11 @@ from pyspark.sql import functions as F
 from test_bpe import LIBRARY
 from test_decontamination import brute as brute_hits
 from test_quality import brute as brute_quality
+from test_simhash import brute_components, brute_fingerprint
 
 from floodgauge.llm import quality, toxicity
 
 
-def shingles(text):
-    words = text.encode().lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-
 @pytest.fixture(scope="module")
 def outputs(spark, folder, tmp_path_factory):
     docs, out = spark.read.parquet(f"{folder}/documents.parquet"), []
@@ -45,23 +41,14 @@ def test_toxicity_takes_toxic_and_leaves_clean(spark, folder, outputs):
 
 
 def test_one_of_each_group(outputs):
-    before, after = outputs[2], outputs[3]
-    sets = {d.doc_id: shingles(d.text) for d in before}
-    root = {i: i for i in sets}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    want, got = {i for i in ids if find(i) == i}, {d.doc_id for d in after}
-    assert want <= got and len(got) <= len(want) + 0.05 * (len(ids) - len(want)) + 1  # a few pairs near 0.8 are no candidates
+    """The smallest id of every component of fingerprints within two bits, compared pair by pair."""
+    before = sorted(outputs[2])
+    codes = [brute_fingerprint(d.text) for d in before]
+    root = brute_components(codes, 2)
+    first = {}
+    for d, code in zip(before, codes):
+        first.setdefault(root[code], d)
+    assert sorted(outputs[3]) == sorted(first.values()) and len(first) < len(before)
 
 
 def test_decontamination(spark, folder, outputs):
