@@ -11,7 +11,6 @@ from floodgauge.plans.registry import query, tidy
 from floodgauge.plans.views import FEATURES, FLOW_KEY, flows, labelled, table, threats, with_views
 from floodgauge.session import scratch_path
 from floodgauge.sources import export, tables
-from floodgauge.streaming.reputation import FIELDS, stream_reputation
 from floodgauge.streaming.routes import stream_withdrawals
 from floodgauge.streaming.windows import stream_window_features
 
@@ -108,14 +107,6 @@ def stream_windows_1h(spark, folder):
     return tidy(found.select("window_key", "total_flows", "total_bytes", "unique_src_ips", "syn_flag_count", "bytes_std"), 4)
 
 
-@query("stream_reputation", with_views(("threats",), """
-SELECT flow_id, ip, round(reputation_score, 6) AS reputation_score, validations FROM history""", _FOLD, recursive=True))
-def stream_reputation_query(spark, folder):
-    source = threats(spark, folder, _event_stream(spark, folder))
-    found = _streamed(spark, stream_reputation(source.select(*FIELDS)), "reputation")
-    return tidy(found.select("flow_id", "ip", "reputation_score", "validations"))
-
-
 _EPISODES = """
 direct AS (
   SELECT *, CASE WHEN score > 0.95e0 OR attack_type IN ('volumetric','amplification') THEN 'blackhole' ELSE 'flowspec' END

@@ -1,42 +1,39 @@
 """Reputation on streams.
 
-Two forms with the same results:
+Two forms with the results of ``reputation_history``, whatever the order of arrival within the allowed lateness:
 
-* ``stream_reputation``: keyed state, one update per threat, lowest delay. All threats of an
-  address in a micro-batch pass through one task, in blocks, so memory stays bounded; the source's
-  rate limit bounds the time.
-* ``ReputationBatches``: each micro-batch goes through the batch operator together with the state
-  table left by the one before. An address with a large part of the traffic is spread over many
+* ``stream_reputation``: keyed state that takes the threats of an address in event-time order. All threats of an
+  address in a micro-batch pass through one task; the source's rate limit bounds them.
+* ``ReputationBatches``: threats wait in a table until the watermark has passed them, then go through the batch operator together with the state
+  table left by the micro-batch before. An address with a large part of the traffic is summed by pieces of time first and spread over many
   tasks, which makes this the form for very skewed streams.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from floodgauge.functions.expressions import epoch_micros
 from floodgauge.operators.reputation import (
     BASE_TTL_SECONDS,
     DIGITS,
     SCORE_WEIGHT,
     latest_state,
-    malicious_messages,
     reputation_history,
     ttl_seconds,
 )
 from floodgauge.sources.export import read_snapshot, write_snapshot
+from floodgauge.streaming.event_order import in_event_order, micros
 from floodgauge.streaming.windows import event_time
 
 OUTPUT = (
     "ip string, ts timestamp, flow_id long, score double, attack_type string, confidence double, "
     "detection_method string, ttl int, reputation_score double, validations long"
 )
-STATE = "total double, validations long, last_micros long"
 FIELDS = ["ip", "ts", "flow_id", "score", "attack_type", "confidence", "detection_method", "ttl"]
 
 
@@ -45,70 +42,95 @@ def _lifetime(total: float) -> int:
     return int(BASE_TTL_SECONDS * (1 + round(min(1.0, SCORE_WEIGHT * total), DIGITS))) * 1_000_000
 
 
-def _update(key: Any, blocks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    total, validations, last = state.get if state.exists else (0.0, 0, None)
-    for block in blocks:
-        block = block.sort_values(["ts", "flow_id"], kind="stable")
-        micros = block["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        scores = block["score"].to_numpy()
+class Reputation:
+    """Sum of scores, validations and last moment of an address; an entry that has expired is forgotten."""
+
+    def step(self, key: tuple, kept: Any, rows: pd.DataFrame):
+        total, validations, last = kept or (0.0, 0, None)
         totals, counts = [], []
-        for moment, score in zip(micros.tolist(), scores.tolist()):
+        for moment, score in zip(micros(rows["ts"]).tolist(), rows["score"].fillna(0.0).tolist()):
             if last is not None and moment - last >= _lifetime(total):
                 total, validations = 0.0, 0
-            total, validations = total + score, validations + 1
-            last = moment if last is None else max(last, moment)
+            total, validations, last = total + score, validations + 1, moment
             totals.append(total)
             counts.append(validations)
-        out = block[FIELDS].copy()
+        out = rows[FIELDS].copy()
         out["reputation_score"] = [round(min(1.0, SCORE_WEIGHT * t), DIGITS) for t in totals]
         out["validations"] = counts
-        yield out
-    state.update((float(total), int(validations), int(last)))
-    ends = (last + _lifetime(total)) // 1000 + 1
-    state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        return (total, validations, last), out
 
+    def due(self, kept: Any) -> int:
+        return kept[2] + _lifetime(kept[0])
 
-def stream_reputation(threats: DataFrame, late_seconds: int = 10) -> DataFrame:
-    """Threats with the reputation after each of them; entries are dropped when they expire."""
-    return (
-        event_time(threats, "ts", late_seconds)
-        .select(*FIELDS)
-        .groupBy("ip")
-        .applyInPandasWithState(_update, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    def expire(self, key: tuple, kept: Any, now: int):
+        return None, None
 
 
-def stream_malicious(history: DataFrame) -> DataFrame:
-    return malicious_messages(history)
+def stream_reputation(threats: DataFrame, late_seconds: int = 10) -> DataFrame:
+    """Threats with the reputation after each of them, once the watermark has passed them; entries are dropped when they expire.
+
+    A threat without address or time comes back at once, without a state.
+    """
+    unplaced = F.col("ip").isNull() | F.col("ts").isNull()
+    rows = event_time(threats.select(*FIELDS).filter(~unplaced), "ts", late_seconds)
+    found = in_event_order(rows, ["ip"], "ts", ["flow_id"], Reputation(), OUTPUT)
+    aside = threats.select(*FIELDS).filter(unplaced).withColumns({
+        "ts": F.col("ts").cast("timestamp"), "reputation_score": F.lit(None).cast("double"), "validations": F.lit(None).cast("long"),
+    })
+    return found.unionByName(aside)
 
 
 class ReputationBatches:
-    """``foreachBatch`` function: updates the state table and writes the history of the batch.
+    """``foreachBatch`` function: writes the history of the threats that the watermark has passed, and the state after them.
 
-    Each batch writes ``<folder>/history/batch=<id>`` and then the state version ``id``; running a
-    batch again overwrites both with the same rows.
+    Below ``folder``, each batch writes ``history/batch=<id>``, ``waiting/batch=<id>`` (threats newer than the watermark), ``late/batch=<id>``
+    (threats that came too late, left out of the history) and last the state and the watermark under version ``id``. A batch is read back only by the next one;
+    running a batch again, after a crash at any point, overwrites all of it with the same rows. ``finish`` hands on what still waits when the stream has ended.
     """
 
     def __init__(self, folder: str, partitions: int = 8, late_seconds: int = 10):
         self.folder, self.partitions, self.late_seconds = folder, partitions, late_seconds
 
+    def _path(self, table: str, batch_id: int) -> str:
+        return f"{self.folder}/{table}/batch={batch_id}"
+
+    def _before(self, spark, batch_id: int, schema):
+        """Waiting threats, watermark in microseconds and state that the batch before has left."""
+        if batch_id == 0:
+            return spark.createDataFrame([], schema), None, None
+        waiting = spark.read.schema(schema).parquet(self._path("waiting", batch_id - 1))
+        mark = spark.read.parquet(self._path("watermark", batch_id - 1)).first()["micros"]
+        return waiting, mark, read_snapshot(spark, self.folder, batch_id - 1)
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = read_snapshot(spark, self.folder, batch_id - 1 if batch_id else -1)
-        history = reputation_history(batch.select(*FIELDS), ("flow_id",), before)
-        target = f"{self.folder}/history/batch={batch_id}"
-        history.write.mode("overwrite").parquet(target)
-        written = spark.read.schema(history.schema).parquet(target)
+        self._advance(batch.select(*FIELDS), batch_id, self.late_seconds)
+
+    def finish(self, spark, last_batch_id: int, schema) -> None:
+        """One more batch, without lateness."""
+        self._advance(spark.createDataFrame([], schema), last_batch_id + 1, None)
+
+    def _advance(self, rows: DataFrame, batch_id: int, late_seconds: int | None) -> None:
+        spark = rows.sparkSession
+        waiting, mark, before = self._before(spark, batch_id, rows.schema)
+        moment = epoch_micros(F.col("ts"))
+        late = F.coalesce(moment <= F.lit(mark), F.lit(False)) if mark is not None else F.lit(False)
+        rows.filter(late).write.mode("overwrite").parquet(self._path("late", batch_id))
+        pool_path = self._path("pool", batch_id)
+        waiting.unionByName(rows.filter(~late)).write.mode("overwrite").parquet(pool_path)
+        pool = spark.read.schema(rows.schema).parquet(pool_path)
+        newest = pool.agg(F.max(moment)).first()[0]
+        if newest is not None:
+            newest = newest if late_seconds is None else newest - late_seconds * 1_000_000
+            mark = newest if mark is None else max(mark, newest)
+        passed: Column = F.coalesce(moment <= F.lit(mark), F.lit(True)) if mark is not None else moment.isNull()
+        history = reputation_history(pool.filter(passed), ("flow_id",), before)
+        history.write.mode("overwrite").parquet(self._path("history", batch_id))
+        pool.filter(~passed).write.mode("overwrite").parquet(self._path("waiting", batch_id))
+        written = spark.read.schema(history.schema).parquet(self._path("history", batch_id)).filter("ip is not null and ts is not null")
         state = latest_state(written, ("flow_id",))
         if before is not None:
             state = state.unionByName(before.join(state.select("ip"), "ip", "left_anti"))
-        # Entries that no row within the allowed lateness could still reach are left out.
-        newest = state.agg(F.max(F.unix_micros("last_seen"))).scalar()
-        alive = (
-            F.unix_micros("last_seen") + ttl_seconds(F.col("score")).cast("long") * 1_000_000
-            > newest - self.late_seconds * 1_000_000
-        )
-        write_snapshot(state.filter(alive), self.folder, batch_id, "ip", self.partitions)
+        if mark is not None:  # entries that no threat to come can reach are left out
+            state = state.filter(epoch_micros(F.col("last_seen")) + ttl_seconds(F.col("score")).cast("long") * 1_000_000 > F.lit(mark))
+        write_snapshot(state, self.folder, batch_id, "ip", self.partitions)
+        spark.createDataFrame([(mark,)], "micros long").coalesce(1).write.mode("overwrite").parquet(self._path("watermark", batch_id))

@@ -2,23 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floodgauge.operators.mitigation import DEFAULT_TTL, withdraw_text
+from floodgauge.streaming.event_order import in_event_order, micros
 from floodgauge.streaming.windows import event_time
 
 
-def stream_withdrawals(announced: DataFrame, ttl_seconds: int = DEFAULT_TTL, late_seconds: int = 10) -> DataFrame:
-    """Withdraw record once no announcement came within the time to live.
+class Life:
+    """The end of a route's life and its type; every announcement sets both anew, be it earlier or later than before."""
+
+    columns = ("ip", "route_type", "micros")
+
+    def _withdrawn(self, key: tuple, kept: Any) -> list[tuple]:
+        return [(key[0], kept[1], kept[0])]
+
+    def step(self, key: tuple, kept: Any, rows: pd.DataFrame):
+        out = []
+        for moment, kind, ttl in zip(micros(rows["timestamp"]).tolist(), rows["route_type"].tolist(), rows["ttl"].tolist()):
+            if kept is not None and moment > kept[0]:  # an announcement exactly at the end still counts
+                out += self._withdrawn(key, kept)
+            kept = (moment + int(ttl) * 1_000_000, kind)
+        return kept, pd.DataFrame(out, columns=self.columns)
+
+    def due(self, kept: Any) -> int:
+        return kept[0]
+
+    def expire(self, key: tuple, kept: Any, now: int):
+        return None, pd.DataFrame(self._withdrawn(key, kept), columns=self.columns)
+
+
+def stream_withdrawals(
+    announced: DataFrame, late_seconds: int = 10, tie: Sequence[str] = ("route_type", "ttl"), per_type: bool = False, default_ttl: int = DEFAULT_TTL,
+) -> DataFrame:
+    """Withdraw record for every route that was not announced again within the time to live of its last announcement.
 
-    A route's life is a session whose gap is the time to live; an announcement exactly at its end
-    still extends it. The record carries the type of the last announcement.
+    Each route has a timer of its own; a later announcement moves it, also to an earlier time. Of announcements of the same instant the
+    last in the order of ``tie`` decides, as in the batch form. With ``per_type`` each type of route of an address lives on its own. A missing time to live
+    is the default one; announcements without address or time name no route and are left out.
     """
-    timed = event_time(announced, "timestamp", late_seconds)
-    life = F.session_window("timestamp", f"{ttl_seconds} seconds").alias("life")
-    ended = timed.groupBy("ip", life).agg(F.max_by("route_type", "timestamp").alias("route_type"))
+    columns = dict.fromkeys(["ip", "timestamp", "route_type", "ttl", *tie])
+    rows = announced.withColumn("ttl", F.coalesce("ttl", F.lit(default_ttl))).select(*columns)
+    rows = event_time(rows.filter("ip IS NOT NULL AND timestamp IS NOT NULL"), "timestamp", late_seconds)
+    ended = in_event_order(rows, ["ip", "route_type"] if per_type else ["ip"], "timestamp", tie, Life(), "ip string, route_type string, micros long")
     return ended.select(
-        F.lit("withdraw").alias("action"), "ip", "route_type", F.col("life.end").alias("timestamp"),
+        F.lit("withdraw").alias("action"), "ip", "route_type", F.timestamp_micros("micros").alias("timestamp"),
         F.lit("ttl_expired").alias("reason"), withdraw_text(F.col("ip"), F.col("route_type")).alias("command"),
     )

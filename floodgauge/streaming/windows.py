@@ -45,24 +45,3 @@ def stream_hourly_counters(threats: DataFrame, false_positive, ts: str = "ts", l
         F.count(F.lit(1)).alias("threats"), F.count_if(false_positive).alias("false_positives")
     )
     return counted.select(F.col("w.start").alias("hour_start"), "threats", "false_positives")
-
-
-def stream_latencies(
-    starts: DataFrame, completions: DataFrame, key: str = "flow_id", ts: str = "ts",
-    late_seconds: int = WATERMARK_SECONDS, wait_seconds: int = 300,
-) -> DataFrame:
-    """Start and completion of each flow, joined while the start is younger than ``wait_seconds``.
-
-    A flow is started once here; of several completions one is kept.
-    """
-    s = event_time(starts, ts, late_seconds).select(F.col(key), F.col(ts).alias("start_ts"))
-    c = event_time(completions, ts, late_seconds).select(F.col(key).alias("_key"), F.col(ts).alias("end_ts"))
-    near = (
-        (F.col(key) == F.col("_key"))
-        & (F.col("end_ts") >= F.col("start_ts"))
-        & (F.col("end_ts") <= F.col("start_ts") + F.expr(f"INTERVAL {wait_seconds} SECONDS"))
-    )
-    seconds = (F.unix_micros("end_ts") - F.unix_micros("start_ts")) / 1_000_000
-    # Rebuilt, so that only the start remains an event-time column for the step after the join.
-    end = F.timestamp_micros(F.unix_micros("end_ts")).alias("end_ts")
-    return s.join(c, near).select(key, "start_ts", end, seconds.alias("latency")).dropDuplicatesWithinWatermark([key])

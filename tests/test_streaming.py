@@ -2,13 +2,16 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from floodgauge.operators import mitigation, reputation, windows
+import pytest
+
+from floodgauge.operators import latency, mitigation, reputation, windows
+from floodgauge.plans.stream_queries import disordered
 from floodgauge.plans.views import flows, threats
 from floodgauge.streaming.reputation import FIELDS, ReputationBatches, stream_reputation
 from floodgauge.streaming.routes import stream_withdrawals
+from floodgauge.streaming.latency import stream_latencies
 from floodgauge.streaming.windows import (
     stream_hourly_counters,
-    stream_latencies,
     stream_throughput,
     stream_window_features,
 )
@@ -70,26 +73,61 @@ def test_late_rows_are_dropped(spark):
     assert [(r["event_type"], r["n_events"]) for r in got] == [("a", 1)]
 
 
-def test_reputation_stream_matches_batch(spark, folder):
+def states(d):
+    return sorted((r["flow_id"], None if r["reputation_score"] is None else round(r["reputation_score"], 8), r["validations"]) for r in d.collect())
+
+
+@pytest.mark.parametrize("batches", [1, 6])
+def test_reputation_stream_matches_batch(spark, folder, batches):
     rows = threats(spark, folder).select(*FIELDS)
-    got = run(stream_reputation(as_stream(spark, rows)), "r1")
-    want = reputation.reputation_history(rows, ("flow_id",))
-    pick = lambda d: sorted((r["flow_id"], r["reputation_score"], r["validations"]) for r in d.collect())
-    assert pick(got) == pick(want)
+    lost = rows.limit(2).withColumn("flow_id", F.col("flow_id") + 10**6).withColumn("ip", F.lit(None).cast("string"))
+    rows = rows.unionByName(lost).withColumn("score", F.expr("CASE WHEN flow_id % 7 = 0 THEN NULL ELSE score END"))
+    source = disordered(spark, rows, "ts", "flow_id", batches, 7200, {"ip": "end"})
+    got = run(stream_reputation(source, 7200), f"r{batches}").filter("ip IS NULL OR ip <> 'end'")
+    assert states(got) == states(reputation.reputation_history(rows, ("flow_id",)))
+
+
+def test_rows_wait_until_the_watermark_has_passed_them(spark, folder):
+    rows = threats(spark, folder).select(*FIELDS)
+    got = run(stream_reputation(as_stream(spark, rows), 3600), "r_wait")
+    last = rows.agg(F.max("ts")).first()[0]
+    want = reputation.reputation_history(rows, ("flow_id",)).filter(F.col("ts") <= F.lit(last) - F.expr("INTERVAL 3600 SECONDS"))
+    assert states(got) == states(want)
+
+
+def batched(spark, rows, target, stream, late_seconds, fail_on=None):
+    function, ids = ReputationBatches(target, 2, late_seconds), []
+
+    def each(batch, batch_id):
+        if fail_on == batch_id and batch_id not in ids:  # everything but the last file is there, then the batch is run again
+            ids.append(batch_id)
+            function(batch, batch_id)
+        function(batch, batch_id)
+        ids.append(batch_id)
+
+    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", tempfile.mkdtemp(prefix="run-")).trigger(availableNow=True).start()
+    assert q.awaitTermination(300)
+    function.finish(spark, ids[-1], rows.schema)
+    return spark.read.parquet(f"{target}/history")
 
 
 def test_reputation_batches_match_batch(spark, folder):
     rows = threats(spark, folder).select(*FIELDS)
-    target = tempfile.mkdtemp(prefix="run-")
-    q = (
-        as_stream(spark, rows).writeStream.foreachBatch(ReputationBatches(target, 2))
-        .option("checkpointLocation", tempfile.mkdtemp(prefix="run-")).trigger(availableNow=True).start()
-    )
-    assert q.awaitTermination(180)
-    got = spark.read.parquet(f"{target}/history")
-    want = reputation.reputation_history(rows, ("flow_id",))
-    pick = lambda d: sorted((r["flow_id"], round(r["reputation_score"], 8), r["validations"]) for r in d.collect())
-    assert pick(got) == pick(want)
+    got = batched(spark, rows, tempfile.mkdtemp(prefix="run-"), disordered(spark, rows, "ts", "flow_id", 3, 7200), 7200, fail_on=1)
+    assert states(got) == states(reputation.reputation_history(rows, ("flow_id",)))
+
+
+def test_reputation_batches_set_late_rows_aside(spark, folder):
+    rows = threats(spark, folder).select(*FIELDS).orderBy("ts", "flow_id").limit(60)
+    ordered = spark.createDataFrame(rows.collect(), rows.schema)
+    target, path = tempfile.mkdtemp(prefix="run-"), tempfile.mkdtemp(prefix="run-")
+    late = ordered.limit(3)
+    for part in (ordered.exceptAll(late), late):
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = batched(spark, rows, target, stream, 0)
+    assert states(got) == states(reputation.reputation_history(ordered.exceptAll(late), ("flow_id",)))
+    assert sorted(r["flow_id"] for r in spark.read.parquet(f"{target}/late").collect()) == sorted(r["flow_id"] for r in late.collect())
 
 
 def test_withdrawals_stream_matches_batch(spark, folder):
@@ -112,9 +150,57 @@ def test_hourly_counters_stream(spark, folder):
     assert a == sorted(tuple(r) for r in want.collect())
 
 
+def seconds(spark, values, names, ts="ts"):
+    """Rows whose first value is a number of seconds."""
+    rows = spark.createDataFrame(values, f"s long, {names}")
+    return rows.select((F.timestamp_seconds(F.col("s") + 1_700_000_000)).alias(ts), *[c for c in rows.columns if c != "s"])
+
+
+def in_files(spark, parts):
+    path = tempfile.mkdtemp(prefix="run-")
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_withdrawals_follow_each_routes_own_life(spark):
+    names = "ip string, ttl int, route_type string"
+    announced = [
+        (0, "a", 600, "flowspec"), (500, "a", 100, "blackhole"), (601, "a", 50, "flowspec"),  # shortened, then a new life
+        (0, "b", 3600, "flowspec"), (3600, "b", 600, "flowspec"),  # exactly at the end
+        (100, "c", 600, "flowspec"), (100, "c", 600, "blackhole"), (50, "c", None, "flowspec"),  # same instant; no time of its own
+        (10, "d", 3600, "flowspec"), (20, "d", 5, "blackhole"), (22, "d", 3000, "flowspec"), (4000, "d", 60, "blackhole"),
+        (9000, "e", 600, "flowspec"), (7, None, 60, "flowspec"),
+    ]
+    order = [3, 0, 9, 6, 12, 2, 5, 1, 13, 8, 7, 4, 11, 10]
+    shuffled = [announced[i] for i in order]
+    parts = [seconds(spark, shuffled[i : i + 4], names, "timestamp") for i in range(0, 14, 4)] + [seconds(spark, [(900_000, "end", 60, "x")], names, "timestamp")]
+    got = run(stream_withdrawals(in_files(spark, parts), 20_000), "life")
+    want = mitigation.withdrawals(seconds(spark, announced, names, "timestamp").fillna({"ttl": 3600}).filter("ip IS NOT NULL"), tie=("route_type", "ttl"))
+    pick = lambda d: sorted((r["ip"], r["route_type"], r["timestamp"], r["command"]) for r in d.collect())
+    assert pick(got) == pick(want) and len(pick(want)) == 7
+    by_type = run(stream_withdrawals(in_files(spark, parts), 20_000, per_type=True), "life_by_type")
+    assert pick(by_type) == pick(mitigation.withdrawals(seconds(spark, announced, names, "timestamp").fillna({"ttl": 3600}).filter("ip IS NOT NULL"), tie=("ttl",), per_type=True))
+
+
+def test_timer_withdraws_without_further_announcements(spark):
+    names = "ip string, ttl int, route_type string"
+    parts = [seconds(spark, rows, names, "timestamp") for rows in ([(0, "a", 600, "flowspec")], [(300, "b", 5000, "flowspec")], [(1000, "b", 5000, "flowspec")], [(1001, "b", 5000, "flowspec")])]
+    got = run(stream_withdrawals(in_files(spark, parts), 10), "timer").collect()
+    assert [(r["ip"], int(r["timestamp"].timestamp()) - 1_700_000_000) for r in got] == [("a", 600)]
+
+
 def test_latency_stream(spark):
-    base = "SELECT flow_id, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,s) AS ts FROM VALUES {} t(flow_id, s)"
-    starts = spark.sql(base.format("(1, 0), (2, 10), (3, 20), (9, 90000)"))
-    ends = spark.sql(base.format("(1, 5), (2, 1000), (4, 21), (9, 90001)"))
-    got = run(stream_latencies(as_stream(spark, starts, parts=1), as_stream(spark, ends, parts=1)), "l1").collect()
-    assert sorted((r["flow_id"], r["latency"]) for r in got) == [(1, 5.0), (9, 1.0)]
+    started = [(0, 1), (10, 2), (20, 3), (5, 1), (30, 1), (90_000, 9), (40, 7), (3, None)]
+    ended = [(6, 1), (7, 1), (31, 1), (1000, 2), (21, 4), (90_001, 9), (40, 7), (41, 7)]
+    far = [(900_000, -1)]
+    sides = [in_files(spark, [seconds(spark, rows[::-1][:4], "flow_id long"), seconds(spark, rows[::-1][4:], "flow_id long"), seconds(spark, far, "flow_id long")]) for rows in (started, ended)]
+    got = run(stream_latencies(*sides, late_seconds=100_000), "l1")
+    want = latency.flow_latencies(seconds(spark, started[:-1], "flow_id long"), seconds(spark, ended, "flow_id long"))
+    pick = lambda d: sorted((r["flow_id"], r["start_ts"], r["end_ts"], r["latency"]) for r in d.collect())
+    assert pick(got) == pick(want) and [r[3] for r in pick(want)] == [1.0, 1.0, 990.0, 0.0, 1.0]
+
+
+def test_starts_are_forgotten(spark):
+    starts, ends = (in_files(spark, [seconds(spark, rows, "flow_id long"), seconds(spark, [(900_000, -1)], "flow_id long")]) for rows in ([(0, 1), (0, 2)], [(300, 1), (301, 2)]))
+    assert [r["flow_id"] for r in run(stream_latencies(starts, ends, wait_seconds=300), "l2").collect()] == [1]
