@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floodgauge.functions.expressions import epoch_micros
 from floodgauge.operators import mitigation
-from floodgauge.plans.live_queries import _FOLD, _LATENCY
+from floodgauge.plans.live_queries import _FOLD, _IDS, _LATENCY
 from floodgauge.plans.registry import query, tidy
 from floodgauge.plans.storage_queries import WAIT_SECONDS, _streamed
-from floodgauge.plans.views import flows, pick, table, threats, with_views
+from floodgauge.plans.views import flows, ids_lines, pick, table, threats, with_views
 from floodgauge.session import scratch_path
+from floodgauge.sources import ids_log
+from floodgauge.sources.log_tail import tail_lines
 from floodgauge.streaming.latency import stream_latencies
 from floodgauge.streaming.reputation import FIELDS, ReputationBatches, stream_reputation
 from floodgauge.streaming.routes import stream_withdrawals
@@ -19,6 +22,8 @@ from floodgauge.streaming.routes import stream_withdrawals
 #: Micro-batches, and seconds by which rows are late at most.
 BATCHES, LATE_SECONDS = 5, 7200
 END = "(end)"
+#: Pieces a log is made of, and looks at it while it grows to one of them.
+PIECES, LOOKS = 4, 2
 
 
 def disordered(spark: SparkSession, rows: DataFrame, ts: str, key: str, batches: int = BATCHES, late_seconds: int = LATE_SECONDS, closing: dict | None = None) -> DataFrame:
@@ -122,6 +127,56 @@ def stream_latencies_query(spark, folder):
     return tidy(_streamed(spark, stream_latencies(starts, ends, late_seconds=2 * LATE_SECONDS + _slack(sides), wait_seconds=month), "latencies"))
 
 
+_FOLLOWED = """
+SELECT kind AS event_type, count(*) AS n, CAST(sum(src_port) AS BIGINT) AS src_ports, CAST(sum(CASE WHEN kind = 'flow' THEN bytes END) AS BIGINT) AS bytes FROM ids GROUP BY 1
+UNION ALL SELECT '(bad)', count(*), NULL, NULL FROM events WHERE event_id % 97 <> 0 AND event_id % 89 = 0"""
+
+
+@query("followed_log", with_views(("flows",), _FOLLOWED, _IDS))
+def followed_log(spark, folder):
+    """Events and unreadable lines of a log that grows, is rotated and truncated between looks, each line exactly once."""
+    target, pieces = scratch_path(spark, "log"), scratch_path(spark, "log-pieces")
+    ids_lines(spark, folder).select("value").repartition(PIECES).write.text(pieces)
+    system, at = fs.FileSystem.from_uri(target) if "://" in target or target.startswith("file:") else (fs.LocalFileSystem(), target)
+    out, mark = f"{target}-out", f"{target}-mark"
+    source = sorted(f.path for f in system.get_file_info(fs.FileSelector(_inner(pieces))) if f.base_name.startswith("part-"))
+    system.create_dir(at)
+
+    def look():
+        stream = tail_lines(spark, target)
+        running = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start()
+        if not running.awaitTermination(WAIT_SECONDS):
+            running.stop()
+            raise TimeoutError("the log was not read")
+
+    log = f"{at}/eve.json"
+    for k, piece in enumerate(source):
+        with system.open_input_file(piece) as stream:
+            size = stream.size()
+            for part in range(LOOKS):  # cut anywhere, also inside lines
+                _append(system, log, stream, (part + 1) * size // LOOKS, new=part == 0)
+                look()
+        if k % 2 == 0:  # renamed; every other file is truncated and written anew
+            system.move(log, f"{log}.{k}")
+    lines = spark.read.schema("file string, position bigint, value string").parquet(out)
+    parsed = ids_log.parse_lines(lines)
+    good = ids_log.valid_events(parsed).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("src_port").alias("src_ports"), F.sum(F.when(F.col("event_type") == "flow", F.col("flow.bytes_toserver"))).alias("bytes"))
+    bad = ids_log.quarantine(parsed).agg(F.lit("(bad)").alias("event_type"), F.count(F.lit(1)).alias("n"), F.lit(None).cast("long").alias("src_ports"), F.lit(None).cast("long").alias("bytes"))
+    return tidy(good.unionByName(bad))
+
+
+def _inner(path: str) -> str:
+    return fs.FileSystem.from_uri(path)[1] if "://" in path or path.startswith("file:") else path
+
+
+def _append(system, log: str, stream, stop: int, new: bool) -> None:
+    """Bytes of the stream up to ``stop``, block by block, as a writer of logs would leave them."""
+    with (system.open_output_stream if new else system.open_append_stream)(log) as out:
+        while stream.tell() < stop:
+            out.write(stream.read(min(1 << 20, stop - stream.tell())))
+
+
 def _slack(sides) -> int:
     """Seconds by which the parts of two inputs lie apart: each is cut by its own first and last row."""
     moment = epoch_micros(F.col("ts"))
