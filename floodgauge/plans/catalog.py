@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from floodgauge.plans import dataset_queries, live_queries, metric_queries, model_queries, storage_queries, stream_queries  # noqa: F401
+from floodgauge.plans import alert_queries, dataset_queries, live_queries, metric_queries, model_queries, storage_queries, stream_queries  # noqa: F401
 from floodgauge.plans.registry import ORACLES, QUERIES
 
 
