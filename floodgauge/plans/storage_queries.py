@@ -11,6 +11,7 @@ from floodgauge.plans.registry import query, tidy
 from floodgauge.plans.views import FEATURES, FLOW_KEY, flows, labelled, table, threats, with_views
 from floodgauge.session import scratch_path
 from floodgauge.sources import export, tables
+from floodgauge.sources.keyed_state import KeyedState
 from floodgauge.streaming.routes import stream_withdrawals
 from floodgauge.streaming.windows import stream_window_features
 
@@ -78,6 +79,25 @@ def state_snapshot(spark, folder):
     return tidy(kept.select("ip", "score", "validations"))
 
 
+#: Batches of five days, and the versions that are read back.
+DAYS, READ_VERSIONS = 5, (1, 3, 5)
+
+
+@query("keyed_state_versions", with_views(("flows",), f"""
+SELECT version, src_ip, flow_id, bytes FROM (
+  SELECT v.version, f.*, row_number() OVER (PARTITION BY v.version, src_ip ORDER BY batch DESC, ts DESC, flow_id DESC) AS r
+  FROM (SELECT *, least(5, (day(ts) - 1) // {DAYS}) AS batch FROM flows) f JOIN (VALUES (1), (3), (5)) v(version) ON f.batch <= v.version) x
+WHERE r = 1 AND event_type <> 'error'""".replace("SELECT version,", "SELECT CAST(version AS BIGINT) AS version,", 1)))
+def keyed_state_versions(spark, folder):
+    """The last flow of every source after three of six batches, read when all have been written; a source whose last flow is an error has no state."""
+    rows = flows(spark, folder).withColumn("batch", F.least(F.lit(5), F.floor((F.dayofmonth("ts") - 1) / DAYS)))
+    state = KeyedState(spark, scratch_path(spark, "keyed-state"), "src_ip string, flow_id long, bytes long", ["src_ip"])
+    for version in range(READ_VERSIONS[-1] + 1):
+        state.write(rows.filter(F.col("batch") == version), version, [F.col("ts"), F.col("flow_id")], removed=F.col("event_type") == "error")
+    found = [state.read(v).select(F.lit(v).alias("version"), "*") for v in READ_VERSIONS]
+    return tidy(found[0].unionByName(found[1]).unionByName(found[2]))
+
+
 def _streamed(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over all available input into files and reads them."""
     target = scratch_path(spark, name)

@@ -26,7 +26,7 @@ from floodgauge.operators.reputation import (
     reputation_history,
     ttl_seconds,
 )
-from floodgauge.sources.export import read_snapshot, write_snapshot
+from floodgauge.sources.keyed_state import KeyedState
 from floodgauge.streaming.event_order import in_event_order, micros
 from floodgauge.streaming.windows import event_time
 
@@ -34,6 +34,9 @@ OUTPUT = (
     "ip string, ts timestamp, flow_id long, score double, attack_type string, confidence double, "
     "detection_method string, ttl int, reputation_score double, validations long"
 )
+STATE = "ip string, score double, validations long, last_seen timestamp, attack_types array<string>, detection_methods array<string>"
+#: Versions of the state that stay: the last one, and the one before for a batch that is run again.
+KEPT_VERSIONS = 2
 FIELDS = ["ip", "ts", "flow_id", "score", "attack_type", "confidence", "detection_method", "ttl"]
 
 
@@ -84,23 +87,27 @@ class ReputationBatches:
     """``foreachBatch`` function: writes the history of the threats that the watermark has passed, and the state after them.
 
     Below ``folder``, each batch writes ``history/batch=<id>``, ``waiting/batch=<id>`` (threats newer than the watermark), ``late/batch=<id>``
-    (threats that came too late, left out of the history) and last the state and the watermark under version ``id``. A batch is read back only by the next one;
+    (threats that came too late, left out of the history) and last the state of the addresses it has met, as version ``id`` of a ``KeyedState`` in ``state``, and the
+    watermark. Of the state a batch reads and writes only its own addresses, and what merges of runs come to. A batch is read back only by the next one;
     running a batch again, after a crash at any point, overwrites all of it with the same rows. ``finish`` hands on what still waits when the stream has ended.
     """
 
-    def __init__(self, folder: str, partitions: int = 8, late_seconds: int = 10):
-        self.folder, self.partitions, self.late_seconds = folder, partitions, late_seconds
+    def __init__(self, folder: str, late_seconds: int = 10):
+        self.folder, self.late_seconds = folder, late_seconds
+
+    def state(self, spark) -> KeyedState:
+        """State by address; entries that have expired may still be in it."""
+        return KeyedState(spark, f"{self.folder}/state", STATE, ["ip"])
 
     def _path(self, table: str, batch_id: int) -> str:
         return f"{self.folder}/{table}/batch={batch_id}"
 
     def _before(self, spark, batch_id: int, schema):
-        """Waiting threats, watermark in microseconds and state that the batch before has left."""
+        """Waiting threats and watermark in microseconds that the batch before has left."""
         if batch_id == 0:
-            return spark.createDataFrame([], schema), None, None
+            return spark.createDataFrame([], schema), None
         waiting = spark.read.schema(schema).parquet(self._path("waiting", batch_id - 1))
-        mark = spark.read.parquet(self._path("watermark", batch_id - 1)).first()["micros"]
-        return waiting, mark, read_snapshot(spark, self.folder, batch_id - 1)
+        return waiting, spark.read.parquet(self._path("watermark", batch_id - 1)).first()["micros"]
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         self._advance(batch.select(*FIELDS), batch_id, self.late_seconds)
@@ -111,7 +118,7 @@ class ReputationBatches:
 
     def _advance(self, rows: DataFrame, batch_id: int, late_seconds: int | None) -> None:
         spark = rows.sparkSession
-        waiting, mark, before = self._before(spark, batch_id, rows.schema)
+        waiting, mark = self._before(spark, batch_id, rows.schema)
         moment = epoch_micros(F.col("ts"))
         late = F.coalesce(moment <= F.lit(mark), F.lit(False)) if mark is not None else F.lit(False)
         rows.filter(late).write.mode("overwrite").parquet(self._path("late", batch_id))
@@ -123,14 +130,14 @@ class ReputationBatches:
             newest = newest if late_seconds is None else newest - late_seconds * 1_000_000
             mark = newest if mark is None else max(mark, newest)
         passed: Column = F.coalesce(moment <= F.lit(mark), F.lit(True)) if mark is not None else moment.isNull()
-        history = reputation_history(pool.filter(passed), ("flow_id",), before)
+        ready, state = pool.filter(passed), self.state(spark)
+        before = state.read(batch_id - 1, only=ready.select("ip"))
+        history = reputation_history(ready, ("flow_id",), before)
         history.write.mode("overwrite").parquet(self._path("history", batch_id))
         pool.filter(~passed).write.mode("overwrite").parquet(self._path("waiting", batch_id))
         written = spark.read.schema(history.schema).parquet(self._path("history", batch_id)).filter("ip is not null and ts is not null")
-        state = latest_state(written, ("flow_id",))
-        if before is not None:
-            state = state.unionByName(before.join(state.select("ip"), "ip", "left_anti"))
-        if mark is not None:  # entries that no threat to come can reach are left out
-            state = state.filter(epoch_micros(F.col("last_seen")) + ttl_seconds(F.col("score")).cast("long") * 1_000_000 > F.lit(mark))
-        write_snapshot(state, self.folder, batch_id, "ip", self.partitions)
+        # No threat to come can reach an entry that has expired at the watermark.
+        expired = epoch_micros(F.col("last_seen")) + ttl_seconds(F.col("score")).cast("long") * 1_000_000 <= F.lit(mark) if mark is not None else None
+        state.write(latest_state(written, ("flow_id",)), batch_id, expired=expired)
+        state.keep_last(KEPT_VERSIONS)
         spark.createDataFrame([(mark,)], "micros long").coalesce(1).write.mode("overwrite").parquet(self._path("watermark", batch_id))

@@ -96,7 +96,7 @@ def test_rows_wait_until_the_watermark_has_passed_them(spark, folder):
 
 
 def batched(spark, rows, target, stream, late_seconds, fail_on=None):
-    function, ids = ReputationBatches(target, 2, late_seconds), []
+    function, ids = ReputationBatches(target, late_seconds), []
 
     def each(batch, batch_id):
         if fail_on == batch_id and batch_id not in ids:  # everything but the last file is there, then the batch is run again
