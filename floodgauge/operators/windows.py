@@ -29,57 +29,117 @@ def _count(test: Column) -> Column:
     return F.count_if(F.coalesce(test, F.lit(False)))
 
 
+def _sums() -> dict[str, Column]:
+    """Aggregates of flows that add up over parts of a window."""
+    size, packets = or_zero(F.col("bytes")), or_zero(F.col("packets"))
+    flags, protocol = F.col("tcp_flags"), or_zero(F.col("protocol"))
+    port = or_zero(F.col("dst_port"))
+    return {
+        "total_bytes": F.sum(size),
+        "total_packets": F.sum(packets),
+        "total_flows": F.count(F.lit(1)),
+        "syn_flag_count": F.sum(has_bit(flags, TCP_SYN)),
+        "ack_flag_count": F.sum(has_bit(flags, TCP_ACK)),
+        "fin_flag_count": F.sum(has_bit(flags, TCP_FIN)),
+        "rst_flag_count": F.sum(has_bit(flags, TCP_RST)),
+        "tcp_flows": _count(protocol == PROTO_TCP),
+        "udp_flows": _count(protocol == PROTO_UDP),
+        "icmp_flows": _count(protocol == PROTO_ICMP),
+        **{f"port_{p}_flows": _count(port == p) for p in NAMED_PORTS},
+        "high_port_flows": _count((port > HIGH_PORT) & ~port.isin(*NAMED_PORTS)),
+    }
+
+
+def _measured() -> dict[str, Column]:
+    """Values whose mean and deviation are wanted; NULL is left out."""
+    duration = F.when(F.col("duration") > 0, F.col("duration").cast("double"))
+    return {"bytes": or_zero(F.col("bytes")), "packets": or_zero(F.col("packets")), "duration": duration}
+
+
+def _counted_values() -> dict[str, Column]:
+    return {
+        "unique_src_ips": or_empty(F.col("src_ip")),
+        "unique_dst_ips": or_empty(F.col("dst_ip")),
+        "unique_src_ports": or_zero(F.col("src_port")),
+        "unique_dst_ports": or_zero(F.col("dst_port")),
+    }
+
+
+def _features(total: dict[str, Column], unique: dict[str, Column], mean, deviation, window_seconds: float) -> list[Column]:
+    """The 27 features in their order, from sums, distinct counts, and means and deviations by name."""
+    size, packets, n = total["total_bytes"], total["total_packets"], total["total_flows"]
+    found = {
+        "total_bytes": size,
+        "total_packets": packets,
+        "total_flows": n,
+        "avg_bytes_per_flow": size / n,
+        "avg_packets_per_flow": packets / n,
+        "bytes_per_second": size / window_seconds,
+        "packets_per_second": packets / window_seconds,
+        "flows_per_second": n / window_seconds,
+        **unique,
+        **{name: c for name, c in total.items() if name not in ("total_bytes", "total_packets", "total_flows")},
+        "bytes_std": deviation("bytes"),
+        "packets_std": deviation("packets"),
+        "duration_mean": F.coalesce(mean("duration"), F.lit(0.0)),
+        "duration_std": F.coalesce(deviation("duration"), F.lit(0.0)),
+    }
+    return [c.alias(name) for name, c in found.items()]
+
+
 def traffic_aggregates(window_seconds: float, distinct: str = "exact") -> list[Column]:
     """The 27 aggregates of one window.
 
     ``distinct``: ``exact`` (two-step distinct aggregation), ``approx`` (sketch, constant memory)
-    or ``set`` (exact on streams; state grows with the number of values).
+    or ``set`` (exact; state grows with the number of values).
     """
-    size, packets = or_zero(F.col("bytes")), or_zero(F.col("packets"))
-    flags, protocol = F.col("tcp_flags"), or_zero(F.col("protocol"))
-    port = or_zero(F.col("dst_port"))
-    duration = F.when(F.col("duration") > 0, F.col("duration").cast("double"))
     unique = {
         "exact": F.countDistinct,
         "approx": lambda c: F.approx_count_distinct(c, 0.02),
         "set": lambda c: F.size(F.collect_set(c)).cast("long"),
     }[distinct]
-    n = F.count(F.lit(1))
-    return [
-        F.sum(size).alias("total_bytes"),
-        F.sum(packets).alias("total_packets"),
-        n.alias("total_flows"),
-        (F.sum(size) / n).alias("avg_bytes_per_flow"),
-        (F.sum(packets) / n).alias("avg_packets_per_flow"),
-        (F.sum(size) / window_seconds).alias("bytes_per_second"),
-        (F.sum(packets) / window_seconds).alias("packets_per_second"),
-        (n / window_seconds).alias("flows_per_second"),
-        unique(or_empty(F.col("src_ip"))).alias("unique_src_ips"),
-        unique(or_empty(F.col("dst_ip"))).alias("unique_dst_ips"),
-        unique(or_zero(F.col("src_port"))).alias("unique_src_ports"),
-        unique(port).alias("unique_dst_ports"),
-        F.sum(has_bit(flags, TCP_SYN)).alias("syn_flag_count"),
-        F.sum(has_bit(flags, TCP_ACK)).alias("ack_flag_count"),
-        F.sum(has_bit(flags, TCP_FIN)).alias("fin_flag_count"),
-        F.sum(has_bit(flags, TCP_RST)).alias("rst_flag_count"),
-        _count(protocol == PROTO_TCP).alias("tcp_flows"),
-        _count(protocol == PROTO_UDP).alias("udp_flows"),
-        _count(protocol == PROTO_ICMP).alias("icmp_flows"),
-        *[_count(port == p).alias(f"port_{p}_flows") for p in NAMED_PORTS],
-        _count((port > HIGH_PORT) & ~port.isin(*NAMED_PORTS)).alias("high_port_flows"),
-        F.stddev_pop(size).alias("bytes_std"),
-        F.stddev_pop(packets).alias("packets_std"),
-        F.coalesce(F.avg(duration), F.lit(0.0)).alias("duration_mean"),
-        F.coalesce(F.stddev_pop(duration), F.lit(0.0)).alias("duration_std"),
+    measured = _measured()
+    return _features(
+        _sums(), {name: unique(c) for name, c in _counted_values().items()},
+        lambda name: F.avg(measured[name]), lambda name: F.stddev_pop(measured[name]), window_seconds,
+    )
+
+
+def _parts() -> list[Column]:
+    """Aggregates of a part of a window from which ``_merged`` makes those of the whole."""
+    moments = [
+        F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), (F.var_pop(c) * F.count(c)).alias("squares")).alias(f"_{name}")
+        for name, c in _measured().items()
     ]
+    return [*[c.alias(name) for name, c in _sums().items()], *moments]
 
 
-def window_features(
-    flows: DataFrame, ts: str = "ts", window_seconds: int = WINDOW_SECONDS, distinct: str = "exact"
-) -> DataFrame:
-    """One row per epoch-aligned window with its key, bounds, flow count and 27 features."""
-    grouped = flows.groupBy(F.window(ts, f"{window_seconds} seconds").alias("w"))
-    out = grouped.agg(*traffic_aggregates(window_seconds, distinct))
+def _pooled(parts: Column) -> Column:
+    """Count, mean and squared deviations of the union of parts, by pairwise updates, which do not cancel digits."""
+    def add(a, x):
+        n, away = a["n"] + x["n"], x["mean"] - a["mean"]
+        return F.when(x["n"] == 0, a).otherwise(F.struct(
+            n.alias("n"), (a["mean"] + away * x["n"] / n).alias("mean"),
+            (a["squares"] + x["squares"] + away * away * a["n"] * x["n"] / n).alias("squares"),
+        ))
+
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+    return F.aggregate(parts, start, add)
+
+
+def _merged(unique: dict[str, Column], window_seconds: float, part: Column | None = None) -> list[Column]:
+    """The 27 features from the parts of a window; ``part`` tells which rows hold parts, if not all do."""
+    def own(c: Column) -> Column:
+        return c if part is None else F.when(part, c)
+
+    pooled = {name: _pooled(F.collect_list(own(F.col(f"_{name}")))) for name in _measured()}
+    mean = {name: F.when(c["n"] > 0, c["mean"]) for name, c in pooled.items()}
+    deviation = {name: F.when(c["n"] > 0, F.sqrt(c["squares"] / c["n"])) for name, c in pooled.items()}
+    return _features({name: F.sum(own(F.col(name))) for name in _sums()}, unique, mean.get, deviation.get, window_seconds)
+
+
+def _keyed(out: DataFrame, window_seconds: int) -> DataFrame:
+    """Key, bounds and flow count in front of the features of the window ``w``."""
     start = F.unix_micros(F.col("w.start").cast("timestamp"))
     key = F.floor(start / (window_seconds * 1_000_000)).cast("long")
     return out.select(
@@ -91,6 +151,80 @@ def window_features(
     )
 
 
+def window_features(
+    flows: DataFrame, ts: str = "ts", window_seconds: int = WINDOW_SECONDS, distinct: str = "exact"
+) -> DataFrame:
+    """One row per epoch-aligned window with its key, bounds, flow count and 27 features."""
+    grouped = flows.groupBy(F.window(ts, f"{window_seconds} seconds").alias("w"))
+    return _keyed(grouped.agg(*traffic_aggregates(window_seconds, distinct)), window_seconds)
+
+
+def window_features_by_value(flows: DataFrame, ts: str = "ts", window_seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """``window_features`` with exact distinct counts by two aggregations, also on a stream with a watermark.
+
+    The first has a row per window and distinct value, the second counts those rows. So the values of a busy window are spread over all tasks and state
+    partitions, and none of them holds a set. Values that occur often are reduced before the shuffle.
+    """
+    size = f"{window_seconds} seconds"
+    values = _counted_values()
+    kinds = [F.struct(F.lit(0).alias("kind"), F.lit("").alias("value"))]
+    kinds += [F.struct(F.lit(i).alias("kind"), c.cast("string").alias("value")) for i, c in enumerate(values.values(), 1)]
+    rows = flows.withColumn("w", F.window(ts, size)).withColumn("_v", F.explode(F.array(*kinds)))
+    distinct = rows.groupBy("w", F.col("_v.kind").alias("_kind"), F.col("_v.value").alias("_value")).agg(*_parts())
+    unique = {name: F.count_if(F.col("_kind") == i) for i, name in enumerate(values, 1)}
+    whole = distinct.groupBy(F.window("w", size).alias("w")).agg(*_merged(unique, window_seconds, F.col("_kind") == 0))
+    return _keyed(whole, window_seconds)
+
+
+#: Registers of a sketch, as a power of two: a standard error of 0.8 %. Ports are held in bit maps of so many bits.
+SKETCH_POWER = 14
+MAP_BITS = 32_768
+
+
+def step_summaries(flows: DataFrame, step_seconds: int, ts: str = "ts") -> DataFrame:
+    """One row per step with everything from which the features of any window made of steps can be told.
+
+    Addresses are in sketches, ports in bit maps, which are exact; what is no port (outside 0 to 65535) is in a sketch of its own. A row has at most 80 KB,
+    however many flows the step has, so summaries can be kept in place of flows. Flows without time are left out.
+    """
+    values = _counted_values()
+    # A sketch passes over empty strings, which are a value here.
+    sketches = [F.hll_sketch_agg(F.concat(F.lit("="), values[f"unique_{side}_ips"]), SKETCH_POWER).alias(f"_{side}_ips") for side in ("src", "dst")]
+    for side in ("src", "dst"):
+        port = values[f"unique_{side}_ports"].cast("long")
+        sketches += [
+            F.bitmap_construct_agg(F.when(F.floor(port / MAP_BITS) == half, F.pmod(port, F.lit(MAP_BITS)))).alias(f"_{side}_ports_{half}") for half in (0, 1)
+        ]
+        sketches.append(F.hll_sketch_agg(F.when(~port.between(0, 2 * MAP_BITS - 1), port), SKETCH_POWER).alias(f"_{side}_ports_other"))
+    step = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (step_seconds * 1_000_000)).cast("long")
+    placed = flows.withColumn("_step", step).filter(F.col("_step").isNotNull())
+    return placed.groupBy("_step").agg(*_parts(), *sketches)
+
+
+def windows_from_steps(steps: DataFrame, step_seconds: int, window_seconds: int, slide_seconds: int | None = None) -> DataFrame:
+    """Bounds and the 27 features of all windows of ``window_seconds`` that start at a multiple of ``slide_seconds`` (default: windows side by side) and hold a flow.
+
+    Both lengths are multiples of the step. Only summaries are copied into several windows. Counts of addresses are estimates, the rest is exact.
+    """
+    slide_seconds = slide_seconds or window_seconds
+    if window_seconds % step_seconds or slide_seconds % step_seconds or slide_seconds > window_seconds:
+        raise ValueError("windows and slides are made of whole steps, and a slide is at most a window")
+    length, slide = window_seconds // step_seconds, slide_seconds // step_seconds
+    first = (F.floor((F.col("_step") - length) / slide) + 1) * slide
+    last = F.floor(F.col("_step") / slide) * slide
+    placed = steps.withColumn("_start", F.explode(F.sequence(first.cast("long"), last.cast("long"), F.lit(slide).cast("long"))))
+    unique = {f"unique_{side}_ips": F.hll_sketch_estimate(F.hll_union_agg(F.col(f"_{side}_ips"))) for side in ("src", "dst")}
+    for side in ("src", "dst"):
+        halves = [F.bitmap_count(F.bitmap_or_agg(F.col(f"_{side}_ports_{half}"))) for half in (0, 1)]
+        unique[f"unique_{side}_ports"] = halves[0] + halves[1] + F.hll_sketch_estimate(F.hll_union_agg(F.col(f"_{side}_ports_other")))
+    found = placed.groupBy("_start").agg(*_merged(unique, window_seconds))
+    start = F.col("_start") * step_seconds
+    return found.select(
+        F.timestamp_seconds(start).alias("start_time"), F.timestamp_seconds(start + window_seconds).alias("end_time"),
+        *[c for c in found.columns if c != "_start"],
+    )
+
+
 def recent_windows(windows: DataFrame, count: int = 10) -> DataFrame:
     """The latest windows, newest first."""
     return windows.orderBy(F.col("window_key").desc()).limit(count)

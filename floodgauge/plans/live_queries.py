@@ -52,9 +52,49 @@ def window_features_1h(spark, folder):
     return _windows(spark, folder, 3600)
 
 
-@query("window_features_approx")
+#: Five standard errors of a sketch; estimates of a few values may be one off.
+WITHIN = 0.04
+_COUNTED = ("src_ips", "dst_ips", "src_ports", "dst_ports")
+
+
+def _near(estimate, exact):
+    return F.abs(estimate - exact) <= F.greatest(F.lit(1.0), WITHIN * exact)
+
+
+@query("window_features_approx", with_views(("flows",), f"""
+SELECT epoch_us(ts) // 3600000000 AS window_key, count(*) AS total_flows, CAST(sum(bytes) AS BIGINT) AS total_bytes, round(stddev_pop(bytes), 4) AS bytes_std,
+  {", ".join(f"count(DISTINCT {c[:-1]}) AS {c}, CAST(1 AS BIGINT) AS {c}_near" for c in _COUNTED)}
+FROM flows GROUP BY 1"""))
 def window_features_approx(spark, folder):
-    return tidy(windows.window_features(flows(spark, folder), window_seconds=3600, distinct="approx"))
+    """Window features with estimated distinct counts, and whether each estimate is within its error bound of the exact count."""
+    rows = flows(spark, folder)
+    found = windows.window_features(rows, window_seconds=3600, distinct="approx")
+    exact = windows.window_features_by_value(rows, window_seconds=3600).select("window_key", *[F.col(f"unique_{c}").alias(c) for c in _COUNTED])
+    near = [_near(F.col(f"unique_{c}"), F.col(c)).alias(f"{c}_near") for c in _COUNTED]
+    return tidy(found.join(exact, "window_key").select("window_key", "total_flows", "total_bytes", "bytes_std", *_COUNTED, *near), 4)
+
+
+@query("sliding_window_features", with_views(("flows",), """
+SELECT s * 3600000000 AS start_time, count(*) AS total_flows, CAST(sum(bytes) AS BIGINT) AS total_bytes, CAST(sum(packets) AS BIGINT) AS total_packets,
+  round(count(*) / 86400, 4) AS flows_per_second, count(DISTINCT src_port) AS unique_src_ports, count(DISTINCT dst_port) AS unique_dst_ports,
+  count(*) FILTER (tcp_flags & 2 <> 0) AS syn_flag_count, count(*) FILTER (protocol = 17) AS udp_flows, count(*) FILTER (dst_port = 443) AS port_443_flows,
+  round(stddev_pop(bytes), 4) AS bytes_std, round(stddev_pop(packets), 4) AS packets_std,
+  round(coalesce(avg(CASE WHEN duration > 0 THEN duration END), 0) + 1e-9, 4) AS duration_mean,
+  round(coalesce(stddev_pop(CASE WHEN duration > 0 THEN duration END), 0) + 1e-9, 4) AS duration_std,
+  count(DISTINCT src_ip) AS src_ips, count(DISTINCT dst_ip) AS dst_ips, CAST(1 AS BIGINT) AS src_ips_near, CAST(1 AS BIGINT) AS dst_ips_near
+FROM (SELECT *, epoch_us(ts) // 3600000000 AS h FROM flows) f, LATERAL (SELECT unnest(range(h - 23, h + 1)) AS s) w GROUP BY 1"""))
+def sliding_window_features(spark, folder):
+    """Features of each day that starts at a full hour, from summaries of hours; estimated numbers of addresses against exact ones."""
+    rows = flows(spark, folder)
+    found = windows.windows_from_steps(windows.step_summaries(rows, 3600), 3600, 86400, 3600)
+    exact = rows.groupBy(F.window("ts", "24 hours", "1 hour").alias("w")).agg(F.countDistinct("src_ip").alias("src_ips"), F.countDistinct("dst_ip").alias("dst_ips"))
+    names = ["total_flows", "total_bytes", "total_packets", "flows_per_second", "unique_src_ports", "unique_dst_ports", "syn_flag_count", "udp_flows", "port_443_flows",
+             "bytes_std", "packets_std", "duration_mean", "duration_std"]
+    near = [_near(F.col(f"unique_{c}"), F.col(c)).alias(f"{c}_near") for c in _COUNTED[:2]]
+    joined = found.join(exact.select(F.col("w.start").cast("timestamp").alias("start_time"), "src_ips", "dst_ips"), "start_time")
+    # Means of few durations lie on rounding borders: see _windows.
+    joined = joined.withColumns({c: F.col(c) + 1e-9 for c in ("duration_mean", "duration_std")})
+    return tidy(joined.select("start_time", *names, "src_ips", "dst_ips", *near), 4)
 
 
 @query("recent_windows", with_views(("flows",), """

@@ -123,7 +123,7 @@ FROM (SELECT *, epoch_us(ts) // 3600000000 AS w FROM flows) x
 WHERE (w + 1) * 3600000000 <= (SELECT max(epoch_us(ts)) FROM flows) - 10000000 GROUP BY 1"""))
 def stream_windows_1h(spark, folder):
     source = flows(spark, folder, _event_stream(spark, folder))
-    found = _streamed(spark, stream_window_features(source, window_seconds=3600, distinct="set"), "windows")
+    found = _streamed(spark, stream_window_features(source, window_seconds=3600, distinct="exact"), "windows")
     return tidy(found.select("window_key", "total_flows", "total_bytes", "unique_src_ips", "syn_flag_count", "bytes_std"), 4)
 
 

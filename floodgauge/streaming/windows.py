@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floodgauge.operators.windows import THROUGHPUT_SECONDS, WATERMARK_SECONDS, WINDOW_SECONDS, window_features
+from floodgauge.operators.windows import THROUGHPUT_SECONDS, WATERMARK_SECONDS, WINDOW_SECONDS, window_features, window_features_by_value
 
 
 def event_time(df: DataFrame, ts: str = "ts", late_seconds: int = WATERMARK_SECONDS) -> DataFrame:
@@ -19,9 +19,11 @@ def stream_window_features(
 ) -> DataFrame:
     """Window features in append mode: a window is emitted once the watermark has passed its end.
 
-    Distinct counts use sketches, so the state of a window stays small; ``distinct='set'`` counts
-    exactly at the price of state that grows with the number of values.
+    Distinct counts use sketches, so the state of a window stays small. ``distinct='exact'`` keeps an entry per window and
+    value, spread over all state partitions; ``distinct='set'`` keeps all values of a window in one entry.
     """
+    if distinct == "exact":
+        return window_features_by_value(event_time(flows, ts, late_seconds), ts, window_seconds)
     return window_features(event_time(flows, ts, late_seconds), ts, window_seconds, distinct)
 
 

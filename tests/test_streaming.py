@@ -1,8 +1,7 @@
 import tempfile
 
-from pyspark.sql import functions as F
-
 import pytest
+from pyspark.sql import functions as F
 
 from floodgauge.operators import latency, mitigation, reputation, windows
 from floodgauge.plans.stream_queries import disordered
@@ -47,10 +46,11 @@ def with_end(spark, df, ts="ts", **values):
     return df.unionByName(end)
 
 
-def test_window_features_match_batch(spark, folder):
+@pytest.mark.parametrize("distinct", ["set", "exact"])
+def test_window_features_match_batch(spark, folder, distinct):
     rows = flows(spark, folder).withColumn("ts", F.col("ts").cast("timestamp")).select(
         "ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "packets", "bytes", "duration", "tcp_flags")
-    got = run(stream_window_features(as_stream(spark, with_end(spark, rows)), window_seconds=3600, distinct="set"), "w1")
+    got = run(stream_window_features(as_stream(spark, with_end(spark, rows)), window_seconds=3600, distinct=distinct), f"w_{distinct}")
     want = windows.window_features(rows, window_seconds=3600)
     names = want.columns
     a = {tuple(r) for r in got.select(*names).filter("window_key < 500000").collect()}
