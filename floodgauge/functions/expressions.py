@@ -89,3 +89,20 @@ def add_seconds(ts: Column, seconds: Column) -> Column:
 def iso_time(text: Column) -> Column:
     """ISO timestamp, with ``Z``, an offset (``+hh:mm`` or ``+hhmm``) or none; unreadable text is NULL."""
     return F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp")
+
+
+#: Coefficients of the asymptotic series of the digamma function in 1/x^2.
+_DIGAMMA = (-1 / 12, 1 / 120, -1 / 252, 1 / 240, -1 / 132)
+_SHIFT = 10
+
+
+def digamma(n: Column) -> Column:
+    """Digamma function of a number of 1 or more: shifted upwards by the recurrence, then by its series; right to about 14 digits."""
+    x = n.cast("double")
+    far = x + _SHIFT
+    series = F.log(far) - 0.5 / far
+    for power, coefficient in enumerate(_DIGAMMA, 1):
+        series = series + coefficient / F.pow(far, F.lit(2.0 * power))
+    for j in range(_SHIFT):
+        series = series - 1.0 / (x + j)
+    return series

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from floodgauge.operators.ordered import exact_percentiles, interval_codes
+from floodgauge.functions.expressions import digamma
+from floodgauge.operators.ordered import _finite, cumulate_by_value, exact_percentiles, interval_codes
+from floodgauge.session import broadcast_if_small, checkpointed, null_safe_join
 
 
 def anova_scores(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -69,6 +71,93 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins:
     return joint.groupBy("feature", "position").agg(F.sum(term).alias("score"))
 
 
+# Fixed value: neighbours of the estimator.
+NEIGHBOURS = 3
+# Distances count as equal up to this part of the larger of value and distance, so that rounding does not split ties.
+SAME = 1e-12
+
+
+def _beside(points: DataFrame, k: int) -> DataFrame:
+    """Adds ``lower`` and ``upper``: the ``k`` next smaller and larger values of the same feature and class, with their counts.
+
+    ``points`` has one row per feature, class and value. They are cut into pieces of ranges of values. The first and last ``k`` rows of each piece
+    find their neighbours among those rows of all pieces, so a class with most of the rows does not meet in one task.
+    """
+    slots = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The checkpoint pins the partition numbers, which both branches below read.
+    placed = checkpointed(points.repartitionByRange(slots, "feature", "label", "x").withColumn("_slot", F.spark_partition_id()))
+
+    def sides(order):
+        return [
+            F.array_compact(F.array(*[step(F.struct("x", "n"), i).over(order) for i in range(1, k + 1)])) for step in (F.lag, F.lead)
+        ]
+
+    piece = W.partitionBy("_slot", "feature", "label")
+    lower, upper = sides(piece.orderBy("x"))
+    ranked = placed.select(
+        "*", lower.alias("lower"), upper.alias("upper"), F.row_number().over(piece.orderBy("x")).alias("_from_first"),
+        F.row_number().over(piece.orderBy(F.col("x").desc())).alias("_from_last"),
+    )
+    at_edge = (F.col("_from_first") <= k) | (F.col("_from_last") <= k)
+    # At most 2 k rows per piece.
+    lower, upper = sides(W.partitionBy("feature", "label").orderBy("x"))
+    edges = ranked.filter(at_edge).select(
+        *points.columns, "_from_first", "_from_last", F.col("lower").alias("_lower"), F.col("upper").alias("_upper"), lower.alias("_before"), upper.alias("_after"),
+    ).select(
+        *points.columns, F.when(F.col("_from_first") <= k, F.col("_before")).otherwise(F.col("_lower")).alias("lower"),
+        F.when(F.col("_from_last") <= k, F.col("_after")).otherwise(F.col("_upper")).alias("upper"),
+    )
+    return ranked.filter(~at_edge).select(*edges.columns).unionByName(edges)
+
+
+def neighbour_information(df: DataFrame, features: Sequence[str], label: str, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """Mutual information (nats) between the label and each feature by distances to nearest neighbours, at least 0.
+
+    For each row, the distance to its ``neighbours``-th neighbour of the same class (fewer in a smaller class) spans an interval; how many rows of the class and of all classes
+    lie in it tells how much the value says about the class. Rows at the same distance all count, so repeated values have a defined result (without
+    ties it is the usual estimate). Missing and infinite values are left out, and classes of a single row; a missing label is a class. A feature with nothing left scores 0.
+
+    Work is done per distinct value: ranges of values are cut into pieces, and what lies in an interval is a difference of two running totals. No pairs are formed.
+    """
+    cells = [F.struct(F.lit(c).alias("feature"), F.lit(i).alias("position"), (_finite(c) + 0.0).alias("x")) for i, c in enumerate(features)]
+    named = df.select(F.col(label).alias("label"), F.inline(F.array(*cells)))
+    counts = checkpointed(named.filter(F.col("x").isNotNull()).groupBy("feature", "label", "x").agg(F.count(F.lit(1)).alias("n")))
+    classes = counts.groupBy("feature", "label").agg(F.sum("n").alias("of_class")).filter("of_class > 1")
+    points = null_safe_join(counts, broadcast_if_small(classes), ["feature", "label"])
+
+    wanted = F.least(F.lit(neighbours), F.col("of_class") - 1)
+    others = F.col("n") - 1
+    distances = F.array_sort(F.concat(
+        F.transform("lower", lambda u: F.struct((F.col("x") - u["x"]).alias("d"), u["n"].alias("n"))),
+        F.transform("upper", lambda u: F.struct((u["x"] - F.col("x")).alias("d"), u["n"].alias("n"))),
+    ))
+    reached = F.aggregate(
+        F.col("near"), F.struct(others.alias("have"), F.lit(0.0).alias("d")),
+        lambda a, e: F.when(a["have"] >= F.col("wanted"), a).otherwise(F.struct((a["have"] + e["n"]).alias("have"), e["d"].alias("d"))),
+    )["d"]
+    radius = F.when(F.col("d") > 0, F.col("d") + SAME * F.greatest(F.abs("x"), F.col("d"))).otherwise(F.lit(0.0))
+    inside = F.aggregate("near", others, lambda a, e: a + F.when(e["d"] <= F.col("radius"), e["n"]).otherwise(F.lit(0).cast("long")))
+    balls = (
+        _beside(points, neighbours).withColumns({"near": distances, "wanted": wanted}).withColumn("d", reached).withColumn("radius", radius)
+        .select("feature", "label", "x", "radius", "n", "of_class", inside.alias("inside"))
+    )
+    # Running totals at both ends of every interval: before the rows at its lower end, after those at its upper end.
+    ends = F.array(*[
+        F.struct((F.col("x") + sign * F.col("radius")).alias("value"), F.lit(side).alias("side")) for sign, side in ((-1, 0), (1, 2))
+    ])
+    asked = balls.select("*", F.explode(ends).alias("at"), F.lit(0).cast("long").alias("rows"))
+    given = points.groupBy("feature", "x").agg(F.sum("n").alias("rows")).select(
+        "feature", F.struct(F.col("x").alias("value"), F.lit(1).alias("side")).alias("at"), "rows")
+    totals = cumulate_by_value(asked.unionByName(given, allowMissingColumns=True), ["feature"], "at", ["rows"]).filter(F.col("at.side") != 1)
+    signed = F.when(F.col("at.side") == 2, F.col("rows_before")).otherwise(-F.col("rows_before"))
+    found = totals.groupBy("feature", "label", "x", "n", "of_class", "inside").agg((F.sum(signed) - 1).alias("of_all"))
+    term = digamma(F.col("inside")) - digamma(F.col("of_class")) - digamma(F.col("of_all"))
+    size = F.sum("n")
+    scores = found.groupBy("feature").agg((digamma(size) + F.sum(F.col("n") * term) / size).alias("score"))
+    names = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(features)], "feature string, position int")
+    return names.join(scores, "feature", "left").select("feature", "position", F.greatest(F.lit(0.0), F.coalesce("score", F.lit(0.0))).alias("score"))
+
+
 def top_features(scores: DataFrame, k: int) -> DataFrame:
     """The k best features; of equals the one that comes first in the table."""
     return scores.orderBy(F.col("score").desc(), "position").limit(k)
@@ -80,8 +169,11 @@ def select_by_anova(df: DataFrame, features: Sequence[str], label: str, k: int)
     return [c for c in features if c in best]
 
 
-def select_by_both(df: DataFrame, features: Sequence[str], label: str, k: int) -> list[str]:
-    """Union of the k best by F and the k best by mutual information, then the first k in table order."""
+def select_by_both(df: DataFrame, features: Sequence[str], label: str, k: int, information=mutual_information) -> list[str]:
+    """Union of the k best by F and the k best by mutual information, then the first k in table order.
+
+    ``information`` is ``mutual_information`` (one pass over quantile bins) or ``neighbour_information``.
+    """
     best = set(select_by_anova(df, features, label, k))
-    best |= {r["feature"] for r in top_features(mutual_information(df, features, label), k).collect()}
+    best |= {r["feature"] for r in top_features(information(df, features, label), k).collect()}
     return [c for c in features if c in best][:k]

@@ -94,6 +94,33 @@ def mutual_information(spark, folder):
     return tidy(selection.mutual_information(labelled(spark, folder), FEATURES, "label").select("feature", "score"))
 
 
+def _neighbour_sql() -> str:
+    def psi(n: str) -> str:
+        far = f"({n} + 10.0e0)"
+        return (f"(ln({far}) - 0.5e0 / {far} - 1 / (12e0 * {far} ** 2) + 1 / (120e0 * {far} ** 4) - 1 / (252e0 * {far} ** 6) + 1 / (240e0 * {far} ** 8)"
+                f" - list_sum(list_transform(range(0, 10), lambda j: 1e0 / ({n} + j))))")
+
+    cells = " UNION ALL ".join(f"SELECT '{c}' AS feature, label, CAST({c} AS DOUBLE) AS x FROM labelled WHERE {c} IS NOT NULL" for c in FEATURES)
+    # The third neighbour is in one of the four runs of four rows around the row; its distance is that of the run that reaches least far.
+    low = [f"x - lag(x, {j}) OVER o" if j else "0" for j in range(4)]
+    high = [f"lead(x, {j}) OVER o - x" if j else "0" for j in range(4)]
+    whole = ", ".join(f"CASE WHEN {low[j]} IS NOT NULL AND {high[3 - j]} IS NOT NULL THEN greatest({low[j]}, {high[3 - j]}) END" for j in range(4))
+    return with_views(("labelled",), f"""
+SELECT feature, round(greatest(0, {psi("max(total)")} + avg({psi("inside")} - {psi("of_class")} - {psi("of_all")})), 6) AS score FROM balls GROUP BY 1""", f"""
+cells AS ({cells}),
+reach AS (SELECT *, least({whole}) AS d FROM cells WINDOW o AS (PARTITION BY feature, label ORDER BY x)),
+radii AS (SELECT *, CASE WHEN d > 0 THEN d + 1e-12 * greatest(abs(x), d) ELSE 0 END AS r FROM reach),
+balls AS (SELECT feature,
+  count(*) OVER (PARTITION BY feature, label ORDER BY x RANGE BETWEEN r PRECEDING AND r FOLLOWING) - 1 AS inside,
+  count(*) OVER (PARTITION BY feature ORDER BY x RANGE BETWEEN r PRECEDING AND r FOLLOWING) - 1 AS of_all,
+  count(*) OVER (PARTITION BY feature, label) AS of_class, count(*) OVER (PARTITION BY feature) AS total FROM radii)""")
+
+
+@query("mutual_information_neighbours", _neighbour_sql())
+def mutual_information_neighbours(spark, folder):
+    return tidy(selection.neighbour_information(labelled(spark, folder), FEATURES, "label").select("feature", "score"))
+
+
 def _both_sql() -> str:
     ctes = _mi_sql().split("SELECT feature, round(sum(n / total")[0]  # the views and the steps of the score
     return ctes.rstrip() + ", " + _ANOVA + """,
