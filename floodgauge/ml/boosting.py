@@ -1,6 +1,6 @@
 """Boosted trees with second-order gains (Chen and Guestrin, 2016) for two classes.
 
-Values are cut at quantiles once. Each level of a tree is one pass: tasks add up gradients and curvatures per node, feature and interval, one small table per partition,
+Values are cut at quantiles once. Each level of a tree but the last, whose leaves follow from the splits above, is one pass: tasks add up gradients and curvatures per node, feature and interval, one small table per partition,
 and Spark adds those. What reaches the driver has at most nodes x features x intervals rows, whatever the size of the table. Margins are kept with the rows
 and renewed every ``REFRESH`` rounds by a reliable checkpoint; in between, tasks add the trees of the last rounds.
 
@@ -147,8 +147,8 @@ def fit_boosted_trees(
 ) -> BoostedTrees:
     """``positive_weight`` multiplies the weight of class 1, ``weight`` names a column of row weights; ``key`` names columns that identify a row, for repeatable samples."""
     columns = list(columns)
-    if not columns or not 2 <= bins < 1 << 15:
-        raise ValueError("boosting needs columns, and 2 to 32767 intervals")
+    if not columns or depth < 1 or not 2 <= bins < 1 << 15:
+        raise ValueError("boosting needs columns, a level, and 2 to 32767 intervals")
     df = df.filter(F.col(label).isNotNull())
     cuts = _quantile_cuts(df, columns, bins)
     limits, width = [np.asarray(c) for c in cuts], len(columns)
@@ -179,37 +179,29 @@ def fit_boosted_trees(
         top, bottom = strength(g, h)
         return np.divide(top * top, bottom, out=np.zeros(np.shape(top)), where=bottom > 0)
 
+    def leaf(total) -> float:
+        top, bottom = strength(*total)
+        return float(-rate * top / bottom) if bottom > 0 else 0.0
+
     for number in range(rounds):
         chosen = np.sort(rng.choice(width, max(1, int(columns_share * width)), replace=False))
-        tree, level = Tree(), [0]
-        for step in range(depth + 1):
+        tree, level, totals = Tree(), [0], None
+        for _ in range(depth):
             sums = _histograms(rows, recent, tree, level, width, bins, number, seed, rows_share)
-            totals = sums[:, :, 0, :].sum(axis=-1)
+            if totals is None:
+                totals = [sums[:, 0, 0].sum(axis=-1)]
+                tree.value[0] = leaf(totals[0])
             following = []
             for i, node in enumerate(level):
-                top, bottom = strength(*totals[:, i])
-                tree.value[node] = float(-rate * top / bottom) if bottom > 0 else 0.0
-                if step == depth:
-                    continue
-                best = None
-                for f in chosen:
-                    missing, known = sums[:, i, f, :1], np.cumsum(sums[:, i, f, 1:], axis=-1)[:, :len(cuts[f])]
-                    for missing_left in (False, True):
-                        left = known + missing if missing_left else known
-                        right = totals[:, i, None] - left
-                        won = 0.5 * (gain(*left) + gain(*right) - gain(*totals[:, i])) - least_gain
-                        won = np.where((left[1] >= least_curvature) & (right[1] >= least_curvature), won, 0.0)
-                        if not len(won):
-                            continue
-                        at = int(np.flatnonzero(won >= won.max() - SAME * abs(won.max()))[0])
-                        if won[at] > SAME * max(1e-3, best[0] if best else 0.0) + (best[0] if best else 0.0):
-                            best = (float(won[at]), int(f), at, missing_left)
+                best = _best_cut(sums[:, i], totals[i], chosen, cuts, gain, least_gain, least_curvature)
                 if best:
-                    tree.split(node, *best[1:])
-                    following += [tree.left[node], tree.left[node] + 1]
-            level = following
-            if not level:
+                    tree.split(node, *best[1:4])
+                    for child, sides in zip((tree.left[node], tree.left[node] + 1), best[4:]):
+                        tree.value[child] = leaf(sides)
+                        following.append((child, sides))
+            if not following:
                 break
+            level, totals = map(list, zip(*following))
         trees.append(tree)
         recent.append(tree)
         if len(recent) == REFRESH and number + 1 < rounds:
@@ -217,6 +209,25 @@ def fit_boosted_trees(
     return BoostedTrees(columns, cuts, trees)
 
 
+def _best_cut(sums: np.ndarray, total: np.ndarray, chosen: Sequence[int], cuts: Sequence[Sequence[float]], gain, least_gain: float, least_curvature: float):
+    """Gain, feature, cut, side of missing values, and the sums on the left and right, of a node's best cut; None where nothing is gained."""
+    best = None
+    for f in chosen:
+        missing, known = sums[:, f, :1], np.cumsum(sums[:, f, 1:], axis=-1)[:, :len(cuts[f])]
+        if not known.shape[1]:
+            continue
+        for missing_left in (False, True):
+            left = known + missing if missing_left else known
+            right = total[:, None] - left
+            won = 0.5 * (gain(*left) + gain(*right) - gain(*total)) - least_gain
+            won = np.where((left[1] >= least_curvature) & (right[1] >= least_curvature), won, 0.0)
+            at = int(np.flatnonzero(won >= won.max() - SAME * abs(won.max()))[0])
+            before = best[0] if best else 0.0
+            if won[at] > before + SAME * max(1e-3, before):
+                best = (float(won[at]), int(f), at, missing_left, left[:, at], right[:, at])
+    return best
+
+
 def _renewed(rows: DataFrame, trees: Sequence[Tree], width: int, schema: str) -> DataFrame:
     """Rows with the outputs of the trees added to their margins."""
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
