@@ -7,19 +7,25 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from floodgauge.operators import clean, features, integrate, sampling, stats
+from floodgauge.operators.ordered import dense_codes
 from floodgauge.plans.registry import query, tidy
 from floodgauge.plans.views import FEATURES, FLOW_KEY, gapped, labelled, netflow_v3, table, with_views
+from floodgauge.session import checkpointed
 from floodgauge.sources import tables
 from floodgauge.sources.export import describe_export
 
-TABLES = ("customer", "events", "lineitem", "orders", "part", "supplier", "documents", "embeddings", "labels")
+#: Tables of a dataset with their numbers of columns.
+TABLES = {
+    "region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6,
+    "documents": 5, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4,
+}
 REQUIRED = {"lineitem": ("l_quantity", "l_returnflag"), "events": ("ts", "payload"), "labels": ("doc_id", "quality")}
 
 
 @query("dataset_contract", "\nUNION ALL\n".join(
     f"SELECT '{t}' AS dataset, CAST(1 AS BIGINT) AS present, count(*) AS n_rows, CAST({w} AS BIGINT) AS n_columns, "
     f"'{'payload' if t == 'events' else ''}' AS missing_columns, CAST({int(t != 'events')} AS BIGINT) AS usable FROM {t}"
-    for t, w in zip(TABLES, (5, 6, 11, 6, 6, 4, 5, 3, 3))
+    for t, w in TABLES.items()
 ) + "\nUNION ALL SELECT 'absent', CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), 'x', CAST(0 AS BIGINT)")
 def dataset_contract(spark, folder):
     found = {t: tables.try_table(spark, f"{folder}/{t}.parquet") for t in (*TABLES, "absent")}
@@ -221,12 +227,24 @@ def duplicate_report(spark, folder):
     return tidy(clean.duplicate_report(table(spark, folder, "lineitem").select("l_quantity", "l_discount", "l_tax")))
 
 
-@query("narrowed_types", """
-SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity FROM lineitem""")
+def _narrowest(c: str) -> str:
+    fits = " ".join(f"WHEN min({c}) >= -{1 << b} AND max({c}) < {1 << b} THEN '{kind}'" for kind, b in (("tinyint", 7), ("smallint", 15), ("int", 31)))
+    return f"CASE {fits} ELSE 'bigint' END"
+
+
+_WHOLE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+_REAL = ("l_quantity", "l_discount")
+
+
+@query("narrowed_types", f"""
+SELECT {", ".join(f"{_narrowest(c)} AS kind_{c}, CAST(sum({c}) AS BIGINT) AS {c}" for c in _WHOLE)},
+  {", ".join(f"CASE WHEN bool_and(CAST(CAST({c} AS FLOAT) AS DOUBLE) = {c}) THEN 'float' ELSE 'double' END AS kind_{c}, round(sum({c}), 2) AS {c}" for c in _REAL)}
+FROM lineitem""")
 def narrowed_types(spark, folder):
-    small = clean.narrow_types(table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))
-    return tidy(small)
+    """The type of each column after narrowing, and the sum of what it holds then."""
+    small = clean.narrow_types(table(spark, folder, "lineitem").select(*_WHOLE, *_REAL))
+    kinds = [F.lit(kind).alias(f"kind_{c}") for c, kind in small.dtypes]
+    return tidy(small.agg(*[F.sum(c).alias(c) for c in small.columns]).select("*", *kinds), 2)
 
 
 @query("varying_columns", with_views(("gapped", "finite"), """
@@ -440,9 +458,13 @@ def subset_by_ids(spark, folder):
     return tidy(sampling.subset_by_ids(rows, ids, "l_orderkey"))
 
 
-@query("shuffled_rows", with_views(("labelled",), "SELECT flow_key, label FROM labelled"))
+@query("shuffled_rows", with_views(("labelled",), """
+SELECT flow_key, label, row_number() OVER (ORDER BY md5(concat('42|', flow_key))) - 1 AS place FROM labelled"""))
 def shuffled_rows(spark, folder):
-    return tidy(sampling.shuffled(labelled(spark, folder).select("flow_key", "label"), KEY))
+    """Shuffled rows with their places in the order they come out in."""
+    mixed = sampling.shuffled(labelled(spark, folder).select("flow_key", "label"), KEY)
+    numbered = checkpointed(mixed.withColumn("_id", F.monotonically_increasing_id()))
+    return tidy(numbered.join(dense_codes(numbered, "_id"), "_id").select("flow_key", "label", F.col("code").alias("place")))
 
 
 @query("export_metadata", with_views(("labelled",), """

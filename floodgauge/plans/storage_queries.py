@@ -41,6 +41,34 @@ def csv_union_scan(spark, folder):
         F.coalesce(F.sum("l_tax"), F.lit(0.0)).alias("tax"), F.coalesce(F.sum("l_discount"), F.lit(0.0)).alias("discount")), 2)
 
 
+@query("largest_csv", """
+SELECT count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys, round(sum(c_acctbal), 2) AS balance FROM customer""")
+def largest_csv(spark, folder):
+    """Of the customers and the nations, each in a file of its own, the larger file."""
+    target, customers = scratch_path(spark, "largest"), table(spark, folder, "customer")
+    for name, rows in (("a", table(spark, folder, "nation")), ("b/c", customers)):
+        rows.coalesce(1).write.option("header", "true").csv(f"{target}/{name}")
+    found = tables.scan_csv(spark, target, customers.schema, which="largest")
+    return tidy(found.agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"), F.sum("c_acctbal").alias("balance")), 2)
+
+
+@query("preferred_formats", """
+SELECT 'parquet' AS kind, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders
+UNION ALL SELECT 'json', count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer""")
+def preferred_formats(spark, folder):
+    """Folders that hold several formats, each with another table: Parquet comes before JSON, JSON before CSV."""
+    orders, customers, nations = (table(spark, folder, t) for t in ("orders", "customer", "nation"))
+    found = []
+    for held in ({"csv": nations, "json": customers, "parquet": orders}, {"csv": nations, "json": customers}):
+        target = scratch_path(spark, "formats")
+        for kind, rows in held.items():
+            rows.write.mode("append").option("header", "true").format(kind).save(target)
+        rows, kind = tables.scan_preferred(spark, target)
+        key = next(c for c in ("o_orderkey", "c_custkey", "n_nationkey") if c in rows.columns)
+        found.append(rows.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), F.sum(key).alias("keys")))
+    return tidy(found[0].unionByName(found[1]))
+
+
 @query("exported_split", with_views(("labelled",), """
 SELECT split, count(*) AS n, CAST(sum(is_attack) AS BIGINT) AS attacks, round(sum(l_quantity), 2) AS quantity
 FROM (SELECT *, CASE WHEN rk <= round_even(n_class * 0.2e0, 0) THEN 'test' ELSE 'train' END AS split
