@@ -7,14 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floodgauge.functions.expressions import epoch_micros
+from floodgauge.ml import registry, training
+from floodgauge.ml.isolation_forest import fit_isolation_forest
 from floodgauge.operators import mitigation
+from floodgauge.operators.features import FLOW_FEATURES, flow_features
 from floodgauge.plans.live_queries import _FOLD, _IDS, _LATENCY
 from floodgauge.plans.registry import query, tidy
 from floodgauge.plans.storage_queries import WAIT_SECONDS, _streamed
 from floodgauge.plans.views import flows, ids_lines, pick, table, threats, with_views
-from floodgauge.session import scratch_path
+from floodgauge.session import checkpointed, scratch_path
 from floodgauge.sources import ids_log
 from floodgauge.sources.log_tail import tail_lines
+from floodgauge.streaming.detection import LiveDetection
 from floodgauge.streaming.latency import stream_latencies
 from floodgauge.streaming.reputation import FIELDS, ReputationBatches, stream_reputation
 from floodgauge.streaming.routes import stream_withdrawals
@@ -183,3 +187,40 @@ def _slack(sides) -> int:
     edges = [side.agg(F.min(moment), F.max(moment)).first() for side in sides]
     known = [e for e in edges if e[0] is not None]
     return 0 if len(known) < 2 else (abs(known[0][0] - known[1][0]) + abs(known[0][1] - known[1][1])) // 1_000_000 + 1
+
+
+#: Detectors in the order they are saved: level, version, and the kinds of events they were taught. One comes before each micro-batch.
+_TAUGHT = (("simple", 1, ("error",)), ("simple", 2, ("signup",)), ("optimized", 1, ("error", "signup")))
+
+
+@query("live_detection_versions", with_views(("flows",), """
+SELECT flow_id, src_ip AS ip, level AS model_level, CAST(version AS BIGINT) AS model_version, 'known_ddos' AS attack_type
+FROM flows JOIN (VALUES (0, 'simple', 1, 'error'), (1, 'simple', 2, 'signup'), (2, 'optimized', 1, 'error'), (2, 'optimized', 1, 'signup')) t(part, level, version, kind)
+  ON flow_id % 3 = part AND event_type = kind"""))
+def live_detection_versions(spark, folder):
+    """Flows in three micro-batches; before each comes a newer or better detector of supervised models, scalers and forest, taught other kinds of events."""
+    rows = flows(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    logs = rows.drop("event_type", "user_id", "value", "k")
+    target, source = scratch_path(spark, "detection"), scratch_path(spark, "detection-input")
+    for part in range(len(_TAUGHT)):
+        logs.filter(F.col("flow_id") % len(_TAUGHT) == part).coalesce(1).write.mode("append").parquet(source)
+    known = checkpointed(flow_features(rows.withColumn("_kind", F.col("event_type")), keep=("flow_id", "_kind")))
+    forest = fit_isolation_forest(known, FLOW_FEATURES, key=["flow_id"])
+    found = LiveDetection(f"{target}/models", target)
+
+    def each(batch, batch_id):
+        level, version, kinds = _TAUGHT[batch_id]
+        taught = known.withColumn("y", F.col("_kind").isin(*kinds).cast("int"))
+        # The protocol tells the kinds apart, so trees with leaves of any size learn them without error.
+        models = [training.decision_tree("y", depth=depth, leaf=1) for depth in (8, 10)]
+        packages = [registry.ModelPackage(training.assembled(FLOW_FEATURES, m, taught).fit(taught), list(FLOW_FEATURES)) for m in models]
+        registry.save_detector(spark, registry.Detector(packages, forest, level, version), f"{target}/models")
+        found(batch, batch_id)
+
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    running = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
+    if not running.awaitTermination(WAIT_SECONDS):
+        running.stop()
+        raise TimeoutError("the stream did not end")
+    threats_found = spark.read.parquet(f"{target}/threats").filter("detection_method = 'supervised'")
+    return tidy(threats_found.select("flow_id", "ip", "model_level", "model_version", "attack_type"))
