@@ -151,28 +151,37 @@ def gradients(weights, inputs: Inputs, at: np.ndarray, label: np.ndarray, weight
     return loss, into
 
 
-def train(windows: list[list[bytes]], labels: list[int], steps: int, epochs: int, seed: int, weights=None, batch: int = 384, rate: float = 0.01):
-    """Weights after so many epochs of Adam."""
+def train(windows: list[list[bytes]], labels: list[int], steps: int, epochs: int, seed: int, weights=None, batch: int = 384, rate: float = 0.01, least: int = 0, fixed=frozenset(), exchange: float = 0.0, decay: float = 0.0):
+    """Weights after so many epochs of Adam, and ``least`` steps at least. A batch holds windows of both labels, up to a third of them positive.
+
+    In each batch a share ``exchange`` of the words that are not ``fixed`` gives way to words drawn from the windows with label 0, so that the words that happen to stand
+    in a positive window cannot be learned by heart. ``decay`` shrinks the tables of words and grams at each step.
+    """
     draw = np.random.default_rng(seed)
     weights = {k: v.copy() for k, v in (weights or initial(seed)).items()}
     label = np.array(labels, np.float32)
     weight = np.ones(len(label), np.float32)
+    positive, negative = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    other = [w for k in negative for w in windows[k]]
     mean, square = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
-    step = 0
-    for _ in range(epochs):
-        order = draw.permutation(len(windows))
-        for a in range(0, len(order), batch):
-            chosen = order[a : a + batch]
-            names: dict[bytes, int] = {}
-            at = np.zeros((len(chosen), steps), np.int64)
-            for row, k in enumerate(chosen):
-                at[row, : len(windows[k])] = [names.setdefault(w, len(names) + 1) for w in windows[k]]
-            _, into = gradients(weights, Inputs(list(names)), at, label[chosen], weight[chosen])
-            step += 1
-            for k, g in into.items():
-                mean[k] += 0.1 * (g - mean[k])
-                square[k] += 0.01 * (g * g - square[k])
-                weights[k] -= rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-7)
+    for step in range(1, max(least, -(-epochs * len(windows) // batch)) + 1):
+        some = draw.choice(positive, min(4 * len(positive), batch // 3))
+        chosen = np.concatenate([some, draw.choice(negative, batch - len(some))])
+        names: dict[bytes, int] = {}
+        at = np.zeros((len(chosen), steps), np.int64)
+        for row, k in enumerate(chosen):
+            words = windows[k]
+            if exchange:
+                swap, new = draw.random(len(words)) < exchange, draw.integers(0, len(other), len(words))
+                words = [other[j] if s and w not in fixed else w for w, s, j in zip(words, swap, new)]
+            at[row, : len(words)] = [names.setdefault(w, len(names) + 1) for w in words]
+        _, into = gradients(weights, Inputs(list(names)), at, label[chosen], weight[chosen])
+        for k, g in into.items():
+            mean[k] += 0.1 * (g - mean[k])
+            square[k] += 0.01 * (g * g - square[k])
+            weights[k] -= rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-7)
+        for k in ("word", "gram") if decay else ():
+            weights[k] *= 1 - decay * rate
     return weights
 
 

@@ -3,8 +3,9 @@
 A document's score is that of its highest window, so that a short passage in a long text counts. The network is trained on a bounded sample
 of labelled documents: at most ``SAMPLE`` of the two classes, those with the smallest hash of their id. Which
 window of a toxic document shows it is not known: first the windows with the most words typical of toxic documents are taken, then, in further rounds,
-those that the network itself scores highest, in documents of either class. Last, the highest windows of the sample's documents set
-the scale of the score. Only texts are inputs.
+those that the network itself scores highest, in documents of either class. A toxic document in which neither finds anything adds no window.
+While the network learns, most words that are no evidence are exchanged for words of clean windows; with few labelled documents it would learn
+their windows by heart otherwise. Last, the highest windows of the sample's documents set the scale of the score. Only texts are inputs.
 
 Edge cases: a null or empty text has no words and the score 0. Words beyond a window's size are in the next windows, none is left out.
 Without labelled documents of both classes every score is 0. Repeated rows are scored one by one. An empty table gives an empty result.
@@ -29,6 +30,8 @@ SAMPLE = (4_000, 1_500)
 #: Windows taken at first from a toxic and from another document, and words of evidence.
 POSITIVE_WINDOWS, NEGATIVE_WINDOWS, EVIDENCE = 2, 3, 20_000
 EPOCHS, ROUNDS, SEED, THRESHOLD = 3, 2, 42, 0.7
+#: Steps of learning at least (half as many in each further round), share of words exchanged, shrinking of the tables.
+LEAST_STEPS, EXCHANGE, DECAY = 60, 0.9, 0.5
 #: Words scored together.
 BATCH_WORDS = 200_000
 
@@ -68,7 +71,7 @@ def training_sample(documents: DataFrame, labels: DataFrame, size: tuple[int, in
 
 
 def _evidence(sample: DataFrame) -> dict[bytes, float]:
-    """Words more frequent in toxic documents than in others, and how clearly so; a bounded number of them."""
+    """Words of two toxic documents or more that are more frequent there than in others, and how clearly so; a bounded number of them."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -81,12 +84,15 @@ def _evidence(sample: DataFrame) -> dict[bytes, float]:
     counted = sample.mapInArrow(run, "label int, word binary").groupBy("word").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     clear = (F.log(a / (p - F.col("a"))) - F.log(b / (n - F.col("b")))) / F.sqrt(1 / a + 1 / b)
-    rows = counted.select("word", clear.alias("z")).where("z > 2").orderBy(F.desc("z"), "word").limit(EVIDENCE).collect()
+    rows = counted.where("a > 1").select("word", clear.alias("z")).where("z > 2").orderBy(F.desc("z"), "word").limit(EVIDENCE).collect()
     return {bytes(r.word): r.z for r in rows}
 
 
-def _windows(sample: DataFrame, rate, keep: dict[int, int], spread: dict[int, int]) -> tuple[list[list[bytes]], list[int], list[float]]:
-    """For each document its windows with the highest rate, as many as ``keep`` says for its label, and some evenly spread; with labels and rates."""
+def _windows(sample: DataFrame, rate, keep: dict[int, int], spread: dict[int, int], sure: bool = False) -> tuple[list[list[bytes]], list[int], list[float]]:
+    """For each document its windows with the highest rate, as many as ``keep`` says for its label, and some evenly spread; with labels and rates.
+
+    ``sure``: none of a toxic document whose rates are all zero or less. Otherwise each document has its highest window.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
         of = rate()
@@ -99,7 +105,9 @@ def _windows(sample: DataFrame, rate, keep: dict[int, int], spread: dict[int, in
                 rates = of(every)
                 best = sorted(range(len(every)), key=lambda k: (-rates[k], k))[: keep[label]]
                 some = np.linspace(0, len(every) - 1, min(spread[label], len(every))).astype(int).tolist() if spread[label] else []
-                taken = sorted({k for k in best if rates[k] > 0 or k == best[0]} | set(some))
+                taken = sorted({k for k in best if rates[k] > 0 or k == best[0] and not (sure and label)} | set(some))
+                if not taken:
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array([label] * len(taken), pa.int32()), pa.array([every[k] for k in taken], pa.list_(pa.binary())), pa.array([float(rates[k]) for k in taken])], ["label", "words", "rate"])
 
     rows = sample.mapInArrow(run, "label int, words array<binary>, rate double").toArrow()
@@ -115,15 +123,19 @@ def fit(documents: DataFrame, labels: DataFrame, size: tuple[int, int] = SAMPLE,
     def by_evidence():
         return lambda windows: [sum(evidence.get(w, 0.0) for w in set(x)) for x in windows]
 
-    windows, y, _ = _windows(sample, by_evidence, {1: POSITIVE_WINDOWS, 0: 1}, {1: 0, 0: NEGATIVE_WINDOWS})
+    first = {1: POSITIVE_WINDOWS, 0: 1}, {1: 0, 0: NEGATIVE_WINDOWS}
+    windows, y, _ = _windows(sample, by_evidence, *first, sure=True)
+    if 1 not in y:  # too few toxic documents for evidence
+        windows, y, _ = _windows(sample, by_evidence, *first)
     if len(set(y)) < 2:
         return None
-    weights = recurrent.train(windows, y, WINDOW, epochs, seed)
+    how = {"fixed": frozenset(evidence), "exchange": EXCHANGE if evidence else 0.0, "decay": DECAY}
+    weights = recurrent.train(windows, y, WINDOW, epochs, seed, least=LEAST_STEPS, **how)
 
     for turn in range(1, ROUNDS + 1):
-        more, y_more, _ = _windows(sample, _by_network(weights), {1: 1, 0: 2}, {1: 0, 0: 0})
+        more, y_more, _ = _windows(sample, _by_network(weights), {1: 1, 0: 2}, {1: 0, 0: 0}, sure=True)
         windows, y = windows + more, y + y_more
-        weights = recurrent.train(windows, y, WINDOW, max(1, epochs - 1), seed + turn, weights, rate=0.005)
+        weights = recurrent.train(windows, y, WINDOW, max(1, epochs - 1), seed + turn, weights, rate=0.005, least=LEAST_STEPS // 2, **how)
     _, y_top, top = _windows(sample, _by_network(weights), {1: 1, 0: 1}, {1: 0, 0: 0})
     weights["scale"] = _scale(np.array(top), np.array(y_top, float))
     return weights

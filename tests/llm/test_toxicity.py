@@ -70,3 +70,43 @@ def test_labels_of_one_class_give_zero(spark):
     y = spark.createDataFrame([(k, 1) for k in range(5)], "doc_id bigint, toxic int")
     assert toxicity.fit(d, y) is None
     assert [r.score for r in toxicity.scored(d, None).collect()] == [0.0, 0.0]
+
+
+def test_few_toxic_documents_are_not_learned_by_heart(spark):
+    """Twenty toxic documents among two hundred, ten words that show it, all others random; held-out ones are told apart."""
+    draw = random.Random(3)
+    shown = ["".join(draw.choice("klmnop") for _ in range(6)) for _ in range(10)]
+    docs, labels = [], []
+    for i in range(300):
+        words = ["".join(draw.choice("abcdefgh") for _ in range(draw.randrange(3, 7))) for _ in range(draw.choice((40, 120)))]
+        if i % 10 == 0:
+            for _ in range(4):
+                words[draw.randrange(len(words))] = draw.choice(shown)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 10 == 0)))
+    d, y = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    found = toxicity.scored(d, toxicity.fit(d, y)).withColumn("held", toxicity.fold(F.col("id")) == 1).where("held").collect()
+    marked = {True: [], False: []}
+    for r in found:
+        marked[r.id % 10 == 0].append(r.score >= toxicity.THRESHOLD)
+    assert np.mean(marked[True]) >= 0.75 and np.mean(marked[False]) <= 0.1
+
+
+def test_score_is_that_of_the_highest_window(spark):
+    """Each document by itself, window by window, against the batched scores."""
+    docs, labels = corpus(120, 2)
+    docs += [(500, None), (501, ""), (502, "zzurged " * 70)]
+    d, y = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    weights = toxicity.fit(d, y)
+    got = dict(map(tuple, toxicity.scored(d, weights).collect()))
+    slope, shift = weights["scale"]
+    for i, text in docs:
+        words, best = toxicity.words_of(text), None
+        for a in toxicity.starts(len(words)):
+            window = words[a : a + toxicity.WINDOW]
+            vectors = np.concatenate([np.zeros((1, recurrent.WIDTH), np.float32), recurrent.Inputs(window).vectors(weights)])
+            at = np.zeros((1, toxicity.WINDOW), np.int64)
+            at[0, : len(window)] = range(1, len(window) + 1)
+            logit = float(recurrent.forward(weights, recurrent.tables(weights, vectors), at)[0])
+            best = logit if best is None else max(best, logit)
+        assert abs(got[i] - (0 if best is None else 1 / (1 + np.exp(-(slope * best + shift))))) < 1e-3
