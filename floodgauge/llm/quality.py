@@ -25,6 +25,7 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper", "n_distinct_words")
 
 #: Rules in the order of their bits. The first two are the base rules; every text is a condition on the measurements, in SQL.
+#: The distinct words of a language grow about with the root of the length, so few of them are a tenth up to 400 words and twice the root beyond.
 RULES: dict[str, str] = {
     "few_words": "n_words < 20",
     "repeated_windows": "100 * n_repeat_words > 30 * n_words",
@@ -34,7 +35,7 @@ RULES: dict[str, str] = {
     "long_words": "word_chars > 20 * n_words",
     "short_words": "word_chars < 2 * n_words",
     "repeated_lines": "n_lines > 3 AND 2 * n_dup_lines > n_lines",
-    "few_distinct_words": "10 * n_distinct_words < n_words AND n_words < 2000",
+    "few_distinct_words": "10 * n_distinct_words < n_words AND n_distinct_words * n_distinct_words < 4 * n_words",
 }
 BASE_RULES = ("few_words", "repeated_windows")
 POLICIES: dict[str, tuple[str, ...]] = {

@@ -61,3 +61,14 @@ def test_kept_documents_have_their_columns(spark):
     kept = q.keep_good(frame(spark), "base").collect()
     assert sorted(r.text for r in kept) == sorted(t for t in TEXTS if brute(t)["failed"] & q.mask(q.BASE_RULES) == 0)
     assert set(kept[0].asDict()) == {"doc_id", "text", "n_words", "failed"} and kept[0].n_words == "x"
+
+
+def test_few_distinct_words_at_every_length(spark):
+    """Two words repeated fail whatever the length; as many distinct words as three times the root of the length do not."""
+    sizes = (200, 1_600, 2_400, 50_000)
+    rows = [(n, " ".join(f"ab{i % 7 % 2}" for i in range(n))) for n in sizes] + [(-n, " ".join(f"w{i * i % (3 * int(n**0.5) + 20)}_{i % 3}" for i in range(n))) for n in sizes]
+    got = {r.doc_id: r for r in q.ledger(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for n, r in got.items():
+        few = 10 * r.n_distinct_words < r.n_words and r.n_distinct_words**2 < 4 * r.n_words
+        assert bool(r.failed & q.bit("few_distinct_words")) == few and (n < 0 or few)
+    assert not all(r.failed & q.bit("few_distinct_words") for n, r in got.items() if n < 0)
