@@ -1,6 +1,7 @@
 """Exact shard sizes, places, and the law of the draw."""
 
 import zlib
+from math import comb
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -17,6 +18,28 @@ def test_matrix_has_exact_sums_and_the_hypergeometric_mean():
     assert np.abs(total / 400 - np.outer(counts, sharding.targets(62, 3)) / 62).max() < 0.6
 
 
+def test_large_counts_are_drawn_by_the_same_law():
+    """The way for large counts, used on small ones, against the probabilities themselves; then sums beyond three billion rows."""
+    draw, good, bad, sample, rounds = np.random.default_rng(5), 7, 9, 6, 20_000
+    seen = np.bincount([sharding.hypergeometric(draw, good, bad, sample, large=0) for _ in range(rounds)], minlength=sample + 1) / rounds
+    want = [comb(good, k) * comb(bad, sample - k) / comb(good + bad, sample) for k in range(sample + 1)]
+    assert np.abs(seen - want).max() < 0.015
+    for sample in (0, 16):
+        assert sharding.hypergeometric(draw, good, bad, sample, large=0) == (good if sample else 0)
+    counts = [600_000_000, 0, 1_400_000_000, 5, 1_000_000_001]
+    m = np.array(sharding.communication_matrix(counts, 8, 42))
+    assert m.sum(axis=1).tolist() == counts and m.sum(axis=0).tolist() == sharding.targets(sum(counts), 8)
+    assert (np.abs(m[0] - 75_000_000) < 60_000).all() and (m[0] != 75_000_000).any()
+    assert sharding.communication_matrix([], 8, 1) == []
+
+
+def test_pieces_follow_bytes(spark):
+    df = spark.createDataFrame([(i, "x" * 2_000) for i in range(400)], "doc_id bigint, text string").repartition(3)
+    rows = sharding.exchanged(df, 2, piece_bytes=50_000).collect()
+    assert len({(r.shard, r.piece) for r in rows}) >= 16
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, k) for s in range(2) for k in range(200)]
+
+
 def check(rows, texts, shards):
     assert len(rows) == len(texts)
     want = sorted((i is not None, i or 0, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in texts)
