@@ -1,5 +1,6 @@
 """Licence scans against brute force."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -41,11 +42,54 @@ def test_expressions():
     assert value("(MIT OR Apache-2.0) AND BSD-3-Clause") == ["apache-2 and bsd-3-clause", "bsd-3-clause and mit"]
     assert value("GPL-2.0-or-later WITH Classpath-exception-2.0 OR MIT") == ["gpl-2 with classpath-exception-2", "mit"]
     assert value("MIT OR (MIT AND ISC)") == ["mit"]
+    assert value("or+ AND and-only") == ["and and or"] and value("x OR +") is None
     assert value("MIT */") == ["mit"] and value("MIT)") == ["mit"]
     for broken in ("", "AND MIT", "MIT OR", "(MIT", "()", "MIT AND OR ISC"):
         assert not value(broken)
 
 
+def test_large_expressions_are_not_cut():
+    nine = lic.postfix(" AND ".join(f"(a{k} OR b{k})" for k in range(9)))
+    assert lic.choices(nine) == 512 and lic.alternatives(nine) is None and len(lic.alternatives(nine, 512)) == 512
+    assert len(lic.licences_of(nine)) == 18
+    assert lic.satisfied(nine, {f"{'ab'[k % 2]}{k}" for k in range(9)}) and not lic.satisfied(nine, {f"a{k}" for k in range(8)} | {"b7"})
+    many = lic.postfix(" AND ".join(f"(a{k} OR b{k})" for k in range(20_000)))
+    assert lic.choices(many) == lic.MANY and len(lic.licences_of(many)) == 40_000 and lic.alternatives(many) is None
+    assert lic.satisfied(many, {f"a{k}" for k in range(20_000)}) and not lic.satisfied(many, {f"a{k}" for k in range(19_999)})
+    for broken in ("GPL-2.0 WITH (a OR b)", "GPL-2.0 WITH a WITH b", "(GPL-2.0 WITH a OR MIT) WITH b"):
+        assert lic.postfix(broken) is None
+    assert lic.licences_of(lic.postfix("(GPL-2.0 OR MIT) WITH b AND ISC")) == ["gpl-2 with b", "isc", "mit with b"]
+
+
+def test_satisfied_equals_the_listed_alternatives():
+    draw = random.Random(6)
+
+    def expression(depth):
+        if depth == 0 or draw.random() < 0.2:
+            return draw.choice("abcd") + (" WITH x" if draw.random() < 0.2 else "")
+        inner = f"({expression(depth - 1)} {draw.choice(['AND', 'OR'])} {expression(depth - 1)})"
+        return inner + (" WITH y" if draw.random() < 0.15 else "")
+
+    orders = [o for o in (lic.postfix(expression(3)) for _ in range(400)) if o]  # without those that give a licence two exceptions
+    assert len(orders) > 200
+    for order in orders:
+        sets = lic.alternatives(order, 10**6)
+        assert set().union(*sets) <= set(lic.licences_of(order)) and len(sets) <= lic.choices(order)
+        for _ in range(8):
+            allowed = {n for n in lic.licences_of(order) if draw.random() < 0.6}
+            assert lic.satisfied(order, allowed) == any(x <= allowed for x in sets)
+
+
+def test_permitted_documents(spark):
+    tag = "// SPDX-License-Identifier: "
+    rows = [(1, tag + "MIT OR GPL-2.0-only"), (2, tag + "MIT AND GPL-2.0-only"), (3, "no tag"), (4, None), (5, tag + "MIT\n" + tag + "ISC"), (5, tag + "MIT"),
+            (6, tag + " AND ".join(f"(MIT OR b{k})" for k in range(40)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("permitted", F.lit("x"))
+    assert sorted((tuple(r) for r in lic.permitted(df, {"mit"}).collect()), key=str) == [(1, True), (2, False), (3, None), (4, None), (5, False), (5, True), (6, True)]
+    (r,) = lic.scanned(df.where("doc_id = 6")).collect()
+    assert r.expressions[0].alternatives is None and r.expressions[0].choices == 2**40 and len(r.expressions[0].licences) == 41
+
+
 def test_query(spark, folder):
     docs = {d.doc_id: d.text for d in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     got = lic.op1_licence_scan(spark, folder).collect()
