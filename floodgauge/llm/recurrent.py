@@ -13,6 +13,8 @@ import numpy as np
 WIDTH, HIDDEN, ATTENTION = 12, 8, 8
 WORD_SLOTS, GRAM_SLOTS = 1 << 14, 1 << 15
 GRAMS = (3, 4, 5)
+#: Words that a batch draws its exchanged words from.
+POOL = 1_000
 
 
 def initial(seed: int) -> dict[str, np.ndarray]:
@@ -169,11 +171,12 @@ def train(windows: list[list[bytes]], labels: list[int], steps: int, epochs: int
         chosen = np.concatenate([some, draw.choice(negative, batch - len(some))])
         names: dict[bytes, int] = {}
         at = np.zeros((len(chosen), steps), np.int64)
+        pool = [other[j] for j in draw.integers(0, len(other), POOL)] if exchange and other else []
         for row, k in enumerate(chosen):
             words = windows[k]
-            if exchange:
-                swap, new = draw.random(len(words)) < exchange, draw.integers(0, len(other), len(words))
-                words = [other[j] if s and w not in fixed else w for w, s, j in zip(words, swap, new)]
+            if pool:
+                swap, new = (draw.random(len(words)) < exchange).tolist(), draw.integers(0, POOL, len(words)).tolist()
+                words = [pool[j] if s and w not in fixed else w for w, s, j in zip(words, swap, new)]
             at[row, : len(words)] = [names.setdefault(w, len(names) + 1) for w in words]
         _, into = gradients(weights, Inputs(list(names)), at, label[chosen], weight[chosen])
         for k, g in into.items():
