@@ -1,8 +1,8 @@
 """Isolation forest (Liu, Ting and Zhou, 2008).
 
 A forest needs a fixed number of sampled rows per tree, however large the table is: one pass keeps
-the rows with the smallest hashes as a pool, trees are grown in parallel from samples of it, and
-the small forest is sent to all tasks for scoring.
+a hashed share of the rows as a pool, trees are grown in parallel from samples of it, and the small
+forest is sent to all tasks for scoring.
 """
 
 from __future__ import annotations
@@ -151,13 +151,22 @@ def fit_isolation_forest(
     hashed = df.select(row_hash(list(key) if key else df.columns, seed).alias("_h"), *values)
     # The pool: enough rows for nearly independent samples, or the whole table when it is small.
     share = min(1.0, 4.0 * samples * n_trees / total) if samples * 4 < total else 1.0
-    if share < 1.0:
-        head = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / float(1 << 32)
-        hashed = hashed.filter(head < share)
-    # Equal rows are counted and numbered, so that the draws do not depend on partitions.
     columns_x = [f"x{i}" for i in range(len(columns))]
-    counted = hashed.groupBy("_h", *columns_x).agg(F.count(F.lit(1)).alias("_n"))
-    pool = checkpointed(counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n"))
+
+    def copies(rows: DataFrame) -> DataFrame:
+        """Equal rows are counted and numbered, so that the draws do not depend on partitions."""
+        counted = rows.groupBy("_h", *columns_x).agg(F.count(F.lit(1)).alias("_n"))
+        return checkpointed(counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n"))
+
+    if share < 1.0:
+        # A hash of its own: a split by the same key and seed has left only a range of ``_h``.
+        head = F.pmod(F.xxhash64("_h", F.lit("pool")), F.lit(1 << 32)) / float(1 << 32)
+        pool = copies(hashed.filter(head < share))
+        # Many equal rows share a hash and are in or out together.
+        if pool.limit(samples).count() < samples:
+            share = 1.0
+    if share == 1.0:
+        pool = copies(hashed)
     row = ("_h", "_copy", *columns_x)
     chance = min(1.0, 1.5 * samples / max(1.0, share * total) + 32.0 / max(1.0, share * total))
     if chance > 0.9:

@@ -158,3 +158,17 @@ def test_inverse_normal():
     shares = np.array([1e-7, 0.001, 0.02, 0.0243, 0.3, 0.5, 0.77, 0.98, 0.9999999])
     assert np.allclose(inverse_normal(shares), [NormalDist().inv_cdf(s) for s in shares], rtol=1e-8, atol=1e-9)
     assert np.isnan(inverse_normal(np.array([np.nan])))[0]
+
+
+def test_isolation_forest_after_a_split_by_the_same_key(spark, points):
+    """The split has taken the smallest hashes, in which the pool of a small share of the rows once lay."""
+    train = stratified_split(points, "y", 0.2, key=["id"]).filter("split = 'train'")
+    forest = fit_isolation_forest(train, ["a", "b"], n_trees=3, max_samples=16, key=["id"])
+    assert [t["tree"] for t in forest.trees] == [0, 1, 2]
+
+
+def test_isolation_forest_of_equal_rows(spark):
+    """Copies share one hash: the pool holds all of them or none."""
+    same = spark.range(4000).selectExpr("1.0D AS a", "2.0D AS b")
+    for seed in range(3):
+        assert len(fit_isolation_forest(same, ["a", "b"], n_trees=3, max_samples=16, contamination=None, seed=seed).trees) == 3
