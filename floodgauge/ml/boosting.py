@@ -1,8 +1,9 @@
 """Boosted trees with second-order gains (Chen and Guestrin, 2016) for two classes.
 
 Values are cut at quantiles once. Each level of a tree but the last, whose leaves follow from the splits above, is one pass: tasks add up gradients and curvatures per node, feature and interval, one small table per partition,
-and Spark adds those. What reaches the driver has at most nodes x features x intervals rows, whatever the size of the table. Margins are kept with the rows
-and renewed every ``REFRESH`` rounds by a reliable checkpoint; in between, tasks add the trees of the last rounds.
+and Spark adds those. What reaches the driver has at most nodes x features x intervals rows, whatever the size of the table. Rows lie in blocks of some thousand
+with their margins. Each round adds the last tree to the margins and keeps the result for its levels (in memory, or on disk where memory is short);
+every ``REFRESH`` rounds that is a reliable checkpoint.
 
 Missing values (NULL, NaN) go to the side of a split that gains more. Rows without label are left out, rows of weight 0 or less are an error. Of equal gains the first feature
 and the smallest cut win. A table with one class or without rows gives trees of a single leaf, or none.
@@ -25,6 +26,8 @@ BINS = 64
 REFRESH = 10
 #: Code of a missing value; the others count the cuts below a value.
 MISSING = -1
+#: Some thousand rows in one: the bytes of their codes and of one number each.
+BLOCKS = "codes binary, y binary, w binary, id binary, margin binary"
 #: Gains that differ by less than this part are equal, so that the order of additions does not decide.
 SAME = 1e-9
 
@@ -111,7 +114,19 @@ def _quantile_cuts(df: DataFrame, columns: Sequence[str], bins: int) -> list[lis
     return [sorted(set(q or [])) for q in found]
 
 
-def _histograms(rows: DataFrame, trees: Sequence[Tree], growing: Tree, level: Sequence[int], width: int, bins: int, number: int, seed: int, share: float):
+def _unpacked(batches: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Codes, labels, weights, ids and margins of each block."""
+    for batch in batches:
+        for codes, y, w, ids, margin in batch.itertuples(index=False, name=None):
+            yield np.frombuffer(codes, np.int16).reshape(-1, width), np.frombuffer(y), np.frombuffer(w), np.frombuffer(ids, np.int64), np.frombuffer(margin)
+
+
+def _packed(codes, y, w, ids, margin) -> pd.DataFrame:
+    found = codes.tobytes(), *(np.asarray(v, np.float64).tobytes() for v in (y, w)), np.asarray(ids, np.int64).tobytes(), margin.tobytes()
+    return pd.DataFrame([found], columns=["codes", "y", "w", "id", "margin"])
+
+
+def _histograms(rows: DataFrame, growing: Tree, level: Sequence[int], width: int, bins: int, number: int, seed: int, share: float):
     """Sums of gradients and curvatures of the nodes of a level, as an array of (node, feature, code + 1, which)."""
     place = {node: i for i, node in enumerate(level)}
 
@@ -119,19 +134,20 @@ def _histograms(rows: DataFrame, trees: Sequence[Tree], growing: Tree, level: Se
         slot = np.full(len(growing.feature), -1)
         for node, i in place.items():
             slot[node] = i
-        size = len(level) * width * (bins + 1)
-        sums = np.zeros((2, size))
-        for batch in batches:
-            codes = np.frombuffer(b"".join(batch["codes"]), dtype=np.int16).reshape(len(batch), width)
-            margin = batch["margin"].to_numpy() + sum((t.output(codes) for t in trees), np.zeros(len(batch)))
-            p, y, w = _chance(margin), batch["y"].to_numpy(), batch["w"].to_numpy()
-            at = slot[growing.node_of(codes)]
-            seen = (at >= 0) & _taken(batch["id"].to_numpy(), number, seed, share)
-            cell = ((at[seen, None] * width + np.arange(width)) * (bins + 1) + codes[seen] + 1).ravel()
-            for which, values in enumerate((w * (p - y), w * p * (1 - p))):
-                sums[which] += np.bincount(cell, np.repeat(values[seen], width), size)
-        used = np.flatnonzero((sums != 0).any(axis=0))
-        yield pd.DataFrame({"cell": used, "g": sums[0, used], "h": sums[1, used]})
+        sums = np.zeros((2, len(level), width, bins + 1))
+        for codes, y, w, ids, margin in _unpacked(batches, width):
+            seen = np.flatnonzero(_taken(ids, number, seed, share))
+            at = slot[growing.node_of(codes[seen])]
+            seen, at = seen[at >= 0], at[at >= 0] * (bins + 1) + 1
+            p, w = _chance(margin[seen]), w[seen]
+            gradients = w * (p - y[seen]), w * p * (1 - p)
+            for f in range(width):
+                cell = at + codes[seen, f]
+                for which, values in enumerate(gradients):
+                    sums[which, :, f] += np.bincount(cell, values, len(level) * (bins + 1)).reshape(len(level), bins + 1)
+        flat = sums.reshape(2, -1)
+        used = np.flatnonzero((flat != 0).any(axis=0))
+        yield pd.DataFrame({"cell": used, "g": flat[0, used], "h": flat[1, used]})
 
     cells = rows.mapInPandas(add, "cell long, g double, h double").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     out = np.zeros((2, len(level) * width * (bins + 1)))
@@ -158,7 +174,8 @@ def fit_boosted_trees(
             if (batch["w"] <= 0).any():
                 raise ValueError("a weight is not positive")
             found = _codes(batch[[f"x{i}" for i in range(width)]].to_numpy(dtype=float), limits)
-            yield pd.DataFrame({"codes": [r.tobytes() for r in found], "y": batch["y"], "w": batch["w"], "id": batch["id"], "margin": 0.0})
+            if len(batch):
+                yield _packed(found, batch["y"], batch["w"], batch["id"], np.zeros(len(batch)))
 
     y = F.col(label).cast("double")
     own = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -167,10 +184,9 @@ def fit_boosted_trees(
         (own * F.when(y == 1, F.lit(float(positive_weight))).otherwise(F.lit(1.0))).alias("w"),
         F.xxhash64(row_hash(list(key) if key else df.columns, seed)).alias("id"),
     )
-    schema = "codes binary, y double, w double, id long, margin double"
-    rows = checkpointed(rows.mapInPandas(coded, schema))
+    rows, held = checkpointed(rows.mapInPandas(coded, BLOCKS)), None
     rng = np.random.default_rng(seed)
-    trees, recent = [], []
+    trees = []
 
     def strength(g, h):
         return np.sign(g) * np.maximum(np.abs(g) - l1, 0.0), h + l2
@@ -187,8 +203,11 @@ def fit_boosted_trees(
         chosen = np.sort(rng.choice(width, max(1, int(columns_share * width)), replace=False))
         tree, level, totals = Tree(), [0], None
         for _ in range(depth):
-            sums = _histograms(rows, recent, tree, level, width, bins, number, seed, rows_share)
+            sums = _histograms(rows, tree, level, width, bins, number, seed, rows_share)
             if totals is None:
+                if held is not None:  # the margins of this round are made, those before have served
+                    held.unpersist()
+                held = rows if number % REFRESH else None
                 totals = [sums[:, 0, 0].sum(axis=-1)]
                 tree.value[0] = leaf(totals[0])
             following = []
@@ -203,9 +222,11 @@ def fit_boosted_trees(
                 break
             level, totals = map(list, zip(*following))
         trees.append(tree)
-        recent.append(tree)
-        if len(recent) == REFRESH and number + 1 < rounds:
-            rows, recent = checkpointed(_renewed(rows, recent, width, schema)), []
+        if number + 1 < rounds:
+            rows = _renewed(rows, tree, width)
+            rows = rows.persist() if (number + 1) % REFRESH else checkpointed(rows)
+    if held is not None:
+        held.unpersist()
     return BoostedTrees(columns, cuts, trees)
 
 
@@ -228,11 +249,10 @@ def _best_cut(sums: np.ndarray, total: np.ndarray, chosen: Sequence[int], cuts:
     return best
 
 
-def _renewed(rows: DataFrame, trees: Sequence[Tree], width: int, schema: str) -> DataFrame:
-    """Rows with the outputs of the trees added to their margins."""
+def _renewed(rows: DataFrame, tree: Tree, width: int) -> DataFrame:
+    """Rows with the output of the tree added to their margins."""
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            codes = np.frombuffer(b"".join(batch["codes"]), dtype=np.int16).reshape(len(batch), width)
-            yield batch.assign(margin=batch["margin"] + sum((t.output(codes) for t in trees), np.zeros(len(batch))))
+        for codes, y, w, ids, margin in _unpacked(batches, width):
+            yield _packed(codes, y, w, ids, margin + tree.output(codes))
 
-    return rows.mapInPandas(add, schema)
+    return rows.mapInPandas(add, BLOCKS)

@@ -4,7 +4,9 @@ import random
 import numpy as np
 import pytest
 
+from floodgauge.ml import boosting
 from floodgauge.ml.boosting import MISSING, _codes, fit_boosted_trees
+from floodgauge.session import checkpointed
 
 
 def plain(xs, ys, ws, cuts, rounds, depth, rate=0.1, l1=0.0, l2=1.0, least_curvature=1.0):
@@ -96,3 +98,20 @@ def test_one_class_no_rows_and_wrong_weights(spark):
         fit_boosted_trees(df.selectExpr("a", "y", "0.0 AS w"), ["a"], "y", rounds=1, weight="w")
     with pytest.raises(ValueError):
         fit_boosted_trees(df, [], "y")
+
+
+def test_rows_are_passed_in_blocks(spark, monkeypatch):
+    """A pass hands some blocks to each task, not rows; what a round keeps is let go at the end."""
+    rows, counts = spark.range(30_000, numPartitions=3).selectExpr("id", "id % 100 AS a", "cast(id % 100 > 60 AS int) AS y"), []
+
+    def counted(df):
+        done = checkpointed(df)
+        counts.append(done.count())
+        return done
+
+    monkeypatch.setattr(boosting, "checkpointed", counted)
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    model = boosting.fit_boosted_trees(rows, ["a"], "y", rounds=12, depth=1, key=["id"])
+    assert len(model.trees) == 12 and len(counts) == 2 and max(counts) <= 6
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+    assert model.score(rows).filter("predicted <> y").isEmpty()
