@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from floodgauge.functions.expressions import (
@@ -155,16 +156,39 @@ def window_features(
     flows: DataFrame, ts: str = "ts", window_seconds: int = WINDOW_SECONDS, distinct: str = "exact"
 ) -> DataFrame:
     """One row per epoch-aligned window with its key, bounds, flow count and 27 features."""
+    if distinct == "exact":
+        return window_features_by_value(flows, ts, window_seconds)
     grouped = flows.groupBy(F.window(ts, f"{window_seconds} seconds").alias("w"))
     return _keyed(grouped.agg(*traffic_aggregates(window_seconds, distinct)), window_seconds)
 
 
+def _counted_aside(flows: DataFrame, ts: str, window_seconds: int) -> DataFrame:
+    """Sums of windows joined with their distinct counts."""
+    placed, values, measured = flows.withColumn("w", F.window(ts, f"{window_seconds} seconds")), _counted_values(), _measured()
+    kinds = [F.struct(F.lit(i).alias("kind"), c.cast("string").alias("value")) for i, c in enumerate(values.values())]
+    each = placed.select(F.unix_micros(F.col("w.start").cast("timestamp")).alias("_start"), F.inline(F.array(*kinds))).distinct()
+    counts = each.groupBy("_start").agg(*[F.count_if(F.col("kind") == i).alias(name) for i, name in enumerate(values)])
+    sums = placed.groupBy("w").agg(
+        *[c.alias(name) for name, c in _sums().items()],
+        *[F.avg(c).alias(f"_mean_{name}") for name, c in measured.items()], *[F.stddev_pop(c).alias(f"_deviation_{name}") for name, c in measured.items()],
+    )
+    whole = sums.withColumn("_start", F.unix_micros(F.col("w.start").cast("timestamp"))).join(counts, "_start")
+    found = _features(
+        {name: F.col(name) for name in _sums()}, {name: F.col(name) for name in values},
+        lambda name: F.col(f"_mean_{name}"), lambda name: F.col(f"_deviation_{name}"), window_seconds,
+    )
+    return _keyed(whole.select("w", *found), window_seconds)
+
+
 def window_features_by_value(flows: DataFrame, ts: str = "ts", window_seconds: int = WINDOW_SECONDS) -> DataFrame:
     """``window_features`` with exact distinct counts by two aggregations, also on a stream with a watermark.
 
     The first has a row per window and distinct value, the second counts those rows. So the values of a busy window are spread over all tasks and state
-    partitions, and none of them holds a set. Values that occur often are reduced before the shuffle.
+    partitions, and none of them holds a set. Values that occur often are reduced before the shuffle. Off a stream the distinct rows carry nothing but
+    their key, as a task may hold several for each flow, and the sums are made aside, a row per window.
     """
+    if not flows.isStreaming:
+        return _counted_aside(flows, ts, window_seconds)
     size = f"{window_seconds} seconds"
     values = _counted_values()
     kinds = [F.struct(F.lit(0).alias("kind"), F.lit("").alias("value"))]
@@ -225,6 +249,23 @@ def windows_from_steps(steps: DataFrame, step_seconds: int, window_seconds: int,
     )
 
 
+def distinct_in_windows(rows: DataFrame, columns: list[str], step_seconds: int, window_seconds: int, ts: str = "ts") -> DataFrame:
+    """Start and exact distinct counts of each column, for all windows of ``window_seconds`` that start at a multiple of the step and hold a value.
+
+    A value of a step is counted in the windows that reach the step and no earlier step with the value. These follow one another, so nothing is copied into
+    windows but counts. NULL is left out.
+    """
+    length = window_seconds // step_seconds
+    step = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (step_seconds * 1_000_000)).cast("long")
+    kinds = [F.struct(F.lit(i).alias("_kind"), F.col(c).cast("string").alias("_value")) for i, c in enumerate(columns)]
+    each = rows.select(step.alias("_step"), F.inline(F.array(*kinds))).filter("_step IS NOT NULL AND _value IS NOT NULL").distinct()
+    before = F.lag("_step").over(W.partitionBy("_kind", "_value").orderBy("_step"))
+    counts = each.withColumn("_first", F.greatest(F.col("_step") - (length - 1), before + 1)).groupBy("_kind", "_first", "_step").agg(F.count(F.lit(1)).alias("_n"))
+    placed = counts.withColumn("_start", F.explode(F.sequence("_first", "_step")))
+    return placed.groupBy(F.timestamp_seconds(F.col("_start") * step_seconds).alias("start_time")).agg(
+        *[F.coalesce(F.sum(F.when(F.col("_kind") == i, F.col("_n"))), F.lit(0)).alias(c) for i, c in enumerate(columns)])
+
+
 def recent_windows(windows: DataFrame, count: int = 10) -> DataFrame:
     """The latest windows, newest first."""
     return windows.orderBy(F.col("window_key").desc()).limit(count)

@@ -81,3 +81,20 @@ def test_lengths_must_fit(spark):
     for lengths in ((12, None), (10, 3), (10, 20)):
         with pytest.raises(ValueError):
             windows.windows_from_steps(steps, 5, *lengths)
+
+
+def test_windows_equal_distinct_aggregates_and_copy_no_sums(spark):
+    """The rows that are made for each value hold their key only: no Expand of whole flows."""
+    df = spark.createDataFrame(ODD + [(None, *flow(0)[1:])], SCHEMA)
+    grouped = df.groupBy(F.window("ts", "10 seconds").alias("w")).agg(*windows.traffic_aggregates(10))
+    got = windows.window_features(df, window_seconds=10)
+    assert_same(got.select(*[c for c in grouped.columns if c != "w"]), grouped.drop("w"))
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distinct_values_in_sliding_windows(spark):
+    df = spark.createDataFrame(ODD + [flow(47), flow(90, src_ip=None), (None, *flow(0)[1:])], SCHEMA)
+    want = df.groupBy(F.window("ts", "20 seconds", "5 seconds").alias("w")).agg(*[F.countDistinct(c).alias(c) for c in ("src_ip", "src_port")])
+    want = {r.start: (r.src_ip, r.src_port) for r in want.select("w.start", "src_ip", "src_port").collect()}
+    got = {r.start_time: (r.src_ip, r.src_port) for r in windows.distinct_in_windows(df, ["src_ip", "src_port"], 5, 20).collect()}
+    assert got == want and len(got) > 10
