@@ -87,11 +87,11 @@ def sliding_window_features(spark, folder):
     """Features of each day that starts at a full hour, from summaries of hours; estimated numbers of addresses against exact ones."""
     rows = flows(spark, folder)
     found = windows.windows_from_steps(windows.step_summaries(rows, 3600), 3600, 86400, 3600)
-    exact = rows.groupBy(F.window("ts", "24 hours", "1 hour").alias("w")).agg(F.countDistinct("src_ip").alias("src_ips"), F.countDistinct("dst_ip").alias("dst_ips"))
+    exact = windows.distinct_in_windows(rows, ["src_ip", "dst_ip"], 3600, 86400).withColumnsRenamed({"src_ip": "src_ips", "dst_ip": "dst_ips"})
     names = ["total_flows", "total_bytes", "total_packets", "flows_per_second", "unique_src_ports", "unique_dst_ports", "syn_flag_count", "udp_flows", "port_443_flows",
              "bytes_std", "packets_std", "duration_mean", "duration_std"]
     near = [_near(F.col(f"unique_{c}"), F.col(c)).alias(f"{c}_near") for c in _COUNTED[:2]]
-    joined = found.join(exact.select(F.col("w.start").cast("timestamp").alias("start_time"), "src_ips", "dst_ips"), "start_time")
+    joined = found.join(exact, "start_time", "left").fillna(0, ["src_ips", "dst_ips"])
     # Means of few durations lie on rounding borders: see _windows.
     joined = joined.withColumns({c: F.col(c) + 1e-9 for c in ("duration_mean", "duration_std")})
     return tidy(joined.select("start_time", *names, "src_ips", "dst_ips", *near), 4)
