@@ -159,11 +159,13 @@ def fit_isolation_forest(
         return checkpointed(counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n"))
 
     if share < 1.0:
-        # A hash of its own: a split by the same key and seed has left only a range of ``_h``.
-        head = F.pmod(F.xxhash64("_h", F.lit("pool")), F.lit(1 << 32)) / float(1 << 32)
-        pool = copies(hashed.filter(head < share))
-        # Many equal rows share a hash and are in or out together.
-        if pool.limit(samples).count() < samples:
+        # The second is a hash of its own: a split by the same key and seed has left only a range of ``_h``.
+        heads = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double"), F.pmod(F.xxhash64("_h", F.lit("pool")), F.lit(1 << 32)).cast("double")
+        for head in heads:
+            pool = copies(hashed.filter(head / float(1 << 32) < share))
+            if pool.count() >= 0.75 * share * total:  # enough for the sample of each tree
+                break
+        else:  # many equal rows share a hash and are in or out together
             share = 1.0
     if share == 1.0:
         pool = copies(hashed)
