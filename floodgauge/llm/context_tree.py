@@ -4,15 +4,20 @@ A byte is eight binary decisions, made down a binary tree of 255 nodes. For each
 Krichevsky-Trofimov estimate counts zeros and ones. The weighted probability of a node is half its own estimate and half the product of its
 children's, one byte further back; so contexts of all depths are mixed, by how well each did on the training bytes.
 
-The tree holds all contexts of up to two bytes that occur, and at each greater depth the ``NODES`` most frequent ones: its size is bounded (65,793 nodes and
-``NODES`` for each greater depth) whatever was counted. All contexts below a node that are not in the tree share one leaf, so no byte is left out of the counts.
+Two forms. ``sparse_levels`` and ``sparse_chances`` work on the counts of all contexts of ``DEPTH`` bytes that share their two nearest bytes, so the whole tree is worked out in
+pieces of bounded size. A ``Tree`` is held as a whole: all contexts of up to two bytes and a given number at each greater depth; contexts below a node that are not
+in it share one leaf.
+
+A context with its next byte is one number, nearest byte first: ``code``, 40 bits. A node of the binary tree without counts is right half of the time in any context, so a
+context that was never seen needs no node of its own.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-DEPTH, NODES = 4, 8_192
+#: Bytes of the longest context; contexts of that length which are broadcast with all their probabilities (99 % of the bytes of the given texts).
+DEPTH, NODES = 4, 32_768
 #: Stands before a text and ends it; it never occurs in UTF-8.
 EDGE = 0xFF
 CHUNK = 2_048
@@ -152,6 +157,79 @@ class Tree:
         return out
 
 
+def codes(stream: np.ndarray, at: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Context and byte of each place. Bytes further back than ``depth`` are zero: a chain of single children weighs as the last of them."""
+    out = stream[at].astype(np.int64)
+    for d in range(1, depth + 1):
+        out |= stream[at - d].astype(np.int64) << (8 * (DEPTH + 1 - d))
+    return out
+
+
+def added(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each code once, in order, with the sum of its counts."""
+    seen, where = np.unique(code, return_inverse=True)
+    return seen, np.bincount(where, n, len(seen)).astype(np.int64)
+
+
+def weigh(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weight of a node's own estimate, and its weighted probability (logarithm), given its children's."""
+    own = log_estimate(zeros, ones)
+    return 1 / (1 + np.exp(np.clip(below - own, -700, 700))), np.logaddexp(own, below) - np.log(2)
+
+
+def sparse_levels(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+    """For each code and decision its place in the lowest level; then levels of ``DEPTH`` to 2 bytes: context and decision, zeros, ones, own weight, weighted probability, place one level up.
+
+    ``code``: in order and once each, all that occur after the two nearest bytes they have; a count may be 0.
+    """
+    symbol, steps = code & 255, []
+    for node, _ in PATH:
+        steps.append(code & ~255 | node[symbol])
+    pair, where = np.unique(np.concatenate(steps), return_inverse=True)
+    bits = np.concatenate([bit[symbol] for _, bit in PATH])
+    times = np.tile(n, 8).astype(np.float64)
+    ones, zeros = np.bincount(where, times * bits, len(pair)), np.bincount(where, times * (1 - bits), len(pair))
+    levels, weight, weighted = [], None, log_estimate(zeros, ones)
+    for d in range(DEPTH, 1, -1):
+        up = (pair >> 16 << 8) | (pair & 255)
+        parents, link = np.unique(up, return_inverse=True)
+        levels.append((pair, zeros, ones, weight, weighted, link))
+        if d > 2:
+            size = len(parents)
+            zeros, ones, below = np.bincount(link, zeros, size), np.bincount(link, ones, size), np.bincount(link, weighted, size)
+            weight, weighted = weigh(zeros, ones, below)
+            pair = parents
+    return where.reshape(8, -1), levels
+
+
+def sparse_chances(code: np.ndarray, n: np.ndarray, sure: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Base-10 logarithm of the probability of each code's byte. ``sure`` and ``left`` (nearest byte, decision): what contexts of up to one byte add, and the weight left to longer ones."""
+    where, levels = sparse_levels(code, n)
+    pair = levels[-1][0]
+    base, scale = sure[pair >> 16, pair & 255], left[pair >> 16, pair & 255]
+    for d, (_, zeros, ones, weight, _, _) in enumerate(reversed(levels)):
+        if d:
+            link = levels[-1 - d][5]
+            base, scale = base[link], scale[link]
+        one = chance_of_one(zeros, ones)
+        if weight is None:
+            chance = np.clip(base + scale * one, 1e-12, 1 - 1e-12)
+        else:
+            base, scale = base + scale * weight * one, scale * (1 - weight)
+    high, low = np.log10(chance), np.log10(1 - chance)
+    symbol = code & 255
+    return sum(np.where(bit[symbol] == 1, high[place], low[place]) for place, (_, bit) in zip(where, PATH))
+
+
+def top_levels(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``sure`` and ``left`` from the counts after each byte (byte, decision) and the weighted probabilities of its children."""
+    weight, weighted = weigh(zeros, ones, below)
+    zero, one = zeros.sum(axis=0), ones.sum(axis=0)
+    root, _ = weigh(zero, one, weighted.sum(axis=0))
+    left = 1 - root
+    return root * chance_of_one(zero, one) + left * weight * chance_of_one(zeros, ones), left * (1 - weight)
+
+
 def stream_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The texts' bytes one after the other, each between edges; places to predict (bytes and the closing edge); the first of these of each text."""
     line = np.frombuffer(b"".join(b"\xff" * DEPTH + t + b"\xff" for t in texts), np.uint8)

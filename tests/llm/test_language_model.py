@@ -115,3 +115,21 @@ def test_query(spark, folder):
         assert r.base_score == pytest.approx(base, rel=1e-9)
     held = [r for r in got if r.held_out and r.n_tokens > 20]
     assert np.mean([r.bits_per_byte for r in held]) < 4
+
+
+@pytest.mark.parametrize("nodes", [0, 6, 32_768])
+def test_every_context_counts_whatever_is_broadcast(spark, nodes):
+    draw = random.Random(5)
+    docs = [(i, "".join(draw.choice("aab b") for _ in range(draw.randrange(0, 25)))) for i in range(16)] + [(16, "zz ab"), (17, "")]
+    learn = lambda i: i % 4 != 1 and i < 16
+    texts = [t.encode() for i, t in docs if learn(i)]
+    lines = [bytes([ct.EDGE] * ct.DEPTH) + t + bytes([ct.EDGE]) for t in texts]
+    every = {line[i - d : i][::-1] for line in lines for i in range(ct.DEPTH, len(line)) for d in range(ct.DEPTH + 1)}
+    brute = Brute(texts, {tuple(c) for c in every}, ct.DEPTH)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = {r.id: r.score for r in lm.scored(df, (F.col("doc_id") % 4 != 1) & (F.col("doc_id") < 16), nodes=nodes).collect()}
+    assert len(got) == len(docs)
+    for i, t in [d for d in docs if d[0] in (0, 1, 5, 16, 17)]:
+        line = bytes([ct.EDGE] * ct.DEPTH) + t.encode() + bytes([ct.EDGE])
+        want = sum(brute.log10_next(tuple(line[p - 4 : p][::-1]), line[p]) for p in range(ct.DEPTH, len(line)))
+        assert got[i] == pytest.approx(want, abs=1e-4)
