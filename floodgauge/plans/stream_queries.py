@@ -30,6 +30,25 @@ END = "(end)"
 PIECES, LOOKS = 4, 2
 
 
+#: Rows of a micro-batch that one task writes, and reads again.
+FILE_ROWS = 500_000
+
+
+def delivered(spark: SparkSession, placed: DataFrame, part: str, parts: int, target: str, file_rows: int = FILE_ROWS) -> int:
+    """Writes the rows of each part, in the order of the parts, in the same number of files; gives that number, which makes each part a micro-batch."""
+    rows = placed.drop(part)
+    sizes = [r["count"] for r in placed.filter(F.col(part).between(0, parts - 1)).groupBy(part).count().collect()]
+    files = max(1, -(-max(sizes, default=0) // file_rows))
+    # One after the other: files are read in the order of their times.
+    for k in range(parts):
+        chosen = placed.filter(F.col(part) == k).drop(part)
+        (chosen.coalesce(1) if files == 1 else chosen.repartition(files)).write.mode("append").parquet(target)
+        # A task without rows writes no file.
+        for _ in range(len(spark.read.schema(rows.schema).parquet(target).inputFiles()), (k + 1) * files):
+            spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(target)
+    return files
+
+
 def disordered(spark: SparkSession, rows: DataFrame, ts: str, key: str, batches: int = BATCHES, late_seconds: int = LATE_SECONDS, closing: dict | None = None) -> DataFrame:
     """A stream of the rows in so many micro-batches; each row comes up to ``late_seconds`` after its time, so neighbours overlap and nothing is in order.
 
@@ -41,14 +60,12 @@ def disordered(spark: SparkSession, rows: DataFrame, ts: str, key: str, batches:
     step = ((last or 0) - (first or 0)) // batches + 1
     delay = F.pmod(F.xxhash64(F.col(key), moment), F.lit(late_seconds * 1_000_000))
     placed = rows.withColumn("_part", F.greatest(F.lit(0), F.floor((moment + delay - F.lit(first or 0)) / step)).cast("int"))
-    # One after the other: files are read in the order of their times.
-    for part in range(batches + 1):
-        placed.filter(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(target)
+    files = delivered(spark, placed, "_part", batches + 1, target)
     if closing is not None:
         end = [F.lit(closing.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != ts]
         far = F.timestamp_micros(F.lit((last or 0) + 1_000_000_000_000)).cast(rows.schema[ts].dataType).alias(ts)
         spark.range(1).select(*end, far).select(rows.columns).coalesce(1).write.mode("append").parquet(target)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(target)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(target)
 
 
 @query("stream_reputation", with_views(("threats",), """

@@ -5,86 +5,141 @@ machine. A timer at the earliest waiting row, or at the machine's own due time,
 cut into micro-batches. Rows that are not newer than the watermark of the micro-batch before are late; Spark drops and counts them. Rows newer than the last
 watermark are still waiting when a stream ends.
 
-A key's state holds the rows of the allowed lateness and what the machine keeps. All rows of a key in a micro-batch pass through one task.
+Keys are dealt by hash over ``BUCKETS`` states, as calling Python for a state costs far more than the few rows that a key of many has in a micro-batch. A state holds, for all its keys, the
+rows of the allowed lateness and what the machine keeps; it is written anew when any of its keys gets rows or is due. All rows of a key in a micro-batch pass through one
+task, as plain columns; they reach the machine, and its output leaves, in slices of ``SLICE``.
 """
 
 from __future__ import annotations
 
-import json
+import pickle
 from collections.abc import Iterator, Sequence
+from itertools import chain
 from typing import Any, Protocol
 
+import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE = "kept string, waiting binary"
+STATE = "held binary"
+SLICE, BUCKETS = 10_000, 512
+Columns = dict[str, np.ndarray]
 
 
 class Machine(Protocol):
-    """``kept`` is what the machine remembers of a key: a value JSON can hold, or None."""
+    """``kept`` is what the machine remembers of a key: a value of plain Python, or None. Output is columns by name, as arrays or lists, or None."""
 
-    def step(self, key: tuple, kept: Any, rows: pd.DataFrame) -> tuple[Any, pd.DataFrame | None]:
-        """Takes the next rows of the key, in order."""
+    def step(self, key: tuple, kept: Any, rows: Columns) -> tuple[Any, dict | None]:
+        """Takes the next rows of the key, in order; they may be some of those that are ready."""
 
     def due(self, kept: Any) -> int | None:
         """Microsecond after which ``expire`` has something to do without further rows."""
 
-    def expire(self, key: tuple, kept: Any, now: int) -> tuple[Any, pd.DataFrame | None]:
+    def expire(self, key: tuple, kept: Any, now: int) -> tuple[Any, dict | None]:
         """Called once every row up to ``now`` has been seen and ``due`` is not later."""
 
 
-def micros(times: pd.Series) -> pd.Series:
-    return times.astype("datetime64[us]").astype("int64")
+def micros(times: np.ndarray) -> np.ndarray:
+    return times.astype("datetime64[us]").astype(np.int64)
 
 
-def _packed(rows: pd.DataFrame) -> bytes:
-    table = pa.Table.from_pandas(rows, preserve_index=False)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return sink.getvalue().to_pybytes()
+def _joined(parts: list[Columns]) -> Columns:
+    """One column after the other; the parts are emptied."""
+    return parts[0] if len(parts) == 1 else {c: np.concatenate([p.pop(c) for p in parts]) for c in list(parts[0])}
 
 
-def _update(machine: Machine, ts: str, order: Sequence[str]):
-    def run(key: Any, blocks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text, stored = state.get if state.exists else (None, None)
-        kept, waiting = json.loads(text) if text else None, []
-        if stored:
-            with pa.ipc.open_stream(stored) as reader:
-                waiting.append(reader.read_pandas())
+def _sorted(keys: list[np.ndarray]) -> np.ndarray:
+    """Places in the order of the keys, missing values last."""
+    if any(k.dtype == object for k in keys):
+        return pd.DataFrame(dict(enumerate(keys))).sort_values(list(range(len(keys))), kind="stable").index.to_numpy()
+    return np.lexsort(keys[::-1])
+
+
+def _by_key(columns: list[np.ndarray]) -> np.ndarray:
+    """Numbers that are the same where the keys are; a missing value is a key."""
+    found = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        part, seen = pd.factorize(c, use_na_sentinel=False)
+        found = pd.factorize(found * len(seen) + part)[0]
+    return found
+
+
+def _table(found: list[dict]) -> pd.DataFrame:
+    whole = {}
+    for c in found[0]:
+        pieces = [f[c] for f in found]
+        whole[c] = np.concatenate(pieces) if all(isinstance(p, np.ndarray) for p in pieces) else list(chain.from_iterable(pieces))
+    return pd.DataFrame(whole)
+
+
+def _plain(value: Any) -> Any:
+    value = value.item() if isinstance(value, np.generic) else value
+    return None if value != value else value
+
+
+def _found(machine: Machine, keys: Sequence[str], ts: str, order: Sequence[str], kept: dict, rows: Columns | None, now: int) -> Iterator[dict]:
+    """Output of the ready rows and of what is due; ``kept`` is brought up to date."""
+    if rows is not None:
+        moment = micros(rows[ts])
+        ready = np.flatnonzero(moment <= now)
+        group = _by_key([rows[c][ready] for c in keys])
+        place = _sorted([group, moment[ready], *(rows[c][ready] for c in order)])
+        ready, group = ready[place], group[place]
+        ends = np.flatnonzero(np.diff(group, append=-1)) + 1
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            key = tuple(_plain(rows[c][ready[a]]) for c in keys)
+            for low in range(a, b, SLICE):
+                these = ready[low : min(low + SLICE, b)]
+                kept[key], out = machine.step(key, kept.get(key), {c: v[these] for c, v in rows.items()})
+                yield out
+    for key, value in list(kept.items()):
+        due = machine.due(value) if value is not None else None
+        if due is not None and due <= now:
+            value, out = machine.expire(key, value, now)
+            yield out
+        if value is None:
+            del kept[key]
+        else:
+            kept[key] = value
+
+
+def _update(machine: Machine, keys: Sequence[str], ts: str, order: Sequence[str]):
+    def run(bucket: Any, blocks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept, rest = pickle.loads(state.get[0]) if state.exists else ({}, None)
+        parts = [rest] if rest else []
         if not state.hasTimedOut:
-            waiting += [b for b in blocks if len(b)]
+            parts += [{c: b[c].to_numpy() for c in b.columns if c != "_bucket"} for b in blocks if len(b)]
         now = max(0, state.getCurrentWatermarkMs()) * 1000
-        rest = None
-        if waiting:
-            rows = pd.concat(waiting, ignore_index=True) if len(waiting) > 1 else waiting[0]
-            rows = rows.sort_values([ts, *order], kind="stable", ignore_index=True)
-            ready = int((micros(rows[ts]) <= now).sum())
-            if ready:
-                kept, out = machine.step(key, kept, rows.iloc[:ready].reset_index(drop=True))
-                if out is not None and len(out):
-                    yield out
-            rest = rows.iloc[ready:]
-        due = machine.due(kept) if kept is not None else None
-        if due is not None and due <= now:
-            kept, out = machine.expire(key, kept, now)
-            if out is not None and len(out):
-                yield out
-            due = machine.due(kept) if kept is not None else None
-        times = [t for t in (int(micros(rest[ts]).iloc[0]) if rest is not None and len(rest) else None, due) if t is not None]
-        if kept is None and not times:
+        rows = _joined(parts) if parts else None
+        held, size = [], 0
+        for out in _found(machine, keys, ts, order, kept, rows, now):
+            if out is not None:
+                held.append(out)
+                size += len(next(iter(out.values())))
+                if size >= SLICE:
+                    yield _table(held)
+                    held, size = [], 0
+        if size:
+            yield _table(held)
+        later = np.flatnonzero(micros(rows[ts]) > now) if rows is not None else ()
+        rest = {c: v[later] for c, v in rows.items()} if len(later) else None
+        times = [t for t in map(machine.due, kept.values()) if t is not None]
+        if rest:
+            times.append(int(micros(rest[ts]).min()))
+        if not kept and not times:
             if state.exists:
                 state.remove()
             return
-        state.update((json.dumps(kept), _packed(rest) if rest is not None and len(rest) else None))
+        state.update((pickle.dumps((kept, rest), protocol=5),))
         if times:
             state.setTimeoutTimestamp(max(min(times) // 1000, now // 1000 + 1))
 
     return run
 
 
-def in_event_order(rows: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], machine: Machine, output: str) -> DataFrame:
+def in_event_order(rows: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], machine: Machine, output: str, buckets: int = BUCKETS) -> DataFrame:
     """Output of the machine over the rows of each key; ``rows`` has a watermark on ``ts``, and ``order`` sorts rows of the same instant."""
-    return rows.groupBy(*keys).applyInPandasWithState(_update(machine, ts, list(order)), output, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    return dealt.groupBy("_bucket").applyInPandasWithState(_update(machine, list(keys), ts, list(order)), output, STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floodgauge.streaming.event_order import in_event_order, micros
+from floodgauge.streaming.event_order import Columns, in_event_order, micros
 from floodgauge.streaming.windows import WATERMARK_SECONDS, event_time
 
 DAY = 86_400
@@ -20,7 +19,7 @@ class OpenStart:
     def __init__(self, wait_seconds: int):
         self.wait = wait_seconds * 1_000_000
 
-    def step(self, key: tuple, kept: Any, rows: pd.DataFrame):
+    def step(self, key: tuple, kept: Any, rows: Columns):
         out, start = [], kept
         for moment, kind in zip(micros(rows["ts"]).tolist(), rows["kind"].tolist()):
             if kind == 0:
@@ -29,7 +28,7 @@ class OpenStart:
                 if moment - start <= self.wait:
                     out.append((key[0], start, moment))
                 start = None  # used up, or too old
-        return start, pd.DataFrame(out, columns=["flow", "start", "end"])
+        return start, dict(zip(("flow", "start", "end"), map(list, zip(*out)))) if out else None
 
     def due(self, kept: Any) -> int:
         return kept + self.wait

@@ -3,7 +3,7 @@
 Two forms with the results of ``reputation_history``, whatever the order of arrival within the allowed lateness:
 
 * ``stream_reputation``: keyed state that takes the threats of an address in event-time order. All threats of an
-  address in a micro-batch pass through one task; the source's rate limit bounds them.
+  address in a micro-batch pass through one task, as columns; the source's rate limit bounds them.
 * ``ReputationBatches``: threats wait in a table until the watermark has passed them, then go through the batch operator together with the state
   table left by the micro-batch before. An address with a large part of the traffic is summed by pieces of time first and spread over many
   tasks, which makes this the form for very skewed streams.
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from typing import Any
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +27,7 @@ from floodgauge.operators.reputation import (
     ttl_seconds,
 )
 from floodgauge.sources.keyed_state import KeyedState
-from floodgauge.streaming.event_order import in_event_order, micros
+from floodgauge.streaming.event_order import Columns, in_event_order, micros
 from floodgauge.streaming.windows import event_time
 
 OUTPUT = (
@@ -48,19 +48,17 @@ def _lifetime(total: float) -> int:
 class Reputation:
     """Sum of scores, validations and last moment of an address; an entry that has expired is forgotten."""
 
-    def step(self, key: tuple, kept: Any, rows: pd.DataFrame):
+    def step(self, key: tuple, kept: Any, rows: Columns):
         total, validations, last = kept or (0.0, 0, None)
         totals, counts = [], []
-        for moment, score in zip(micros(rows["ts"]).tolist(), rows["score"].fillna(0.0).tolist()):
+        for moment, score in zip(micros(rows["ts"]).tolist(), np.nan_to_num(rows["score"].astype(np.float64), posinf=np.inf, neginf=-np.inf).tolist()):
             if last is not None and moment - last >= _lifetime(total):
                 total, validations = 0.0, 0
             total, validations, last = total + score, validations + 1, moment
             totals.append(total)
             counts.append(validations)
-        out = rows[FIELDS].copy()
-        out["reputation_score"] = [round(min(1.0, SCORE_WEIGHT * t), DIGITS) for t in totals]
-        out["validations"] = counts
-        return (total, validations, last), out
+        reputation = np.array([round(min(1.0, SCORE_WEIGHT * t), DIGITS) for t in totals])
+        return (total, validations, last), {c: rows[c] for c in FIELDS} | {"reputation_score": reputation, "validations": np.array(counts)}
 
     def due(self, kept: Any) -> int:
         return kept[2] + _lifetime(kept[0])

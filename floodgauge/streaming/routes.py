@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floodgauge.operators.mitigation import DEFAULT_TTL, withdraw_text
-from floodgauge.streaming.event_order import in_event_order, micros
+from floodgauge.streaming.event_order import Columns, in_event_order, micros
 from floodgauge.streaming.windows import event_time
 
 
@@ -22,19 +21,22 @@ class Life:
     def _withdrawn(self, key: tuple, kept: Any) -> list[tuple]:
         return [(key[0], kept[1], kept[0])]
 
-    def step(self, key: tuple, kept: Any, rows: pd.DataFrame):
+    def _columns(self, rows: list[tuple]) -> dict:
+        return dict(zip(self.columns, map(list, zip(*rows))))
+
+    def step(self, key: tuple, kept: Any, rows: Columns):
         out = []
         for moment, kind, ttl in zip(micros(rows["timestamp"]).tolist(), rows["route_type"].tolist(), rows["ttl"].tolist()):
             if kept is not None and moment > kept[0]:  # an announcement exactly at the end still counts
                 out += self._withdrawn(key, kept)
             kept = (moment + int(ttl) * 1_000_000, kind)
-        return kept, pd.DataFrame(out, columns=self.columns)
+        return kept, self._columns(out) if out else None
 
     def due(self, kept: Any) -> int:
         return kept[0]
 
     def expire(self, key: tuple, kept: Any, now: int):
-        return None, pd.DataFrame(self._withdrawn(key, kept), columns=self.columns)
+        return None, self._columns(self._withdrawn(key, kept))
 
 
 def stream_withdrawals(

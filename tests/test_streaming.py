@@ -1,10 +1,11 @@
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from floodgauge.operators import latency, mitigation, reputation, windows
-from floodgauge.plans.stream_queries import disordered
+from floodgauge.plans.stream_queries import delivered, disordered
 from floodgauge.plans.views import flows, threats
 from floodgauge.streaming.reputation import FIELDS, ReputationBatches, stream_reputation
 from floodgauge.streaming.routes import stream_withdrawals
@@ -204,3 +205,40 @@ def test_latency_stream(spark):
 def test_starts_are_forgotten(spark):
     starts, ends = (in_files(spark, [seconds(spark, rows, "flow_id long"), seconds(spark, [(900_000, -1)], "flow_id long")]) for rows in ([(0, 1), (0, 2)], [(300, 1), (301, 2)]))
     assert [r["flow_id"] for r in run(stream_latencies(starts, ends, wait_seconds=300), "l2").collect()] == [1]
+
+
+def test_keys_that_share_a_state_stay_apart(spark, monkeypatch):
+    """Many keys, one call: no key takes another's rows, and the calls do not grow with the keys."""
+    from floodgauge.streaming import event_order
+
+    monkeypatch.setattr(event_order, "SLICE", 3)
+    kept, seen = {}, []
+
+    class Last:
+        def step(self, key, kept, rows):
+            seen.append(len(rows["n"]))
+            return rows["n"][-1].item(), {"k": [key[0]] * len(rows["n"]), "before": [kept, *rows["n"][:-1].tolist()]}
+
+        def due(self, kept):
+            return None
+
+    n = 40
+    rows = {"k": np.array(["a", "b", None, "a"] * 10, object), "ts": np.datetime64("2024-01-01", "ns") + np.arange(n)[::-1] * np.timedelta64(1, "s"), "n": np.arange(n)}
+    now = int(rows["ts"].max().astype("datetime64[us]").astype(int)) - 2_000_000  # two rows wait
+    found = event_order._table(list(event_order._found(Last(), ["k"], "ts", ["n"], kept, rows, now)))
+    assert max(seen) == 3 and len(found) == n - 2
+    for k in ("a", "b", None):
+        own = [i for i in range(n) if rows["k"][i] == k and (n - 1 - i) <= n - 3][::-1]
+        part = found[found["k"].isna() if k is None else found["k"] == k]
+        assert [None if b != b else int(b) for b in part["before"]] == [None, *own[:-1]] and kept[(k,)] == own[-1]
+
+
+def test_each_part_is_as_many_files(spark):
+    rows = spark.range(1000).withColumn("part", F.when(F.col("id") < 3, 1).otherwise(0))
+    path = tempfile.mkdtemp(prefix="run-")
+    files = delivered(spark, rows, "part", 3, path, file_rows=100)
+    assert files == 10 and len(spark.read.parquet(path).inputFiles()) == 30
+    sizes = []
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", files).parquet(path)
+    q = stream.writeStream.foreachBatch(lambda b, i: sizes.append(b.count())).option("checkpointLocation", tempfile.mkdtemp(prefix="run-")).trigger(availableNow=True).start()
+    assert q.awaitTermination(180) and sizes == [997, 3, 0]
