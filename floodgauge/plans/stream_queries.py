@@ -219,8 +219,7 @@ def live_detection_versions(spark, folder):
     rows = flows(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
     logs = rows.drop("event_type", "user_id", "value", "k")
     target, source = scratch_path(spark, "detection"), scratch_path(spark, "detection-input")
-    for part in range(len(_TAUGHT)):
-        logs.filter(F.col("flow_id") % len(_TAUGHT) == part).coalesce(1).write.mode("append").parquet(source)
+    files = delivered(spark, logs.withColumn("_part", F.col("flow_id") % len(_TAUGHT)), "_part", len(_TAUGHT), source)
     known = checkpointed(flow_features(rows.withColumn("_kind", F.col("event_type")), keep=("flow_id", "_kind")))
     forest = fit_isolation_forest(known, FLOW_FEATURES, key=["flow_id"])
     found = LiveDetection(f"{target}/models", target)
@@ -234,7 +233,7 @@ def live_detection_versions(spark, folder):
         registry.save_detector(spark, registry.Detector(packages, forest, level, version), f"{target}/models")
         found(batch, batch_id)
 
-    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", files).parquet(source)
     running = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
     if not running.awaitTermination(WAIT_SECONDS):
         running.stop()
