@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,40 @@ def test_neighbours_across_pieces(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_intervals_across_many_pieces(spark, monkeypatch):
+    """Pieces by the number of points: classes that are rare in all of them, intervals over several, and values that repeat."""
+    monkeypatch.setattr(selection, "PIECE_POINTS", 15)
+    rng = random.Random(11)
+    labels = ["dense"] * 250 + ["rare"] * 6 + ["two"] * 2 + ["far"] * 4 + [None] * 3
+    rows = [(rng.gauss(0, 1) if y != "far" else 50 + rng.random(), float(rng.randrange(40)), y) for y in labels]
+    got = scores(spark, rows, ("a", "b"))
+    for i, c in enumerate("ab"):
+        assert got[c] == pytest.approx(plain([r[i] for r in rows], labels), abs=1e-9), c
+
+
+def test_a_piece_settles_its_points():
+    """Only points near its ends are left to the steps that look at all pieces; each point was sorted and exploded there before."""
+    rng = np.random.default_rng(4)
+    size = 3000
+    labels = [["x", "y", None][i % 3] for i in range(size)]
+    xs = rng.normal(size=size)
+    columns = {"position": pa.array([0] * size, pa.int32()), "label": pa.array(labels), "x": pa.array(xs), "n": pa.array([1] * size), "of_class": pa.array([size // 3] * size),
+               "_slot": pa.array([5] * size, pa.int32())}
+    batches = pa.RecordBatch.from_pydict(columns)
+    piece, *told = selection._settled(3)(iter([batches.slice(0, 1000), batches.slice(1000)]))
+    assert piece.select(["slot", "position", "x", "high", "n"]).to_pylist() == [{"slot": 5, "position": 0, "x": xs.min(), "high": xs.max(), "n": size}]
+    found = pa.Table.from_batches(told).to_pylist()
+    left = [r for r in found if r["is_open"]]
+    assert 0 < len(left) < 60 and len(found) < 80
+    total = 0.0
+    for i in set(range(size)) - {int(np.flatnonzero(xs == r["x"])[0]) for r in left}:
+        away = np.abs(xs - xs[i])
+        own = np.sort(away[i % 3 :: 3])
+        radius = own[3] * (1 + selection.SAME)
+        total += psi(3) - psi(size // 3) - psi(int((away <= radius).sum()) - 1)
+    assert piece["settled"][0].as_py() == pytest.approx(total, rel=1e-9)
+
+
 def test_missing_values_and_empty_tables(spark):
     rows = [(1.0, "x"), (2.0, "x"), (None, "x"), (float("nan"), "y"), (float("inf"), "y"), (1.5, "y"), (-0.0, "y"), (0.0, "y")]
     finite = [(v, y) for v, y in rows if v is not None and math.isfinite(v)]
