@@ -7,7 +7,8 @@ watermark are still waiting when a stream ends.
 
 Keys are dealt by hash over ``BUCKETS`` states, as calling Python for a state costs far more than the few rows that a key of many has in a micro-batch. A state holds, for all its keys, the
 rows of the allowed lateness and what the machine keeps; it is written anew when any of its keys gets rows or is due. All rows of a key in a micro-batch pass through one
-task, as plain columns; they reach the machine, and its output leaves, in slices of ``SLICE``.
+task, which holds them as columns of plain numbers and codes of repeated values, and its state compressed, as Spark hands the state on anew with every batch of rows. They are sorted by time in
+parts of ``PART`` and put in order by ranges of time, of about ``RANGE`` rows; they reach the machine, and its output leaves, in slices of ``SLICE``.
 """
 
 from __future__ import annotations
@@ -15,19 +16,30 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator, Sequence
 from itertools import chain
-from typing import Any, Protocol
+from typing import Any, NamedTuple, Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE = "held binary"
-SLICE, BUCKETS = 10_000, 512
+SLICE, RANGE, PART, BUCKETS = 10_000, 50_000, 100_000, 512
 Columns = dict[str, np.ndarray]
 
 
+class Coded(NamedTuple):
+    """A column of objects that repeat; code -1 is a missing value."""
+
+    codes: np.ndarray
+    values: np.ndarray
+
+
+Part = dict[str, np.ndarray | Coded]
+
+
 class Machine(Protocol):
     """``kept`` is what the machine remembers of a key: a value of plain Python, or None. Output is columns by name, as arrays or lists, or None."""
 
@@ -45,9 +57,73 @@ def micros(times: np.ndarray) -> np.ndarray:
     return times.astype("datetime64[us]").astype(np.int64)
 
 
-def _joined(parts: list[Columns]) -> Columns:
-    """One column after the other; the parts are emptied."""
-    return parts[0] if len(parts) == 1 else {c: np.concatenate([p.pop(c) for p in parts]) for c in list(parts[0])}
+def _coded(column: np.ndarray) -> np.ndarray | Coded:
+    if column.dtype != object:
+        return column
+    try:
+        codes, values = pd.factorize(column)
+    except TypeError:  # lists and the like
+        return column
+    return Coded(codes.astype(np.min_scalar_type(-max(1, len(values)))), values) if 2 * len(values) <= len(column) else column
+
+
+def _plain_column(column: np.ndarray | Coded, a: int = 0, b: int | None = None) -> np.ndarray:
+    return np.concatenate([column.values, np.array([None], object)])[column.codes[a:b]] if isinstance(column, Coded) else column[a:b]
+
+
+def _part(columns: list[Columns | Part], ts: str, begins: list[int]) -> Part:
+    """The rows of all, from these places on, by time. The columns are taken out of where they come from, one after the other."""
+    joined = lambda c: np.concatenate([_plain_column(p.pop(c), a) for p, a in zip(columns, begins)])
+    names = [c for c in columns[0] if c != ts]
+    times = joined(ts)
+    order = np.argsort(micros(times), kind="stable")
+    return {ts: times[order]} | {c: _coded(joined(c)[order]) for c in names}
+
+
+def _ranges(parts: list[Part], ts: str, now: int) -> Iterator[Columns | list[int]]:
+    """The rows up to ``now`` by ranges of time; last, for each part, the place where the others begin."""
+    sample = np.sort(np.concatenate([(m := micros(p[ts][::100]))[m <= now] for p in parts]))
+    # Rows of the same moment stay together.
+    cuts = [*np.unique(sample[:: max(1, RANGE // 100)][1:]).tolist(), now]
+    places = [[0, *np.searchsorted(micros(p[ts]), cuts, "right").tolist()] for p in parts]
+    for k in range(len(cuts)):
+        chosen = [(p, at[k], at[k + 1]) for p, at in zip(parts, places) if at[k + 1] > at[k]]
+        if chosen:
+            yield {c: np.concatenate([_plain_column(p[c], a, b) for p, a, b in chosen]) for c in parts[0]}
+    yield [at[-1] for at in places]
+
+
+def _parts(blocks: Iterator[pd.DataFrame], ts: str) -> Iterator[Part]:
+    held, size = [], 0
+    for b in blocks:
+        if len(b):
+            # Columns may be views of what Spark has read, the state at its side included; copies let go of it.
+            held.append({c: b[c].to_numpy(copy=True) for c in b.columns if c != "_bucket"})
+            size += len(b)
+            if size >= PART:
+                yield _part(held, ts, [0] * len(held))
+                held, size = [], 0
+    if held:
+        yield _part(held, ts, [0] * len(held))
+
+
+def _squeezed(value: Any) -> tuple[int, bytes]:
+    plain = pickle.dumps(value, protocol=5)
+    return len(plain), pa.compress(plain, codec="zstd", asbytes=True)
+
+
+def _unsqueezed(size: int, squeezed: bytes) -> Any:
+    return pickle.loads(pa.decompress(squeezed, decompressed_size=size, codec="zstd"))
+
+
+def _dumped(kept: dict, rest: Part) -> bytes:
+    """The columns are taken out of ``rest``, one after the other."""
+    return pickle.dumps((_squeezed(kept), {c: _squeezed(rest.pop(c)) for c in list(rest)}), protocol=5)
+
+
+def _loaded(held: bytes) -> tuple[dict, Part]:
+    kept, rest = pickle.loads(held)
+    return _unsqueezed(*kept), {c: _unsqueezed(*v) for c, v in rest.items()}
 
 
 def _sorted(keys: list[np.ndarray]) -> np.ndarray:
@@ -79,21 +155,26 @@ def _plain(value: Any) -> Any:
     return None if value != value else value
 
 
-def _found(machine: Machine, keys: Sequence[str], ts: str, order: Sequence[str], kept: dict, rows: Columns | None, now: int) -> Iterator[dict]:
+def _stepped(machine: Machine, keys: Sequence[str], ts: str, order: Sequence[str], kept: dict, rows: Columns, now: int) -> Iterator[dict | None]:
+    """Output of the ready rows; ``kept`` is brought up to date."""
+    moment = micros(rows[ts])
+    ready = np.flatnonzero(moment <= now)
+    group = _by_key([rows[c][ready] for c in keys])
+    place = _sorted([group, moment[ready], *(rows[c][ready] for c in order)])
+    ready, group = ready[place], group[place]
+    ends = np.flatnonzero(np.diff(group, append=-1)) + 1
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        key = tuple(_plain(rows[c][ready[a]]) for c in keys)
+        for low in range(a, b, SLICE):
+            these = ready[low : min(low + SLICE, b)]
+            kept[key], out = machine.step(key, kept.get(key), {c: v[these] for c, v in rows.items()})
+            yield out
+
+
+def _found(machine: Machine, keys: Sequence[str], ts: str, order: Sequence[str], kept: dict, rows: Columns | None, now: int) -> Iterator[dict | None]:
     """Output of the ready rows and of what is due; ``kept`` is brought up to date."""
     if rows is not None:
-        moment = micros(rows[ts])
-        ready = np.flatnonzero(moment <= now)
-        group = _by_key([rows[c][ready] for c in keys])
-        place = _sorted([group, moment[ready], *(rows[c][ready] for c in order)])
-        ready, group = ready[place], group[place]
-        ends = np.flatnonzero(np.diff(group, append=-1)) + 1
-        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
-            key = tuple(_plain(rows[c][ready[a]]) for c in keys)
-            for low in range(a, b, SLICE):
-                these = ready[low : min(low + SLICE, b)]
-                kept[key], out = machine.step(key, kept.get(key), {c: v[these] for c, v in rows.items()})
-                yield out
+        yield from _stepped(machine, keys, ts, order, kept, rows, now)
     for key, value in list(kept.items()):
         due = machine.due(value) if value is not None else None
         if due is not None and due <= now:
@@ -107,14 +188,23 @@ def _found(machine: Machine, keys: Sequence[str], ts: str, order: Sequence[str],
 
 def _update(machine: Machine, keys: Sequence[str], ts: str, order: Sequence[str]):
     def run(bucket: Any, blocks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept, rest = pickle.loads(state.get[0]) if state.exists else ({}, None)
-        parts = [rest] if rest else []
+        kept, rest = _loaded(state.get[0]) if state.exists else ({}, {})
+        parts, begins = [rest] if rest else [], []
+        rest = {}
         if not state.hasTimedOut:
-            parts += [{c: b[c].to_numpy() for c in b.columns if c != "_bucket"} for b in blocks if len(b)]
+            parts += _parts(blocks, ts)
         now = max(0, state.getCurrentWatermarkMs()) * 1000
-        rows = _joined(parts) if parts else None
+
+        def found() -> Iterator[dict | None]:
+            for rows in _ranges(parts, ts, now) if parts else ():
+                if isinstance(rows, dict):
+                    yield from _stepped(machine, keys, ts, order, kept, rows, now)
+                else:
+                    begins.extend(rows)
+            yield from _found(machine, keys, ts, order, kept, None, now)
+
         held, size = [], 0
-        for out in _found(machine, keys, ts, order, kept, rows, now):
+        for out in found():
             if out is not None:
                 held.append(out)
                 size += len(next(iter(out.values())))
@@ -123,16 +213,19 @@ def _update(machine: Machine, keys: Sequence[str], ts: str, order: Sequence[str]
                     held, size = [], 0
         if size:
             yield _table(held)
-        later = np.flatnonzero(micros(rows[ts]) > now) if rows is not None else ()
-        rest = {c: v[later] for c, v in rows.items()} if len(later) else None
+        later = [(p, a) for p, a in zip(parts, begins) if a < len(p[ts])]
+        parts.clear()
+        if later:
+            rest = _part([p for p, _ in later], ts, [a for _, a in later])
+        later.clear()
         times = [t for t in map(machine.due, kept.values()) if t is not None]
         if rest:
-            times.append(int(micros(rest[ts]).min()))
+            times.append(int(micros(rest[ts][:1])[0]))
         if not kept and not times:
             if state.exists:
                 state.remove()
             return
-        state.update((pickle.dumps((kept, rest), protocol=5),))
+        state.update((_dumped(kept, rest),))
         if times:
             state.setTimeoutTimestamp(max(min(times) // 1000, now // 1000 + 1))
 

@@ -242,3 +242,88 @@ def test_each_part_is_as_many_files(spark):
     stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", files).parquet(path)
     q = stream.writeStream.foreachBatch(lambda b, i: sizes.append(b.count())).option("checkpointLocation", tempfile.mkdtemp(prefix="run-")).trigger(availableNow=True).start()
     assert q.awaitTermination(180) and sizes == [997, 3, 0]
+
+
+def called(run, blocks, held, now_ms):
+    """One call of a state's function, as Spark makes it: its output, and the state that it leaves."""
+    from pyspark.sql.streaming.state import GroupState
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    state = GroupState(
+        optionalValue=(held,) if held else None, batchProcessingTimeMs=0, eventTimeWatermarkMs=now_ms, timeoutConf="EventTimeTimeout", hasTimedOut=False, watermarkPresent=True,
+        defined=held is not None, updated=False, removed=False, timeoutTimestamp=-1, keyAsUnsafe=b"", valueSchema=StructType([StructField("held", BinaryType())]))
+    out = list(run((0,), iter(blocks), state))
+    return [r for o in out for r in o.itertuples(index=False)], state.get[0] if state.exists else None
+
+
+def test_rows_wait_as_numbers_and_pass_by_ranges_of_time(monkeypatch):
+    """Rows out of order, in three micro-batches: the same output as of all at once, from a state that holds repeated strings once and is compressed."""
+    import pandas as pd
+
+    from floodgauge.streaming import event_order
+
+    class Numbered:
+        def step(self, key, kept, rows):
+            kept = (kept or 0) + len(rows["n"])
+            return kept, {"k": rows["k"], "kind": rows["kind"], "n": rows["n"], "last": [kept] * len(rows["n"])}
+
+        def due(self, kept):
+            return None
+
+    size = 6000
+    rng = np.random.default_rng(2)
+    ms = rng.integers(1, 2000, size)  # many rows of the same moment
+    rows = pd.DataFrame({
+        "_bucket": 0, "k": np.array(["a", "b", None], object)[rng.integers(0, 3, size)], "ts": pd.to_datetime(ms, unit="ms"), "n": np.arange(size),
+        "kind": np.array(["supervised", "unsupervised", None], object)[rng.integers(0, 3, size)]})
+    run = event_order._update(Numbered(), ["k"], "ts", ["n"])
+    cut = lambda a, b: [rows.iloc[i : i + 100] for i in range(a, b, 100)]
+    for name, value in (("SLICE", 1), ("RANGE", 300), ("PART", 250)):
+        monkeypatch.setattr(event_order, name, value, raising=False)
+    got, held = called(run, cut(0, 4000), None, 0)
+    assert got == [] and len(held) < 12 * 4000
+    for blocks, now in ((cut(4000, 5900), 1500), (cut(5900, 6000), 1999)):
+        found, held = called(run, blocks, held, now)
+        got += found
+    seen = dict.fromkeys(("a", "b", None), 0)
+    early, late = rows[(ms <= 1500) & (rows["n"] < 5900)], rows[(ms > 1500) | (rows["n"] >= 5900)]
+    want = []
+    for part in (early, late):
+        for r in part.sort_values(["ts", "n"]).itertuples(index=False):
+            seen[r.k] += 1
+            want.append((r.k, r.kind, r.n, seen[r.k]))
+    plain = lambda rs: [tuple(None if v is None or v != v else v for v in r) for r in rs]
+    assert sorted(plain(got), key=lambda r: r[2]) == sorted(plain(want), key=lambda r: r[2])
+
+
+def test_blocks_are_let_go():
+    """Columns that are views of a large buffer, as those of Spark's batches with the state beside them, do not keep it."""
+    import gc
+    import weakref
+
+    import pandas as pd
+
+    from floodgauge.streaming import event_order
+    from floodgauge.streaming.reputation import Reputation
+
+    alive, most = [], 0
+
+    class Buffer(np.ndarray):
+        pass
+
+    def blocks():
+        nonlocal most
+        for i in range(40):
+            buffer = np.zeros(1000).view(Buffer)
+            alive.append(weakref.ref(buffer))
+            view = lambda: pd.Series(buffer[:10], copy=False)  # noqa: B023, E731
+            frame = {c: view() for c in ("score", "confidence")}
+            yield pd.concat([pd.Series(v, name=c) for c, v in {
+                "ip": ["a"] * 10, "ts": pd.to_datetime(np.arange(10) + i, unit="s"), "flow_id": np.arange(10), **frame, "attack_type": ["x"] * 10, "detection_method": ["y"] * 10, "ttl": [1] * 10,
+            }.items()], axis=1, copy=False)
+            del buffer, view, frame
+            gc.collect()
+            most = max(most, sum(r() is not None for r in alive))
+
+    found, held = called(event_order._update(Reputation(), ["ip"], "ts", ["flow_id"]), blocks(), None, 10**6)
+    assert len(found) == 400 and most <= 3
