@@ -1,9 +1,9 @@
 """Boosted trees with second-order gains (Chen and Guestrin, 2016) for two classes.
 
-Values are cut at quantiles once. Each level of a tree but the last, whose leaves follow from the splits above, is one pass: tasks add up gradients and curvatures per node, feature and interval, one small table per partition,
-and Spark adds those. What reaches the driver has at most nodes x features x intervals rows, whatever the size of the table. Rows lie in blocks of some thousand
-with their margins. Each round adds the last tree to the margins and keeps the result for its levels (in memory, or on disk where memory is short);
-every ``REFRESH`` rounds that is a reliable checkpoint.
+Values are cut at quantiles once. Each level of a tree but the last, whose leaves follow from the splits above, is one pass and one stage: tasks add up gradients and curvatures per node, feature and interval, one small array per partition,
+and the driver adds those; where they are more than ``COLLECTED`` bytes, executors add them first, whatever the size of the table. Rows lie in blocks of some thousand
+with their margins, as an RDD: a query plan for each of some hundred short passes took longer than the passes. Each round adds the last tree to the margins and keeps the result for its levels (in memory, or on disk where memory is short);
+every ``REFRESH`` rounds that is a reliable checkpoint. Blocks of at most ``ONE_TASK`` bytes in all are held by one task instead, which learns ``REFRESH`` rounds: there some hundred jobs take far longer than their sums.
 
 Missing values (NULL, NaN) go to the side of a split that gains more. Rows without label are left out, rows of weight 0 or less are an error. Of equal gains the first feature
 and the smallest cut win. A table with one class or without rows gives trees of a single leaf, or none.
@@ -16,7 +16,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floodgauge.functions.expressions import row_hash
@@ -24,6 +25,12 @@ from floodgauge.session import checkpointed
 
 BINS = 64
 REFRESH = 10
+#: Rows of a block at least, but for the last of a partition; Spark's batches may be smaller.
+BLOCK_ROWS = 32_768
+#: Bytes of blocks that one task learns by itself; sums of more are added by all.
+ONE_TASK = 64 << 20
+#: Bytes of sums that the driver takes from the partitions of a pass.
+COLLECTED = 32 << 20
 #: Code of a missing value; the others count the cuts below a value.
 MISSING = -1
 #: Some thousand rows in one: the bytes of their codes and of one number each.
@@ -49,16 +56,26 @@ class Tree:
             for name, blank in (("feature", -1), ("cut", 0), ("missing_left", False), ("left", -1), ("value", 0.0)):
                 getattr(self, name).append(blank)
 
-    def node_of(self, codes: np.ndarray) -> np.ndarray:
-        feature, cut, missing_left, left = (np.asarray(getattr(self, n)) for n in ("feature", "cut", "missing_left", "left"))
-        rows, node = np.arange(len(codes)), np.zeros(len(codes), dtype=np.int64)
-        while len(codes):
-            inner = feature[node] >= 0
-            if not inner.any():
-                break
-            code = codes[rows, np.where(inner, feature[node], 0)]
-            goes_left = np.where(code == MISSING, missing_left[node], code <= cut[node])
-            node = np.where(inner, left[node] + ~goes_left, node)
+    def height(self) -> int:
+        levels = [0] * len(self.feature)
+        for node, left in enumerate(self.left):
+            if left >= 0:
+                levels[left] = levels[left + 1] = levels[node] + 1
+        return max(levels)
+
+    def node_of(self, codes: np.ndarray, node: np.ndarray | None = None, levels: int | None = None) -> np.ndarray:
+        """Where rows at ``node``, or the root, are ``levels`` further down, or at their leaf. Leaves step to themselves."""
+        inner = np.asarray(self.feature) >= 0
+        feature, cut = np.where(inner, self.feature, 0), np.where(inner, self.cut, np.iinfo(np.int16).max)
+        stays, left = ~inner | np.asarray(self.missing_left), np.where(inner, self.left, np.arange(len(inner)))
+        flat, first = codes.ravel(), np.arange(len(codes)) * codes.shape[1]
+        node = np.zeros(len(codes), dtype=np.int64) if node is None else node
+        for _ in range(self.height() if levels is None else levels):
+            code = flat[first + feature[node]]
+            goes_right, missing = code > cut[node], code == MISSING
+            if missing.any():
+                goes_right |= missing & ~stays[node]
+            node = left[node] + goes_right
         return node
 
     def output(self, codes: np.ndarray) -> np.ndarray:
@@ -114,46 +131,190 @@ def _quantile_cuts(df: DataFrame, columns: Sequence[str], bins: int) -> list[lis
     return [sorted(set(q or [])) for q in found]
 
 
-def _unpacked(batches: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _unpacked(blocks: Iterator[tuple], width: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Codes, labels, weights, ids and margins of each block."""
-    for batch in batches:
-        for codes, y, w, ids, margin in batch.itertuples(index=False, name=None):
-            yield np.frombuffer(codes, np.int16).reshape(-1, width), np.frombuffer(y), np.frombuffer(w), np.frombuffer(ids, np.int64), np.frombuffer(margin)
-
-
-def _packed(codes, y, w, ids, margin) -> pd.DataFrame:
-    found = codes.tobytes(), *(np.asarray(v, np.float64).tobytes() for v in (y, w)), np.asarray(ids, np.int64).tobytes(), margin.tobytes()
-    return pd.DataFrame([found], columns=["codes", "y", "w", "id", "margin"])
-
-
-def _histograms(rows: DataFrame, growing: Tree, level: Sequence[int], width: int, bins: int, number: int, seed: int, share: float):
-    """Sums of gradients and curvatures of the nodes of a level, as an array of (node, feature, code + 1, which)."""
-    place = {node: i for i, node in enumerate(level)}
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slot = np.full(len(growing.feature), -1)
-        for node, i in place.items():
-            slot[node] = i
-        sums = np.zeros((2, len(level), width, bins + 1))
-        for codes, y, w, ids, margin in _unpacked(batches, width):
-            seen = np.flatnonzero(_taken(ids, number, seed, share))
-            at = slot[growing.node_of(codes[seen])]
-            seen, at = seen[at >= 0], at[at >= 0] * (bins + 1) + 1
-            p, w = _chance(margin[seen]), w[seen]
-            gradients = w * (p - y[seen]), w * p * (1 - p)
-            for f in range(width):
-                cell = at + codes[seen, f]
-                for which, values in enumerate(gradients):
-                    sums[which, :, f] += np.bincount(cell, values, len(level) * (bins + 1)).reshape(len(level), bins + 1)
-        flat = sums.reshape(2, -1)
-        used = np.flatnonzero((flat != 0).any(axis=0))
-        yield pd.DataFrame({"cell": used, "g": flat[0, used], "h": flat[1, used]})
-
-    cells = rows.mapInPandas(add, "cell long, g double, h double").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    out = np.zeros((2, len(level) * width * (bins + 1)))
-    for cell, g, h in cells.collect():
-        out[:, cell] = g, h
-    return out.reshape(2, len(level), width, bins + 1)
+    for codes, y, w, ids, margin in blocks:
+        yield np.frombuffer(codes, np.int16).reshape(-1, width), np.frombuffer(y), np.frombuffer(w), np.frombuffer(ids, np.int64), np.frombuffer(margin)
+
+
+def _packed(codes, y, w, ids, margin) -> tuple[bytes, ...]:
+    return codes.tobytes(), *(np.asarray(v, np.float64).tobytes() for v in (y, w)), np.asarray(ids, np.int64).tobytes(), margin.tobytes()
+
+
+def _slots(tree: Tree, level: Sequence[int]) -> np.ndarray:
+    """Place of each node in the level, -1 outside."""
+    slot = np.full(len(tree.feature), -1)
+    slot[list(level)] = np.arange(len(level))
+    return slot
+
+
+def _gradients(y: np.ndarray, w: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = _chance(margin)
+    return w * (p - y), w * p * (1 - p)
+
+
+def _add(sums: np.ndarray, codes: np.ndarray, slot: np.ndarray, gradients: Sequence[np.ndarray], chosen: Sequence[int]) -> None:
+    """Adds rows to the array of (which, node, chosen feature, code + 1)."""
+    _, nodes, _, cells = sums.shape
+    for i, f in enumerate(chosen):
+        cell = slot * cells + 1 + codes[:, f]
+        for which, values in enumerate(gradients):
+            sums[which, :, i] += np.bincount(cell, values, nodes * cells).reshape(nodes, cells)
+
+
+def _renewed(blocks: RDD, trees: Sequence[Tree], width: int) -> RDD:
+    """Blocks with the output of the trees added to their margins, one after the other."""
+    def add(part: Iterator[tuple]) -> Iterator[tuple]:
+        for codes, y, w, ids, margin in _unpacked(part, width):
+            for tree in trees:
+                margin = margin + tree.output(codes)
+            yield _packed(codes, y, w, ids, margin)
+
+    return blocks.mapPartitions(add)
+
+
+def _written(blocks: RDD, session: SparkSession) -> RDD:
+    return checkpointed(session.createDataFrame(blocks, BLOCKS, verifySchema=False)).rdd.map(tuple)
+
+
+def _kept(blocks: RDD) -> RDD:
+    return blocks.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+class _Spread:
+    """Passes over blocks that lie in the partitions of an RDD."""
+
+    def __init__(self, blocks: RDD, session: SparkSession, width: int, bins: int, seed: int, share: float):
+        self.blocks, self.before, self.session = _kept(blocks), None, session
+        self.width, self.bins, self.seed, self.share = width, bins, seed, share
+
+    def sums(self, growing: Tree, level: Sequence[int], chosen: Sequence[int], number: int) -> np.ndarray:
+        """Sums of gradients and curvatures of the nodes of a level, as an array of (which, node, chosen feature, code + 1)."""
+        width, seed, share, shape = self.width, self.seed, self.share, (2, len(level), len(chosen), self.bins + 1)
+
+        def add(part: Iterator[tuple]) -> Iterator[np.ndarray]:
+            slot, sums = _slots(growing, level), np.zeros(shape)
+            for codes, y, w, ids, margin in _unpacked(part, width):
+                at = slot[growing.node_of(codes)]
+                seen = np.flatnonzero(_taken(ids, number, seed, share) & (at >= 0))
+                _add(sums, codes[seen], at[seen], _gradients(y[seen], w[seen], margin[seen]), chosen)
+            yield sums
+
+        parts, out = self.blocks.mapPartitions(add), np.zeros(shape)
+        many = self.blocks.getNumPartitions() * out.nbytes > COLLECTED
+        out = parts.treeAggregate(out, np.add, np.add) if many else sum(parts.collect(), out)
+        if self.before is not None:  # the margins of this round are made, those before have served
+            self.before.unpersist()
+            self.before = None
+        return out
+
+    def renew(self, tree: Tree, number: int) -> None:
+        """Adds the output of the tree to the margins."""
+        renewed = _renewed(self.blocks, [tree], self.width)
+        if (number + 1) % REFRESH == 0:
+            renewed = _written(renewed, self.session)
+        self.blocks, self.before = _kept(renewed), self.blocks
+
+    def close(self) -> None:
+        self.blocks.unpersist()
+
+
+class _Held:
+    """The same passes over blocks that one task holds. Rows keep their node from level to level."""
+
+    def __init__(self, blocks: Iterator[tuple], width: int, bins: int, seed: int, share: float):
+        self.blocks = [[*b[:4], b[4].copy()] for b in _unpacked(blocks, width)]
+        self.bins, self.seed, self.share, self.seen = bins, seed, share, []
+
+    def sums(self, growing: Tree, level: Sequence[int], chosen: Sequence[int], number: int) -> np.ndarray:
+        if list(level) == [0]:
+            self.seen = []
+            for codes, y, w, ids, margin in self.blocks:
+                taken = np.flatnonzero(_taken(ids, number, self.seed, self.share))
+                self.seen.append((codes[taken], np.zeros(len(taken), dtype=np.int64), *_gradients(y[taken], w[taken], margin[taken])))
+        slot, out = _slots(growing, level), np.zeros((2, len(level), len(chosen), self.bins + 1))
+        for i, (codes, node, g, h) in enumerate(self.seen):
+            if list(level) != [0]:
+                node = growing.node_of(codes, node, 1)
+                open_rows = slot[node] >= 0
+                if not open_rows.all():
+                    codes, node, g, h = codes[open_rows], node[open_rows], g[open_rows], h[open_rows]
+                self.seen[i] = codes, node, g, h
+            _add(out, codes, slot[node], (g, h), chosen)
+        return out
+
+    def renew(self, tree: Tree, number: int) -> None:
+        for block in self.blocks:
+            block[4] += tree.output(block[0])
+
+
+@dataclass
+class _Growth:
+    """What the trees grow by, whatever holds the rows."""
+
+    cuts: list[list[float]]
+    chosen: list[np.ndarray]
+    depth: int
+    rate: float
+    l1: float
+    l2: float
+    least_gain: float
+    least_curvature: float
+
+    def strength(self, g, h):
+        return np.sign(g) * np.maximum(np.abs(g) - self.l1, 0.0), h + self.l2
+
+    def gain(self, g, h):
+        top, bottom = self.strength(g, h)
+        return np.divide(top * top, bottom, out=np.zeros(np.shape(top)), where=bottom > 0)
+
+    def leaf(self, total) -> float:
+        top, bottom = self.strength(*total)
+        return float(-self.rate * top / bottom) if bottom > 0 else 0.0
+
+    def trees(self, passes, rounds: range) -> list[Tree]:
+        out = []
+        for number in rounds:
+            chosen, tree, level, totals = self.chosen[number], Tree(), [0], None
+            for _ in range(self.depth):
+                sums = passes.sums(tree, level, chosen, number)
+                if totals is None:
+                    totals = sums[:, :, 0].sum(axis=-1)
+                    tree.value[0] = self.leaf(totals[:, 0])
+                best, level, sides = self.best_cuts(sums, level, totals, chosen), [], []
+                for node, feature, cut, missing_left, left, right in best:
+                    tree.split(node, feature, cut, missing_left)
+                    for child, side in zip((tree.left[node], tree.left[node] + 1), (left, right)):
+                        tree.value[child] = self.leaf(side)
+                        level.append(child)
+                        sides.append(side)
+                if not level:
+                    break
+                totals = np.stack(sides, axis=1)
+            out.append(tree)
+            if number + 1 < rounds.stop:
+                passes.renew(tree, number)
+        return out
+
+    def best_cuts(self, sums: np.ndarray, nodes: Sequence[int], totals: np.ndarray, chosen: Sequence[int]) -> list[tuple]:
+        """Node, feature, cut, side of missing values, and the sums on the left and right, of each node's best cut; nodes where nothing is gained are left out."""
+        n = np.arange(len(nodes))
+        most, best, whole = np.zeros(len(n)), [None] * len(n), self.gain(*totals)[:, None]
+        for i, f in enumerate(chosen):
+            missing, known = sums[:, :, i, :1], np.cumsum(sums[:, :, i, 1:], axis=-1)[..., :len(self.cuts[f])]
+            if not known.shape[-1]:
+                continue
+            for missing_left in (False, True) if missing.any() else (False,):
+                left = known + missing if missing_left else known
+                right = totals[..., None] - left
+                won = 0.5 * (self.gain(*left) + self.gain(*right) - whole) - self.least_gain
+                won = np.where((left[1] >= self.least_curvature) & (right[1] >= self.least_curvature), won, 0.0)
+                top = won.max(axis=-1, keepdims=True)
+                at = (won >= top - SAME * np.abs(top)).argmax(axis=-1)
+                here = won[n, at]
+                for j in np.flatnonzero(here > most + SAME * np.maximum(1e-3, most)):
+                    most[j], best[j] = here[j], (nodes[j], int(f), int(at[j]), missing_left, left[:, j, at[j]], right[:, j, at[j]])
+        return [b for b in best if b]
 
 
 def fit_boosted_trees(
@@ -170,12 +331,23 @@ def fit_boosted_trees(
     limits, width = [np.asarray(c) for c in cuts], len(columns)
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting, n = [], 0
+
+        def block() -> pd.DataFrame:
+            codes, *others = (np.concatenate(parts) for parts in zip(*waiting))
+            return pd.DataFrame([_packed(codes, *others, np.zeros(len(codes)))], columns=["codes", "y", "w", "id", "margin"])
+
         for batch in batches:
             if (batch["w"] <= 0).any():
                 raise ValueError("a weight is not positive")
             found = _codes(batch[[f"x{i}" for i in range(width)]].to_numpy(dtype=float), limits)
-            if len(batch):
-                yield _packed(found, batch["y"], batch["w"], batch["id"], np.zeros(len(batch)))
+            waiting.append((found, *(batch[c].to_numpy() for c in ("y", "w", "id"))))
+            n += len(batch)
+            if n >= BLOCK_ROWS:
+                yield block()
+                waiting, n = [], 0
+        if n:
+            yield block()
 
     y = F.col(label).cast("double")
     own = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -184,75 +356,20 @@ def fit_boosted_trees(
         (own * F.when(y == 1, F.lit(float(positive_weight))).otherwise(F.lit(1.0))).alias("w"),
         F.xxhash64(row_hash(list(key) if key else df.columns, seed)).alias("id"),
     )
-    rows, held = checkpointed(rows.mapInPandas(coded, BLOCKS)), None
+    blocks = checkpointed(rows.mapInPandas(coded, BLOCKS)).rdd.map(tuple)
     rng = np.random.default_rng(seed)
+    chosen = [np.sort(rng.choice(width, max(1, int(columns_share * width)), replace=False)) for _ in range(rounds)]
+    growth, passed = _Growth(cuts, chosen, depth, rate, l1, l2, least_gain, least_curvature), (width, bins, seed, rows_share)
+    if blocks.map(lambda block: sum(map(len, block))).sum() > ONE_TASK:
+        passes = _Spread(blocks, df.sparkSession, *passed)
+        trees = growth.trees(passes, range(rounds))
+        passes.close()
+        return BoostedTrees(columns, cuts, trees)
     trees = []
-
-    def strength(g, h):
-        return np.sign(g) * np.maximum(np.abs(g) - l1, 0.0), h + l2
-
-    def gain(g, h):
-        top, bottom = strength(g, h)
-        return np.divide(top * top, bottom, out=np.zeros(np.shape(top)), where=bottom > 0)
-
-    def leaf(total) -> float:
-        top, bottom = strength(*total)
-        return float(-rate * top / bottom) if bottom > 0 else 0.0
-
-    for number in range(rounds):
-        chosen = np.sort(rng.choice(width, max(1, int(columns_share * width)), replace=False))
-        tree, level, totals = Tree(), [0], None
-        for _ in range(depth):
-            sums = _histograms(rows, tree, level, width, bins, number, seed, rows_share)
-            if totals is None:
-                if held is not None:  # the margins of this round are made, those before have served
-                    held.unpersist()
-                held = rows if number % REFRESH else None
-                totals = [sums[:, 0, 0].sum(axis=-1)]
-                tree.value[0] = leaf(totals[0])
-            following = []
-            for i, node in enumerate(level):
-                best = _best_cut(sums[:, i], totals[i], chosen, cuts, gain, least_gain, least_curvature)
-                if best:
-                    tree.split(node, *best[1:4])
-                    for child, sides in zip((tree.left[node], tree.left[node] + 1), best[4:]):
-                        tree.value[child] = leaf(sides)
-                        following.append((child, sides))
-            if not following:
-                break
-            level, totals = map(list, zip(*following))
-        trees.append(tree)
-        if number + 1 < rounds:
-            rows = _renewed(rows, tree, width)
-            rows = rows.persist() if (number + 1) % REFRESH else checkpointed(rows)
-    if held is not None:
-        held.unpersist()
+    for start in range(0, rounds, REFRESH):
+        if trees:
+            blocks = _written(_renewed(blocks, trees[-REFRESH:], width), df.sparkSession)
+        some = range(start, min(start + REFRESH, rounds))
+        learned = blocks.coalesce(1).mapPartitions(lambda part: [growth.trees(_Held(part, *passed), some)]).collect()
+        trees += learned[0] if learned else growth.trees(_Held(iter(()), *passed), some)
     return BoostedTrees(columns, cuts, trees)
-
-
-def _best_cut(sums: np.ndarray, total: np.ndarray, chosen: Sequence[int], cuts: Sequence[Sequence[float]], gain, least_gain: float, least_curvature: float):
-    """Gain, feature, cut, side of missing values, and the sums on the left and right, of a node's best cut; None where nothing is gained."""
-    best = None
-    for f in chosen:
-        missing, known = sums[:, f, :1], np.cumsum(sums[:, f, 1:], axis=-1)[:, :len(cuts[f])]
-        if not known.shape[1]:
-            continue
-        for missing_left in (False, True):
-            left = known + missing if missing_left else known
-            right = total[:, None] - left
-            won = 0.5 * (gain(*left) + gain(*right) - gain(*total)) - least_gain
-            won = np.where((left[1] >= least_curvature) & (right[1] >= least_curvature), won, 0.0)
-            at = int(np.flatnonzero(won >= won.max() - SAME * abs(won.max()))[0])
-            before = best[0] if best else 0.0
-            if won[at] > before + SAME * max(1e-3, before):
-                best = (float(won[at]), int(f), at, missing_left, left[:, at], right[:, at])
-    return best
-
-
-def _renewed(rows: DataFrame, tree: Tree, width: int) -> DataFrame:
-    """Rows with the output of the tree added to their margins."""
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for codes, y, w, ids, margin in _unpacked(batches, width):
-            yield _packed(codes, y, w, ids, margin + tree.output(codes))
-
-    return rows.mapInPandas(add, BLOCKS)

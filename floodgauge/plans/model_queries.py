@@ -184,7 +184,7 @@ FROM (SELECT is_attack, count(*) AS n FROM labelled GROUP BY 1) x"""))
 def second_order_boosting_facts(spark, folder):
     """A hundred rounds on the training rows: area under the curve and accuracy on the test rows against floors."""
     rows = checkpointed(_split(spark, folder))
-    model = fit_boosted_trees(rows.filter("split = 'train'"), FEATURES, "is_attack", rows_share=0.8, columns_share=0.8, key=KEY)
+    model = fit_boosted_trees(spread(rows.filter("split = 'train'")), FEATURES, "is_attack", rows_share=0.8, columns_share=0.8, key=KEY)
     scored = model.score(rows.filter("split = 'test'"))
     found = training.evaluate(scored, "boosted", "is_attack", 0.0)
     n_test, attacks = rows.filter("split = 'test'").agg(F.count(F.lit(1)), F.avg("is_attack")).first()

@@ -115,3 +115,34 @@ def test_rows_are_passed_in_blocks(spark, monkeypatch):
     assert len(model.trees) == 12 and len(counts) == 2 and max(counts) <= 6
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
     assert model.score(rows).filter("predicted <> y").isEmpty()
+
+
+def test_blocks_in_one_task_and_spread_ones_give_the_same_trees(spark, monkeypatch):
+    """Small tables are learned by one task without a job for each level; others by one stage for each, whose sums executors add where they are many."""
+    df = spark.createDataFrame(table(400), SCHEMA).repartition(5)
+    fit = lambda: fit_boosted_trees(df, ["a", "b", "c"], "y", rounds=12, depth=3, rows_share=0.8, columns_share=0.7, key=["id"])
+    jobs = lambda group: len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    found = []
+    for name, bytes_held, collected in (("held", 1 << 20, 1 << 20), ("spread", 0, 1 << 20), ("added", 0, 0)):
+        monkeypatch.setattr(boosting, "ONE_TASK", bytes_held)
+        monkeypatch.setattr(boosting, "COLLECTED", collected)
+        spark.sparkContext.setJobGroup(name, name)
+        found.append(fit().trees)
+        spark.sparkContext.setJobGroup("", "")
+    assert jobs("held") < 20 < 36 <= jobs("spread")
+    for trees in found[1:]:
+        assert [(t.feature, t.cut, t.missing_left, t.left) for t in trees] == [(t.feature, t.cut, t.missing_left, t.left) for t in found[0]]
+        assert [v for t in trees for v in t.value] == pytest.approx([v for t in found[0] for v in t.value], abs=1e-9)
+
+
+def test_blocks_do_not_follow_the_batches(spark, monkeypatch):
+    rows = spark.range(3000, numPartitions=1).selectExpr("id", "id % 10 AS a", "cast(id % 10 > 6 AS int) AS y")
+    counts = []
+    monkeypatch.setattr(boosting, "checkpointed", lambda df: (done := checkpointed(df), counts.append(done.count()))[0])
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        boosting.fit_boosted_trees(rows, ["a"], "y", rounds=1, depth=1, key=["id"])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert counts == [1]
