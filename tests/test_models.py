@@ -172,3 +172,22 @@ def test_isolation_forest_of_equal_rows(spark):
     same = spark.range(4000).selectExpr("1.0D AS a", "2.0D AS b")
     for seed in range(3):
         assert len(fit_isolation_forest(same, ["a", "b"], n_trees=3, max_samples=16, contamination=None, seed=seed).trees) == 3
+
+
+def test_model_comparison_trains_whole_models(spark, monkeypatch):
+    """The query hands over the operators' own defaults: a hundred trees, a hundred rounds."""
+    from floodgauge.plans import model_queries
+
+    rows = spark.range(20).selectExpr("cast(id AS string) AS flow_key", *[f"cast(id AS double) AS {c}" for c in model_queries.FEATURES], "'Syn' AS label", "cast(id % 2 AS int) AS is_attack", "'train' AS split")
+    taken = {}
+
+    def compared(train, test, features, label, estimators):
+        taken.update(estimators)
+        return {}, train.withColumn("training_time", F.lit(0.0))
+
+    monkeypatch.setattr(model_queries, "_split", lambda spark, folder: rows)
+    monkeypatch.setattr(training, "train_and_compare", compared)
+    model_queries.model_comparison(spark, "")
+    forest, boosted, logistic, tree = (taken[n] for n in ("random_forest", "boosted_trees", "logistic_regression", "decision_tree"))
+    assert (forest.getNumTrees(), forest.getMaxDepth()) == (100, 10) and (boosted.getMaxIter(), boosted.getMaxDepth(), boosted.getSubsamplingRate()) == (100, 6, 1.0)
+    assert logistic.getMaxIter() == 1000 and tree.getMaxDepth() == 10
